@@ -85,9 +85,9 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
-def decode_entities(x: Column) -> Column:
-    """HTML character references: numeric ones, and the named ones in ``fixed_values.ENTITIES``."""
-    table = F.create_map(*[F.lit(v) for kv in fv.ENTITIES.items() for v in kv])
+def decode_entities(x: Column, names: dict[str, str] = fv.ENTITIES) -> Column:
+    """HTML character references: numeric ones, and the named ones in ``names``."""
+    table = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
 
     def numeric(name: Column) -> Column:
         code = F.when(

@@ -27,18 +27,22 @@ def local_session(cpus: str | int | None = None, memory: str = "8g") -> SparkSes
     return spark
 
 
+_LOCAL_ROOT: list[str] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the session's ``spark.checkpoint.dir``.
 
-    On a cluster that setting names storage all executors share.  Only where it is unset (local
-    tests) a temporary folder stands in for it.
+    On a cluster that setting names storage all executors share.  Only where it is unset, in a
+    local session, a temporary folder stands in for it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="pagequarry-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _LOCAL_ROOT:
+            _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="pagequarry-"))
+        root = _LOCAL_ROOT[0]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
