@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fv
 from .text import (
-    after_last, array_of, before_last, decode_entities, drop_prefix, ends_with_any, extract_all, let, trim_ws,
+    after_last, before_last, decode_entities, drop_prefix, each, ends_with_any, extract_all, is_one_of, let, trim_ws,
 )
 
 
@@ -25,8 +25,8 @@ def is_kept_email(e: Column) -> Column:
     return (
         e.rlike(r"\A(?:" + fv.EMAIL + r")\z")
         & ~ends_with_any(e, fv.ASSET_EXTENSIONS)
-        & ~domain_part(e).isin(fv.JUNK_EMAIL_DOMAINS)
-        & ~local_part(e).isin(fv.JUNK_EMAIL_USERS)
+        & ~is_one_of(domain_part(e), fv.JUNK_EMAIL_DOMAINS)
+        & ~is_one_of(local_part(e), fv.JUNK_EMAIL_USERS)
     )
 
 
@@ -51,68 +51,64 @@ def emails_in(text: Column, mailto_hrefs: Column) -> Column:
 
 
 # ------------------------------------------------------------------------------ finder rules
-def _known_tld(label: Column) -> Column:
-    return label.isin(fv.GENERIC_TLDS + fv.COUNTRY_TLDS)
-
-
 def _repair_domain(domain: Column) -> Column:
     """Drop up to two trailing labels that the next word of a sentence left on the domain."""
 
     def repair(labels: Column) -> Column:
         n = F.size(labels)
-        without = lambda k: F.array_join(F.slice(labels, F.lit(1), F.greatest(n - k, F.lit(0))), ".")
-        last = lambda k: F.get(labels, n - 1 - k)
-        return (
-            F.when((n < 3) | _known_tld(last(0)), F.array_join(labels, "."))
-            .when(_known_tld(last(1)), without(1))
-            .when((n >= 4) & _known_tld(last(2)), without(2))
-            .otherwise(F.array_join(labels, "."))
-        )
+
+        def known(k: int) -> Column:
+            return is_one_of(F.get(labels, n - 1 - k), fv.GENERIC_TLDS + fv.COUNTRY_TLDS)
+
+        drop = F.when((n < 3) | known(0), 0).when(known(1), 1).when((n >= 4) & known(2), 2).otherwise(0)
+        return F.array_join(F.slice(labels, F.lit(1), n - drop), ".")
 
     return let(F.split(domain, r"\."), repair)
 
 
-def is_usable_email(e: Column) -> Column:
-    """A contactable address: not a placeholder, asset name, machine id or unattended box."""
+def _usable(p: Column) -> Column:
+    """Rules on struct(local, domain, email)."""
+    local, domain, e = p["local"], p["domain"], p["email"]
+    return (
+        e.rlike(fv.USABLE_EMAIL)
+        & ~e.rlike(r"@[0-9]x\z")
+        & ~ends_with_any(e, fv.FINDER_ASSET_SUFFIXES)
+        & (F.length(local) <= 64) & (F.length(e) <= 254)
+        & ~is_one_of(domain, fv.PLACEHOLDER_DOMAINS)
+        & ~is_one_of(local, fv.PLACEHOLDER_LOCALS + fv.UNREACHABLE_LOCALS)
+        & ~local.rlike(r"\A[0-9a-f]{16,}\z")
+        & ~((F.length(local) >= 20) & ~local.rlike("[._+-]") & local.rlike("[a-z]") & local.rlike("[0-9]"))
+        & ~local.rlike(r"\Au[0-9a-f]{4}")
+        & ~local.rlike(r"\A\d+\z")
+        & ~domain.rlike(r"(?:\A|\.)\d+(?:\.|\z)")
+    )
 
-    def rules(p: Column) -> Column:
-        local, domain = p["local"], p["domain"]
-        return (
-            e.rlike(fv.USABLE_EMAIL)
-            & ~e.rlike(r"@[0-9]x\z")
-            & ~ends_with_any(e, fv.FINDER_ASSET_SUFFIXES)
-            & (F.length(local) <= 64) & (F.length(e) <= 254)
-            & ~domain.isin(fv.PLACEHOLDER_DOMAINS)
-            & ~local.isin(fv.PLACEHOLDER_LOCALS + fv.UNREACHABLE_LOCALS)
-            & ~local.rlike(r"\A[0-9a-f]{16,}\z")
-            & ~((F.length(local) >= 20) & ~local.rlike("[._+-]") & local.rlike("[a-z]") & local.rlike("[0-9]"))
-            & ~local.rlike(r"\Au[0-9a-f]{4}")
-            & ~local.rlike(r"\A\d+\z")
-            & ~domain.rlike(r"(?:\A|\.)\d+(?:\.|\z)")
-        )
 
-    return let(F.struct(local_part(e).alias("local"), domain_part(e).alias("domain")), rules)
+def _split_repaired(t: Column) -> Column:
+    return F.struct(local_part(t).alias("local"), _repair_domain(domain_part(t)).alias("domain"))
 
 
-def normalize_usable_email(raw: Column) -> Column:
-    """Lower-cased and repaired address, NULL when it is not usable."""
+def _whole(p: Column) -> Column:
+    return p.withField("email", F.concat(p["local"], F.lit("@"), p["domain"]))
 
-    def build(t: Column) -> Column:
-        fixed = F.concat(local_part(t), F.lit("@"), _repair_domain(domain_part(t)))
-        return F.when(
-            F.instr(t, "@") > 1, let(fixed, lambda e: F.when(is_usable_email(e), e))
-        )
 
-    return let(F.lower(trim_ws(raw)), build)
+# raw address -> usable address or NULL, as consecutive steps for ``each`` / ``let``
+USABLE_STEPS = (_split_repaired, _whole, lambda p: F.when(_usable(p), p["email"]))
+
+
+def normalize_usable_email(raw: Column) -> Column:
+    """Lower-cased and repaired address, NULL when it is not contactable: a placeholder, an
+    asset name, a machine id, an unattended box."""
+    return let(F.lower(trim_ws(raw)), *USABLE_STEPS)
 
 
 def classify_email(email: Column) -> Column:
     """role (a shared box, by whole name or any part of it), personal (name-like) or generic."""
 
     def kind(base: Column) -> Column:
-        roles = array_of(fv.FINDER_ROLES)
+        roles = F.split(F.lit(" ".join(fv.FINDER_ROLES)), " ")
         return (
-            F.when(base.isin(fv.FINDER_ROLES) | F.arrays_overlap(F.split(base, "[._-]"), roles), "role")
+            F.when(is_one_of(base, fv.FINDER_ROLES) | F.arrays_overlap(F.split(base, "[._-]"), roles), "role")
             .when(base.rlike(fv.NAME_LIKE) | base.rlike(fv.INITIAL_NAME), "personal")
             .otherwise("generic")
         )
@@ -133,17 +129,19 @@ def is_on_site(email_domain: Column, site: Column) -> Column:
 def page_email_hits(html: Column, visible: Column, hrefs: Column) -> Column:
     """Usable addresses of a page as array of struct(email, via_mailto)."""
     names = {"commat": "@", "period": "."}
+    edges = r"\A[.,;:<>(\"'" + fv.SP_CHARS + r"]+|[.,;:<>)\"'" + fv.SP_CHARS + r"]+\z"
 
     def tidy(x: Column) -> Column:
-        edges = r"\A[.,;:<>(\"'" + fv.SP_CHARS + r"]+|[.,;:<>)\"'" + fv.SP_CHARS + r"]+\z"
-        return normalize_usable_email(F.regexp_replace(trim_ws(decode_entities(x, names)), edges, ""))
+        return F.lower(trim_ws(F.regexp_replace(trim_ws(decode_entities(x, names)), edges, "")))
 
-    def mail_parts(h: Column) -> Column:
-        value = F.substring_index(drop_prefix(h, 7), "?", 1)
-        plain = F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
-        return F.split(plain, "[,;]")
+    def mail_value(h: Column) -> Column:
+        return F.substring_index(drop_prefix(h, 7), "?", 1)
 
-    mailto = F.flatten(F.transform(F.filter(hrefs, lambda h: F.lower(h).startswith("mailto:")), mail_parts))
+    def mail_parts(v: Column) -> Column:
+        # a plus sign is literal in a mail link
+        return F.split(F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v), "[,;]")
+
+    mailto = F.flatten(each(F.filter(hrefs, lambda h: F.lower(h).startswith("mailto:")), mail_value, mail_parts))
 
     def spelled(m: Column) -> Column:
         sp = fv.SP
@@ -158,23 +156,21 @@ def page_email_hits(html: Column, visible: Column, hrefs: Column) -> Column:
             x = F.regexp_replace(x, pattern, sign)
         return x
 
-    def tagged(xs: Column, via: bool) -> Column:
-        return F.transform(xs, lambda x: F.struct(tidy(x).alias("email"), F.lit(via).alias("via_mailto")))
-
-    found = F.filter(
-        F.concat(
-            tagged(mailto, True),
-            tagged(extract_all(decode_entities(html, names), fv.EMAIL_SCAN), False),
-            tagged(F.transform(extract_all(visible, fv.OBFUSCATED_SCAN), spelled), False),
-        ),
-        lambda h: h["email"].isNotNull(),
+    linked = each(mailto, tidy, *USABLE_STEPS)
+    written = F.concat(
+        extract_all(decode_entities(html, names), fv.EMAIL_SCAN), F.transform(extract_all(visible, fv.OBFUSCATED_SCAN), spelled)
+    )
+    parsed = F.struct(
+        F.array_distinct(F.filter(linked, lambda e: e.isNotNull())).alias("linked"),
+        F.array_distinct(F.filter(each(written, tidy, *USABLE_STEPS), lambda e: e.isNotNull())).alias("written"),
     )
 
-    def per_email(hits: Column) -> Column:
-        return F.transform(
-            F.array_distinct(F.transform(hits, lambda h: h["email"])),
-            lambda e: F.struct(e.alias("email"), F.exists(hits, lambda h: (h["email"] == e) & h["via_mailto"]).alias("via_mailto")),
+    def merge(p: Column) -> Column:
+        return F.concat(
+            F.transform(p["linked"], lambda e: F.struct(e.alias("email"), F.lit(True).alias("via_mailto"))),
+            F.transform(
+                F.array_except(p["written"], p["linked"]), lambda e: F.struct(e.alias("email"), F.lit(False).alias("via_mailto"))
+            ),
         )
 
-    return let(found, per_email)
-
+    return let(parsed, merge)

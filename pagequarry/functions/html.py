@@ -41,14 +41,18 @@ def start_tags(m: Column, name: str) -> Column:
     return extract_all(m, r"(?i)<(?:" + name + r")(?=[\s/>])" + _IN_TAG + ">")
 
 
-def attr(tag: Column, name: str) -> Column:
-    """Value of the first attribute ``name`` of a start tag, entities decoded ('' if absent)."""
+def raw_attr(tag: Column, name: str) -> Column:
+    """Value of the first attribute ``name`` of a start tag as written ('' if absent)."""
     pattern = (
         r"(?is)\A<[a-z][^\s/>]*+(?:[\s/]++(?!" + name + r"\s*+=)[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++))?+)*+"
         r"[\s/]++" + name + r"\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"']++)"
     )
-    unquoted = F.regexp_replace(extract(tag, pattern, 1), r"(?s)\A([\"'])(.*)\1\z", "$2")
-    return decode_entities(unquoted)
+    return F.regexp_replace(extract(tag, pattern, 1), r"(?s)\A([\"'])(.*)\1\z", "$2")
+
+
+def attr(tag: Column, name: str) -> Column:
+    """``raw_attr`` with entities decoded."""
+    return decode_entities(raw_attr(tag, name))
 
 
 def has_attr(tag: Column, name: str) -> Column:

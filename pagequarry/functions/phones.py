@@ -6,63 +6,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .html import attr, start_tags, strip_tags
-from .text import decode_entities, extract, extract_all, let, trim_ws
+from .html import attr, raw_attr, start_tags, strip_tags
+from .text import blank_to_null, decode_entities, each, extract, extract_all, let, trim_ws
 
 SP = fv.SP
 
 
-def scan_line(line: Column) -> Column:
-    """Phone-shaped tokens of one line whose context does not speak against them.
+def scan_lines(lines: Column) -> Column:
+    """Phone-shaped tokens of an array of lines whose context does not speak against them.
 
     Matches and the gaps between them are zipped, so each match sees the text around it and a
     rejected match still consumes its characters.
     """
 
-    def keep(ms: Column, gaps: Column) -> Column:
-        def one(m: Column, i: Column) -> Column:
-            before = F.concat(F.coalesce(F.get(ms, i - 1), F.lit("")), F.get(gaps, i))
-            before = F.right(before, F.lit(24))
-            after = F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(ms, i + 1), F.lit(""))), F.lit(8))
-            ext = extract(m, fv.PHONE_CANDIDATE, 2)
-            number = extract(m, fv.PHONE_CANDIDATE, 1)
-            clean = ~(
-                before.rlike(fv.CURRENCY_BEFORE) | before.rlike(fv.LABEL_BEFORE)
-                | after.rlike(fv.UNIT_AFTER) | after.rlike(fv.COUNT_AFTER)
-            )
-            return F.when(clean, F.when(ext != "", F.concat(number, F.lit(" ext "), ext)).otherwise(number))
-
-        return F.filter(F.transform(ms, one), lambda x: x.isNotNull())
-
-    ms = extract_all(line, fv.PHONE_CANDIDATE)
-    return let(
-        ms,
-        lambda m: F.when(F.size(m) > 0, keep(m, F.split(line, fv.PHONE_CANDIDATE))).otherwise(F.array().cast("array<string>")),
-    )
+    def split_line(x: Column) -> Column:
+        return F.struct(extract_all(x, fv.PHONE_CANDIDATE).alias("ms"), F.split(x, fv.PHONE_CANDIDATE).alias("gaps"))
 
+    def with_context(s: Column) -> Column:
+        return F.transform(
+            s["ms"],
+            lambda m, i: F.struct(
+                m.alias("m"),
+                F.right(F.concat(F.coalesce(F.get(s["ms"], i - 1), F.lit("")), F.get(s["gaps"], i)), F.lit(24)).alias("before"),
+                F.left(F.concat(F.get(s["gaps"], i + 1), F.coalesce(F.get(s["ms"], i + 1), F.lit(""))), F.lit(8)).alias("after"),
+            ),
+        )
 
-def scan_lines(lines: Column) -> Column:
-    """Candidates of an array of lines, in order."""
-    return F.flatten(F.transform(F.filter(lines, lambda l: l.rlike(r"\d[^\n]{5,}\d")), scan_line))
+    def in_context(t: Column) -> Column:
+        return ~(
+            t["before"].rlike(fv.CURRENCY_BEFORE) | t["before"].rlike(fv.LABEL_BEFORE)
+            | t["after"].rlike(fv.UNIT_AFTER) | t["after"].rlike(fv.COUNT_AFTER)
+        )
+
+    def number(t: Column) -> Column:
+        ext = extract(t["m"], fv.PHONE_CANDIDATE, 2)
+        return F.concat(extract(t["m"], fv.PHONE_CANDIDATE, 1), F.when(ext != "", F.concat(F.lit(" ext "), ext)).otherwise(""))
+
+    tokens = F.flatten(each(F.filter(lines, lambda x: x.rlike(fv.PHONE_CANDIDATE)), split_line, with_context))
+    return F.transform(F.filter(tokens, in_context), number)
 
 
 def declared_numbers(m: Column, ld: Column) -> Column:
     """Numbers the markup declares: phone links, telephone itemprops, JSON-LD phone keys."""
-    def from_href(t: Column) -> Column:
-        raw = trim_ws(F.substring_index(extract(trim_ws(attr(t, "href")), fv.DECLARED_HREF, 1), "?", 1))
+    def href_value(t: Column) -> Column:
+        return trim_ws(F.substring_index(extract(trim_ws(attr(t, "href")), fv.DECLARED_HREF, 1), "?", 1))
+
+    def decoded(raw: Column) -> Column:
         return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
 
     item = (
         r"(?is)<([a-z][a-z0-9]*)(?=\s)(?=[^>]*\bitemprop\s*=\s*[\"']?(?:telephone|faxNumber)[\"'\s/>])[^>]*>(?:(.*?)</\1\s*>)?"
     )
 
-    def from_item(x: Column) -> Column:
-        tag = extract(x, r"(?s)\A<[^>]*>", 0)
-        text = decode_entities(strip_tags(extract(x, item, 2)))
-        return trim_ws(let(attr(tag, "content"), lambda v: F.when(v != "", v).otherwise(text)))
+    def item_value(x: Column) -> Column:
+        content = raw_attr(extract(x, r"(?s)\A<[^>]*>", 0), "content")
+        return F.coalesce(blank_to_null(content), strip_tags(extract(x, item, 2)))
 
-    links = F.when(F.lower(m).rlike("(?:tel|callto|sms|fax):"), F.transform(start_tags(m, "a"), from_href))
-    items = F.when(F.contains(m, F.lit("itemprop")), F.transform(extract_all(m, item), from_item))
+    links = F.when(F.lower(m).rlike("(?:tel|callto|sms|fax):"), each(start_tags(m, "a"), href_value, decoded))
+    items = F.when(F.contains(m, F.lit("itemprop")), each(extract_all(m, item), item_value, lambda x: trim_ws(decode_entities(x))))
     scripts = F.flatten(F.transform(ld, lambda s: extract_all(s, fv.DECLARED_JSON, 1)))
     none = F.array().cast("array<string>")
     return F.filter(F.concat(F.coalesce(links, none), F.coalesce(items, none), scripts), lambda x: x != "")
@@ -128,39 +129,48 @@ def _objection(p: Column, trusted: Column) -> Column:
     )
 
 
-def parse_phone(raw: Column, trusted: Column) -> Column:
-    """Struct(display, digits, reject) of one candidate; ``reject`` is NULL for a valid number."""
+def _clean(raw: Column) -> Column:
+    x = F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\x{A0}\x{2007}\x{202F}\x{2009}]", " ")
+    return trim_ws(F.regexp_replace(x, r"[\x{2010}-\x{2015}]", "-"))
 
-    def number(s: Column) -> Column:
-        """Cut the extension, then everything around the number itself."""
-        ext = extract(s, fv.PHONE_EXTENSION, 1)
-        core = F.when(ext != "", trim_ws(F.regexp_replace(s, fv.PHONE_EXTENSION, ""))).otherwise(s)
-        core = F.regexp_replace(F.regexp_replace(core, r"\A[^\d+(]+", ""), r"[^\d)]+\z", "")
-        core = F.regexp_replace(core, r"\A\((?=[^)]*\z)", "")
-        return F.struct(ext.alias("ext"), core.alias("core"))
 
-    def shape(x: Column) -> Column:
-        body = F.regexp_replace(x["core"], r"\A\+", "")
-        return F.struct(
-            x["ext"].alias("ext"), x["core"].startswith("+").alias("plus"), body.alias("body"),
-            F.regexp_replace(body, "[^0-9]", "").alias("digits"),
-            F.filter(F.split(body, r"[.\-" + fv.SP_CHARS + "]+"), lambda g: g != "").alias("groups"),
-            F.split(body, r"\.").alias("dots"),
-        )
+def _number(s: Column) -> Column:
+    """Cut the extension, then everything around the number itself."""
+    ext = extract(s, fv.PHONE_EXTENSION, 1)
+    core = F.when(ext != "", trim_ws(F.regexp_replace(s, fv.PHONE_EXTENSION, ""))).otherwise(s)
+    core = F.regexp_replace(F.regexp_replace(core, r"\A[^\d+(]+", ""), r"[^\d)]+\z", "")
+    return F.struct(ext.alias("ext"), F.regexp_replace(core, r"\A\((?=[^)]*\z)", "").alias("core"))
+
+
+def _shape(x: Column) -> Column:
+    body = F.regexp_replace(x["core"], r"\A\+", "")
+    return F.struct(
+        x["ext"].alias("ext"), x["core"].startswith("+").alias("plus"), body.alias("body"),
+        F.regexp_replace(body, "[^0-9]", "").alias("digits"),
+        F.filter(F.split(body, r"[.\-" + fv.SP_CHARS + "]+"), lambda g: g != "").alias("groups"),
+        F.split(body, r"\.").alias("dots"),
+    )
+
+
+def phone_steps(trusted: Column) -> tuple:
+    """Raw text -> struct(display, digits, reject), as consecutive steps for ``each`` / ``let``."""
 
     def verdict(p: Column) -> Column:
-        return let(
-            _objection(p, trusted),
-            lambda why: F.struct(
-                F.when(why.isNull(), _display(p["body"], p["plus"], p["ext"])).alias("display"),
-                p["digits"].alias("digits"), why.alias("reject"),
-            ),
+        return F.struct(_objection(p, trusted).alias("reject"), p.alias("p"))
+
+    def result(v: Column) -> Column:
+        p = v["p"]
+        return F.struct(
+            F.when(v["reject"].isNull(), _display(p["body"], p["plus"], p["ext"])).alias("display"),
+            p["digits"].alias("digits"), v["reject"].alias("reject"),
         )
 
-    clean = trim_ws(F.regexp_replace(
-        F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\x{A0}\x{2007}\x{202F}\x{2009}]", " "), r"[\x{2010}-\x{2015}]", "-"
-    ))
-    return let(let(let(clean, number), shape), verdict)
+    return (_clean, _number, _shape, verdict, result)
+
+
+def parse_phone(raw: Column, trusted: Column) -> Column:
+    """Struct(display, digits, reject) of one candidate; ``reject`` is NULL for a valid number."""
+    return let(raw, *phone_steps(trusted))
 
 
 def validate_phones(df: DataFrame, raw: str = "raw", trusted: str = "trusted") -> DataFrame:

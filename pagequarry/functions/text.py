@@ -6,6 +6,7 @@ where a cast or an index can miss).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -55,30 +56,55 @@ def array_of(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def literal_map(table: dict[str, str]) -> Column:
+    """A constant map, written as one literal so that plans stay small."""
+    text = "\x01".join(f"{k}\x02{v}" for k, v in table.items())
+    return F.str_to_map(F.lit(text), F.lit("\x01"), F.lit("\x02"))
+
+
+def quoted(words: Iterable[str]) -> str:
+    """Alternation of literals."""
+    return "|".join(re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", w) for w in words)
+
+
+def is_one_of(x: Column, words: Iterable[str]) -> Column:
+    """Membership in a constant list, as one literal pattern."""
+    return x.rlike(r"\A(?:" + quoted(words) + r")\z")
+
+
 def contains_any(x: Column, words: Iterable[str]) -> Column:
-    """True when ``x`` contains any of the given literals (a chain of plain substring tests)."""
-    out = None
+    """True when ``x`` contains any of the given literals."""
+    words = list(words)
+    if len(words) > 4:
+        return x.rlike(quoted(words))
+    out = F.lit(False)
     for w in words:
-        t = F.contains(x, F.lit(w))
-        out = t if out is None else out | t
-    return F.lit(False) if out is None else out
+        out = out | F.contains(x, F.lit(w))
+    return out
 
 
 def ends_with_any(x: Column, suffixes: Iterable[str]) -> Column:
-    out = None
-    for s in suffixes:
-        t = F.endswith(x, F.lit(s))
-        out = t if out is None else out | t
-    return F.lit(False) if out is None else out
+    return x.rlike("(?:" + quoted(suffixes) + r")\z")
 
 
 def blank_to_null(x: Column) -> Column:
     return F.when(x != "", x)
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def each(values: Column, *steps) -> Column:
+    """Run an array through several steps, one after the other.
+
+    A step may use its element many times at no cost.  The steps are consecutive ``transform``
+    calls, not nested ones: plans with flat lambdas are analysed far faster than deep ones.
+    """
+    for step in steps:
+        values = F.transform(values, step)
+    return values
+
+
+def let(value: Column, *steps) -> Column:
+    """``each`` for a single value: evaluated once, used several times inside a step."""
+    return F.get(each(F.array(value), *steps), F.lit(0))
 
 
 def round_half_up(x: Column) -> Column:
@@ -87,36 +113,22 @@ def round_half_up(x: Column) -> Column:
 
 def decode_entities(x: Column, names: dict[str, str] = fv.ENTITIES) -> Column:
     """HTML character references: numeric ones, and the named ones in ``names``."""
-    table = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
-
-    def numeric(name: Column) -> Column:
-        code = F.when(
-            F.lower(name).startswith("#x"), F.conv(drop_prefix(name, 2), 16, 10).try_cast("bigint")
-        ).otherwise(drop_prefix(name, 1).try_cast("bigint"))
-        # one UTF-32 unit; code points outside Unicode stay as written
-        return F.when(
+    table = literal_map(names)
+
+    def piece(p: Column, i: Column) -> Column:
+        code = F.coalesce(
+            extract(p, r"\A#([0-9]{1,7});", 1).try_cast("bigint"),
+            F.conv(blank_to_null(extract(p, r"\A#[xX]([0-9a-fA-F]{1,6});", 1)), 16, 10).try_cast("bigint"),
+        )
+        # one UTF-32 unit; references outside Unicode stay as written
+        numeric = F.when(
             code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF),
             F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"),
         )
+        named = F.try_element_at(table, extract(p, r"\A([A-Za-z][A-Za-z0-9]{1,31});", 1))
+        value = F.when(p.startswith("#"), numeric).otherwise(named)
+        return F.when(i == 0, p).otherwise(
+            F.coalesce(F.concat(value, F.regexp_replace(p, r"\A[^;]*;", "")), F.concat(F.lit("&"), p))
+        )
 
-    def piece(p: Column) -> Column:
-        name = extract(p, r"\A(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
-
-        def render(n: Column) -> Column:
-            value = F.when(n == "", F.lit(None).cast("string")).when(
-                n.startswith("#"), numeric(n)
-            ).otherwise(F.try_element_at(table, n))
-            return F.coalesce(
-                F.concat(value, drop_prefix(p, F.length(n) + F.lit(1))), F.concat(F.lit("&"), p)
-            )
-
-        return let(name, render)
-
-    def decode(v: Column) -> Column:
-        def join(parts: Column) -> Column:
-            tail = F.slice(parts, F.lit(2), F.size(parts))
-            return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(tail, piece), ""))
-
-        return F.when(F.contains(v, F.lit("&")), let(F.split(v, "&"), join)).otherwise(v)
-
-    return let(x, decode)
+    return F.array_join(F.transform(F.split(x, "&"), piece), "")

@@ -11,9 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import extract, let, trim_ws
+from .text import blank_to_null, each, extract, let, trim_ws
 
 _HTTP = r"(?i)\Ahttps?://"
+_OTHER_SCHEME = r"\A(?!(?i:https?://))[A-Za-z][A-Za-z0-9+.\-]*:"
 # scheme, authority, path, query, fragment
 _PARTS = r"(?s)\A([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
 # negated classes: everything but the characters that stay as they are
@@ -23,19 +24,17 @@ _FRAGMENT_SAFE = r"^\x21\x23-\x3b\x3d\x3f-\x5f\x61-\x7e"
 _HOST_OK = r"\A[^\s#%/:<>?@\[\\\]^|]+\z"
 
 
-def _encode(x: Column, unsafe: str) -> Column:
+def _encode(v: Column, unsafe: str) -> Column:
     """Percent-encode the characters matching ``unsafe`` (a character class body)."""
     ch = f"[{unsafe}]"
 
     def one(s: Column) -> Column:
         return F.when(s.rlike(ch), F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))).otherwise(s)
 
-    return let(
-        x, lambda v: F.when(v.rlike(ch), F.array_join(F.transform(F.split(v, ""), one), "")).otherwise(v)
-    )
+    return F.when(v.rlike(ch), F.array_join(F.transform(F.split(v, ""), one), "")).otherwise(v)
 
 
-def _resolve_dots(path: Column) -> Column:
+def _resolve_dots(p: Column) -> Column:
     """Remove ``.`` and ``..`` segments of an absolute path."""
 
     def step(acc: Column, seg: Column) -> Column:
@@ -45,15 +44,45 @@ def _resolve_dots(path: Column) -> Column:
             .otherwise(F.array_append(acc, seg))
         )
 
-    def resolve(p: Column) -> Column:
-        folded = F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/")
-        dir_end = p.rlike(r"/\.{1,2}\z")
-        return F.when(
-            p.rlike(r"(?:\A|/)\.{1,2}(?:/|\z)"),
-            let(folded, lambda f: F.when(dir_end & ~F.endswith(f, F.lit("/")), F.concat(f, F.lit("/"))).otherwise(f)),
-        ).otherwise(p)
+    # a final dot segment leaves a trailing slash
+    segments = F.split(F.regexp_replace(p, r"(/\.{1,2})\z", "$1/"), "/")
+    folded = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    return F.when(p.rlike(r"(?:\A|/)\.{1,2}(?:/|\z)"), folded).otherwise(p)
+
+
+def _split_url(u: Column) -> Column:
+    return F.struct(
+        F.lower(extract(u, _PARTS, 1)).alias("scheme"),
+        F.lower(F.regexp_replace(extract(u, _PARTS, 2), r"\A.*@", "")).alias("authority"),
+        F.coalesce(blank_to_null(F.regexp_replace(extract(u, _PARTS, 3), r"\\", "/")), F.lit("/")).alias("path"),
+        extract(u, _PARTS, 4).alias("query"),
+        extract(u, _PARTS, 5).alias("fragment"),
+    )
+
+
+def _canonical(p: Column) -> Column:
+    """Split parts to struct(scheme, host, path, query, fragment); NULL for a bad host."""
+    name = F.regexp_replace(p["authority"], r":\d*\z", "")
+    port = extract(p["authority"], r":(\d+)\z", 1)
+    default = ((p["scheme"] == "http") & (port == "80")) | ((p["scheme"] == "https") & (port == "443"))
+    return F.when(
+        (p["scheme"] != "") & name.rlike(_HOST_OK),
+        F.struct(
+            p["scheme"].alias("scheme"),
+            F.when(default | (port == ""), name).otherwise(F.concat(name, F.lit(":"), port)).alias("host"),
+            _resolve_dots(p["path"]).alias("path"),
+            F.when(p["query"] == "?", "").otherwise(_encode(p["query"], _QUERY_SAFE)).alias("query"),
+            F.when(p["fragment"] == "#", "").otherwise(_encode(p["fragment"], _FRAGMENT_SAFE)).alias("fragment"),
+        ),
+    )
+
+
+def _encoded_path(s: Column) -> Column:
+    return F.when(s.isNotNull(), s.withField("path", _encode(s["path"], _PATH_SAFE)))
+
 
-    return let(path, resolve)
+# absolute URL -> struct, as consecutive steps for ``each`` / ``let``
+URL_STEPS = (_split_url, _canonical, _encoded_path)
 
 
 def url_struct(url: Column) -> Column:
@@ -61,58 +90,26 @@ def url_struct(url: Column) -> Column:
 
     ``host`` keeps a non-default port, as a URL's host does.
     """
+    return let(url, *URL_STEPS)
 
-    def parts(u: Column) -> Column:
-        return F.struct(
-            F.lower(extract(u, _PARTS, 1)).alias("scheme"),
-            F.lower(F.regexp_replace(extract(u, _PARTS, 2), r"\A.*@", "")).alias("authority"),
-            F.regexp_replace(extract(u, _PARTS, 3), r"\\", "/").alias("path"),
-            extract(u, _PARTS, 4).alias("query"),
-            extract(u, _PARTS, 5).alias("fragment"),
-        )
 
-    def build(p: Column) -> Column:
-        name = F.regexp_replace(p["authority"], r":\d*\z", "")
-        port = extract(p["authority"], r":(\d+)\z", 1)
-        default = ((p["scheme"] == "http") & (port == "80")) | ((p["scheme"] == "https") & (port == "443"))
-        return F.when(
-            (p["scheme"] != "") & name.rlike(_HOST_OK),
-            F.struct(
-                p["scheme"].alias("scheme"),
-                F.when(default | (port == ""), name).otherwise(F.concat(name, F.lit(":"), port)).alias("host"),
-                F.when(p["path"] == "", F.lit("/")).otherwise(_encode(_resolve_dots(p["path"]), _PATH_SAFE)).alias("path"),
-                F.when(p["query"] == "?", "").otherwise(_encode(p["query"], _QUERY_SAFE)).alias("query"),
-                F.when(p["fragment"] == "#", "").otherwise(_encode(p["fragment"], _FRAGMENT_SAFE)).alias("fragment"),
-            ),
-        )
+def _with_scheme(t: Column) -> Column:
+    return F.when(t.rlike(_HTTP), t).otherwise(F.concat(F.lit("https://"), t))
 
-    return let(let(url, parts), build)
 
-
-def _with_scheme(url: Column) -> Column:
-    return let(
-        trim_ws(url), lambda t: F.when(t.rlike(_HTTP), t).otherwise(F.concat(F.lit("https://"), t))
-    )
+def _full(s: Column) -> Column:
+    return F.concat(s["scheme"], F.lit("://"), s["host"], F.rtrim(s["path"], F.lit("/")), s["query"], s["fragment"])
 
 
 def normalize_url(url: Column) -> Column:
     """Trimmed, with scheme, lower-case host, no trailing slash on the path."""
-
-    def build(full: Column) -> Column:
-        return let(
-            url_struct(full),
-            lambda s: F.coalesce(
-                F.concat(s["scheme"], F.lit("://"), s["host"], F.rtrim(s["path"], F.lit("/")), s["query"], s["fragment"]),
-                full,
-            ),
-        )
-
-    return let(_with_scheme(url), build)
+    typed = let(trim_ws(url), _with_scheme)
+    return F.coalesce(_full(url_struct(typed)), typed)
 
 
 def site_key(url: Column) -> Column:
     """Host (with port) in lower case; '' when the URL does not parse."""
-    return F.coalesce(url_struct(_with_scheme(url))["host"], F.lit(""))
+    return F.coalesce(url_struct(let(trim_ws(url), _with_scheme))["host"], F.lit(""))
 
 
 def page_key(url: Column) -> Column:
@@ -125,31 +122,30 @@ def is_same_site(host: Column, base: Column) -> Column:
     return F.coalesce((host == base) | F.endswith(host, F.concat(F.lit("."), base)), F.lit(False))
 
 
-def resolve_url(base: Column, href: Column) -> Column:
-    """Struct of the absolute URL that ``href`` on page ``base`` points to (NULL: unparsable).
+def resolve_links(base: Column, hrefs: Column) -> Column:
+    """Array of the URL structs that the hrefs of page ``base`` point to (NULL: unparsable).
 
-    Schemes other than http(s) come back with an empty host.
+    ``base`` is the struct of the page's URL.  Schemes other than http(s) get an empty host.
     """
+    origin = F.concat(base["scheme"], F.lit("://"), base["host"])
+    folder = F.concat(origin, F.regexp_replace(base["path"], r"[^/]*\z", ""))
 
-    def join(b: Column, href: Column) -> Column:
-        origin = F.concat(b["scheme"], F.lit("://"), b["host"])
-        folder = F.regexp_replace(b["path"], r"[^/]*\z", "")
-        absolute = (
-            F.when(href.rlike(_HTTP), href)
-            .when(href.rlike(r"\A[/\\]{2}"), F.concat(b["scheme"], F.lit(":"), href))
-            .when(href.rlike(r"\A[/\\]"), F.concat(origin, href))
-            .when(href.startswith("?"), F.concat(origin, b["path"], href))
-            .when(href.startswith("#") | (href == ""), F.concat(origin, b["path"], b["query"], href))
-            .otherwise(F.concat(origin, folder, href))
-        )
-        other = href.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:") & ~href.rlike(_HTTP)
-        foreign = F.struct(
-            F.lower(extract(href, r"\A([^:]*):", 1)).alias("scheme"), F.lit("").alias("host"),
-            F.lit("").alias("path"), F.lit("").alias("query"), F.lit("").alias("fragment"),
+    def absolute(h: Column) -> Column:
+        return (
+            F.when(h.rlike(_HTTP), h)
+            .when(h.rlike(_OTHER_SCHEME), F.concat(F.regexp_replace(h, r"(?s)\A([^:]*):.*\z", "$1"), F.lit("://x")))
+            .when(h.rlike(r"\A[/\\]{2}"), F.concat(base["scheme"], F.lit(":"), h))
+            .when(h.rlike(r"\A[/\\]"), F.concat(origin, h))
+            .when(h.startswith("?"), F.concat(origin, base["path"], h))
+            .when(h.startswith("#") | (h == ""), F.concat(origin, base["path"], base["query"], h))
+            .otherwise(F.concat(folder, h))
         )
-        return F.when(other, foreign).otherwise(url_struct(absolute))
 
-    return let(href, lambda h: let(url_struct(base), lambda b: join(b, h)))
+    def blank_foreign(s: Column) -> Column:
+        web = s["scheme"].isin("http", "https")
+        return F.when(web, s).when(s.isNotNull(), s.withField("host", F.lit("")))
+
+    return each(hrefs, absolute, *URL_STEPS, blank_foreign)
 
 
 def strip_query_fragment(s: Column) -> Column:

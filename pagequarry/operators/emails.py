@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.emails import (
-    classify_email, domain_part, emails_in, is_on_site, is_usable_email, normalize_usable_email, page_email_hits,
+    classify_email, domain_part, emails_in, is_on_site, normalize_usable_email, page_email_hits,
 )
 from ..functions.html import attr, markup, start_tags, visible_text
 from ..functions.text import trim_ws
@@ -67,7 +67,7 @@ def _email_score(email: Column, domain: Column, kind: Column, on_site: Column) -
     return F.greatest(F.lit(5), F.least(F.lit(99), score))
 
 
-def score_emails(hits: DataFrame, max_sources: int | None = None) -> DataFrame:
+def score_emails(hits: DataFrame) -> DataFrame:
     """One row per (domain, email) from hits ``(domain, page_id, url, ord, email, via_mailto, on_contact_page)``.
 
     A finder run reads at most fifteen pages per site, so ``sources`` is short; the counts come

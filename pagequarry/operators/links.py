@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.html import attr, markup, start_tags
-from ..functions.text import contains_any, extract, extract_all, let, squeeze, trim_ws
+from ..functions.text import contains_any, each, extract, extract_all, let, trim_ws
 from ..functions.urls import (
-    is_same_site, is_valid_url, normalize_url, path_of, resolve_url, site_key, strip_query_fragment,
+    is_same_site, is_valid_url, normalize_url, resolve_links, site_key, strip_query_fragment, url_struct,
 )
 from .page_facts import with_domain
 
-__all__ = ["normalize_urls", "valid_urls", "page_links", "rank_links", "score_links", "link_counts", "site_links_array", "scored_links_array"]
+__all__ = ["normalize_urls", "valid_urls", "page_links", "rank_links", "score_links", "link_counts", "site_links_array", "scored_links"]
 
 
 def normalize_urls(df: DataFrame, column: str = "url") -> DataFrame:
@@ -33,8 +33,9 @@ def _hrefs(html: Column, skip: str = fv.SKIP_HREF) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """One row per anchor: ``ord, href, url, host, kind`` (kind is internal, external or other)."""
     p = with_domain(pages).select("domain", "page_id", "url", _hrefs(F.col("html")).alias("hrefs"))
-    p = p.select("domain", "page_id", F.col("url").alias("page_url"), F.posexplode("hrefs").alias("ord", "href"))
-    p = p.withColumn("s", resolve_url(F.col("page_url"), F.col("href"))).filter(F.col("s").isNotNull())
+    p = p.withColumn("base", url_struct(F.col("url")))
+    p = p.select("domain", "page_id", F.posexplode(F.arrays_zip("hrefs", resolve_links(F.col("base"), F.col("hrefs")).alias("s"))).alias("ord", "l"))
+    p = p.select("domain", "page_id", "ord", F.col("l.hrefs").alias("href"), F.col("l.s").alias("s")).filter(F.col("s").isNotNull())
     web = F.col("s.scheme").isin("http", "https")
     kind = F.when(web & is_same_site(F.col("s.host"), F.col("domain")), "internal").when(web, "external").otherwise("other")
     return p.select(
@@ -43,25 +44,21 @@ def page_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def site_links_array(html: Column, url: Column) -> Column:
+def site_links_array(html: Column, base: Column) -> Column:
     """Every distinct http(s) link of a page as struct(url, host, priority), in first-seen order.
 
-    Independent of any site, so one column serves walks that start from different hosts.
+    ``base`` is the struct of the page's URL.  Independent of any site, so one column serves
+    walks that start from different hosts.
     """
 
-    def target(h: Column) -> Column:
-        return let(
-            resolve_url(url, h),
-            lambda s: F.when(
-                s["scheme"].isin("http", "https"),
-                F.struct(
-                    strip_query_fragment(s).alias("url"), s["host"].alias("host"),
-                    contains_any(F.lower(F.rtrim(s["path"], F.lit("/"))), fv.PRIORITY_PATHS).alias("priority"),
-                ),
-            ),
+    def target(s: Column) -> Column:
+        return F.struct(
+            strip_query_fragment(s).alias("url"), s["host"].alias("host"),
+            contains_any(F.lower(F.rtrim(s["path"], F.lit("/"))), fv.PRIORITY_PATHS).alias("priority"),
         )
 
-    return F.array_distinct(F.filter(F.transform(_hrefs(html), target), lambda s: s.isNotNull()))
+    web = F.filter(resolve_links(base, _hrefs(html)), lambda s: s["scheme"].isin("http", "https"))
+    return F.array_distinct(F.transform(web, target))
 
 
 def priority_first(links: Column, base: Column) -> Column:
@@ -77,57 +74,67 @@ def priority_first(links: Column, base: Column) -> Column:
 def rank_links(pages: DataFrame) -> DataFrame:
     """Distinct same-site links of each page with their rank: priority paths first."""
     p = with_domain(pages)
-    p = p.select("domain", "page_id", site_links_array(F.col("html"), F.col("url")).alias("links"))
+    p = p.select("domain", "page_id", "html", url_struct(F.col("url")).alias("base"))
+    p = p.select("domain", "page_id", site_links_array(F.col("html"), F.col("base")).alias("links"))
     return p.select("domain", "page_id", F.posexplode(priority_first(F.col("links"), F.col("domain"))).alias("rank", "url"))
 
 
-def scored_links_array(html: Column, url: Column, domain: Column, keywords: list[str]) -> Column:
-    """Same-site links of a page, best contact candidates first: array of struct(neg_score, ord, url, anchor)."""
-    tags = extract_all(html, fv.FINDER_ANCHOR)
-
-    def link(t: Column, i: Column) -> Column:
-        href = trim_ws(extract(t, fv.FINDER_ANCHOR, 1))
-        anchor = F.lower(F.regexp_replace(extract(t, fv.FINDER_ANCHOR, 2), r"<[^>]*>", " "))
-        good = (href != "") & ~href.rlike(fv.SKIP_HREF_FINDER)
-        return let(
-            resolve_url(url, href),
-            lambda s: F.when(
-                good & is_same_site(s["host"], domain),
-                F.struct(i.alias("ord"), strip_query_fragment(s).alias("url"), anchor.alias("anchor"), F.lower(s["path"]).alias("path")),
+def scored_links(pages: DataFrame, keywords: list[str]) -> DataFrame:
+    """Adds ``scored``: same-site links, best contact candidates first, as array of
+    struct(neg_score, ord, url, anchor)."""
+    keep = [c for c in pages.columns if c != "html"]
+    words = [k for k in keywords if k]
+    tags = extract_all(F.col("html"), fv.FINDER_ANCHOR)
+    p = pages.select(
+        *keep, url_struct(F.col("url")).alias("base"),
+        F.transform(
+            tags,
+            lambda t: F.struct(
+                trim_ws(extract(t, fv.FINDER_ANCHOR, 1)).alias("href"),
+                F.lower(F.regexp_replace(extract(t, fv.FINDER_ANCHOR, 2), r"<[^>]*>", " ")).alias("anchor"),
             ),
-        )
+        ).alias("tags"),
+    )
+    p = p.withColumn("targets", resolve_links(F.col("base"), F.transform("tags", lambda t: t["href"])))
 
-    found = F.filter(F.transform(tags, link), lambda x: x.isNotNull() & ~x["url"].rlike(fv.FILE_LINK))
-    # keep the first of each url
-    def firsts(xs: Column) -> Column:
-        return F.filter(xs, lambda x: ~F.exists(xs, lambda y: (y["url"] == x["url"]) & (y["ord"] < x["ord"])))
+    def link(t: Column, s: Column) -> Column:
+        good = (t["href"] != "") & ~t["href"].rlike(fv.SKIP_HREF_FINDER) & is_same_site(s["host"], F.col("domain"))
+        return F.when(good, F.struct(strip_query_fragment(s).alias("url"), t["anchor"].alias("anchor"), F.lower(s["path"]).alias("path")))
 
-    words = [k for k in keywords if k]
+    p = p.withColumn("found", F.zip_with("tags", "targets", link))
+    p = p.withColumn("found", F.filter("found", lambda x: x.isNotNull() & ~x["url"].rlike(fv.FILE_LINK)))
+    # of each url the first occurrence counts
+    p = p.withColumn("urls", F.array_distinct(F.transform("found", lambda x: x["url"])))
 
-    def scored(x: Column) -> Column:
+    def first(u: Column, i: Column) -> Column:
+        return F.struct(i.alias("ord"), F.element_at(F.filter("found", lambda f: f["url"] == u), 1).alias("x"))
+
+    def scored(e: Column) -> Column:
+        x = e["x"]
         score = (
             F.when(contains_any(x["path"], fv.CONTACT_HINTS + words), 10.0).otherwise(0.0)
             + F.when(contains_any(x["anchor"], fv.CONTACT_HINTS), 6.0).otherwise(0.0)
             + F.when(contains_any(x["anchor"], words), 4.0).otherwise(0.0)
             - (F.size(F.split(x["url"], "/")) - 3) * 0.5
         )
-        return F.struct((-score).alias("neg_score"), x["ord"].alias("ord"), x["url"].alias("url"), x["anchor"].alias("anchor"))
+        return F.struct((-score).alias("neg_score"), e["ord"].alias("ord"), x["url"].alias("url"))
 
-    return F.array_sort(F.transform(let(found, firsts), scored))
+    return p.select(*keep, F.array_sort(each(F.transform("urls", first), scored)).alias("scored"))
 
 
 def score_links(pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
     """Same-site links of each page with the contact score and rank."""
     words = [k.strip().lower() for k in (keywords or []) if k.strip()][: fv.FINDER_MAX_KEYWORDS]
-    p = with_domain(pages)
-    p = p.select("domain", "page_id", F.posexplode(scored_links_array(F.col("html"), F.col("url"), F.col("domain"), words)).alias("rank", "l"))
+    p = scored_links(with_domain(pages).select("domain", "page_id", "url", "html"), words)
+    p = p.select("domain", "page_id", F.posexplode("scored").alias("rank", "l"))
     return p.select("domain", "page_id", "rank", "l.url", (-F.col("l.neg_score")).alias("score"))
 
 
 def link_counts(pages: DataFrame) -> DataFrame:
     """Same-site and other links per page; schemes without a host count as external."""
     p = with_domain(pages).select("domain", "page_id", "url", _hrefs(F.col("html")).alias("hrefs"))
-    hosts = F.transform("hrefs", lambda h: resolve_url(F.col("url"), h)["host"])
+    p = p.withColumn("base", url_struct(F.col("url")))
+    hosts = F.transform(resolve_links(F.col("base"), F.col("hrefs")), lambda s: s["host"])
     p = p.select("domain", "page_id", F.filter(hosts, lambda h: h.isNotNull()).alias("hosts"))
     internal = F.size(F.filter("hosts", lambda h: is_same_site(h, F.col("domain"))))
     return p.select(

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.html import (
-    attr, body_text, element_texts, markup, script_bodies, start_tags, visible_text as visible_text_of, lines_of, TOKEN,
+    attr, raw_attr, body_text, element_texts, markup, script_bodies, start_tags, visible_text as visible_text_of, lines_of, TOKEN,
 )
 from ..functions.text import (
-    array_of, blank_to_null, contains_any, decode_entities, drop_prefix, extract, extract_all, let, squeeze, trim_ws,
+    array_of, blank_to_null, contains_any, decode_entities, each, extract, extract_all, let, literal_map, squeeze, trim_ws,
 )
-from ..functions.urls import is_same_site, path_of, resolve_url, site_key, url_struct
+from ..functions.urls import URL_STEPS, is_same_site, path_of, resolve_links, site_key, url_struct
 
 __all__ = [
     "with_domain", "page_tokens", "visible_text", "visible_lines", "extract_metadata", "extract_seo",
@@ -84,7 +84,7 @@ def _first(values: Column) -> Column:
 
 def _meta(metas: Column, key: str, value: str) -> Column:
     """Content of the meta tags whose attribute ``key`` equals ``value``, in page order."""
-    return F.transform(F.filter(metas, lambda t: attr(t, key) == value), lambda t: attr(t, "content"))
+    return F.transform(F.filter(metas, lambda t: raw_attr(t, key) == value), lambda t: attr(t, "content"))
 
 
 def _titles(m: Column) -> Column:
@@ -97,7 +97,7 @@ def extract_metadata(pages: DataFrame) -> DataFrame:
     p = p.select("domain", "page_id", _first(_titles(F.col("m"))).alias("title"), start_tags(F.col("m"), "meta").alias("metas"))
     described = F.filter(
         "metas",
-        lambda t: (F.lower(attr(t, "name")) == "description") | (F.lower(attr(t, "property")) == "og:description"),
+        lambda t: (F.lower(raw_attr(t, "name")) == "description") | (F.lower(raw_attr(t, "property")) == "og:description"),
     )
     description = F.get(F.filter(F.transform(described, lambda t: trim_ws(attr(t, "content"))), lambda v: v != ""), F.lit(0))
     og = F.try_element_at(_meta(F.col("metas"), "property", "og:title"), F.lit(-1))
@@ -111,7 +111,7 @@ def extract_metadata(pages: DataFrame) -> DataFrame:
 def _tag_map(metas: Column, key: str, prefix: str) -> Column:
     """Map of meta tags whose ``key`` starts with ``prefix``; the last of a name wins."""
     pairs = F.filter(
-        F.transform(metas, lambda t: F.struct(attr(t, key).alias("k"), attr(t, "content").alias("v"))),
+        F.transform(metas, lambda t: F.struct(raw_attr(t, key).alias("k"), attr(t, "content").alias("v"))),
         lambda e: F.startswith(e["k"], F.lit(prefix)) & (e["v"] != ""),
     )
 
@@ -140,7 +140,8 @@ def extract_seo(pages: DataFrame) -> DataFrame:
         start_tags(F.col("m"), "img").alias("imgs"),
         trim_ws(squeeze(body_text(F.col("html")))).alias("body"),
     )
-    hosts = F.transform("hrefs", lambda h: resolve_url(F.col("url"), h)["host"])
+    p = p.withColumn("base", url_struct(F.col("url")))
+    hosts = F.transform(resolve_links(F.col("base"), F.col("hrefs")), lambda s: s["host"])
     p = p.withColumn("hosts", F.filter(hosts, lambda h: h.isNotNull()))
 
     def headings(name: str, cap: int) -> Column:
@@ -148,7 +149,7 @@ def extract_seo(pages: DataFrame) -> DataFrame:
         return F.slice(F.filter(texts, lambda x: x != ""), 1, cap)
 
     metas = F.col("metas")
-    canonical = F.transform(F.filter("link_tags", lambda t: attr(t, "rel") == "canonical"), lambda t: attr(t, "href"))
+    canonical = F.transform(F.filter("link_tags", lambda t: raw_attr(t, "rel") == "canonical"), lambda t: attr(t, "href"))
     internal = F.size(F.filter("hosts", lambda h: is_same_site(h, F.col("domain"))))
     p = p.select(
         "domain", "page_id",
@@ -157,13 +158,13 @@ def extract_seo(pages: DataFrame) -> DataFrame:
         trim_ws(_first(_meta(metas, "name", "keywords"))).alias("meta_keywords"),
         trim_ws(_first(canonical)).alias("canonical"),
         trim_ws(_first(_meta(metas, "name", "robots"))).alias("robots"),
-        F.exists("metas", lambda t: attr(t, "name") == "viewport").alias("viewport"),
-        trim_ws(_first(F.transform(start_tags(F.col("m"), "html"), lambda t: attr(t, "lang")))).alias("lang"),
+        F.exists("metas", lambda t: raw_attr(t, "name") == "viewport").alias("viewport"),
+        trim_ws(_first(F.transform(start_tags(F.col("m"), "html"), lambda t: raw_attr(t, "lang")))).alias("lang"),
         headings("h1", fv.MAX_H1).alias("h1"), headings("h2", fv.MAX_H2).alias("h2"), headings("h3", fv.MAX_H3).alias("h3"),
         _tag_map(metas, "property", "og:").alias("og_tags"),
         _tag_map(metas, "name", "twitter:").alias("twitter_tags"),
         F.size("imgs").alias("image_count"),
-        F.size(F.filter("imgs", lambda t: trim_ws(attr(t, "alt")) == "")).alias("images_missing_alt"),
+        F.size(F.filter("imgs", lambda t: trim_ws(raw_attr(t, "alt")) == "")).alias("images_missing_alt"),
         F.when(F.col("body") == "", 0).otherwise(F.size(F.split("body", " "))).alias("word_count"),
         internal.alias("internal_links"),
         (F.size("hosts") - internal).alias("external_links"),
@@ -172,16 +173,15 @@ def extract_seo(pages: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------ social profiles
-def _clean_social(raw: Column) -> Column:
-    """``scheme://host/path`` of a profile link; NULL when the path or the link is too short."""
-    full = F.when(raw.startswith("http"), raw).otherwise(F.concat(F.lit("https://"), F.ltrim(raw, F.lit("/"))))
+def _absolute_profile(raw: Column) -> Column:
+    return F.when(raw.startswith("http"), raw).otherwise(F.concat(F.lit("https://"), F.ltrim(raw, F.lit("/"))))
 
-    def build(s: Column) -> Column:
-        path = F.rtrim(s["path"], F.lit("/"))
-        clean = F.concat(s["scheme"], F.lit("://"), s["host"], path)
-        return F.when((F.length(path) >= 2) & (F.length(clean) > 15), clean)
 
-    return let(url_struct(full), build)
+def _profile(s: Column) -> Column:
+    """``scheme://host/path`` of a profile link; NULL when the path or the link is too short."""
+    path = F.rtrim(s["path"], F.lit("/"))
+    clean = F.concat(s["scheme"], F.lit("://"), s["host"], path)
+    return F.when((F.length(path) >= 2) & (F.length(clean) > 15), clean)
 
 
 def extract_social(pages: DataFrame) -> DataFrame:
@@ -190,20 +190,18 @@ def extract_social(pages: DataFrame) -> DataFrame:
     hrefs = F.transform(start_tags(F.col("m"), "a"), lambda t: trim_ws(attr(t, "href")))
     p = p.withColumn("hrefs", F.filter(hrefs, lambda h: F.contains(F.lower(h), F.lit(".com/"))))
 
-    def profiles(platform: str, pattern: str) -> Column:
+    def found(platform: str, pattern: str) -> Column:
         rx = "(?i)" + pattern
-        found = F.concat(F.filter("hrefs", lambda h: h.rlike(rx)), extract_all(F.col("html"), rx))
-        urls = F.array_distinct(F.filter(F.transform(found, _clean_social), lambda u: u.isNotNull()))
+        raw = F.concat(F.filter("hrefs", lambda h: h.rlike(rx)), extract_all(F.col("html"), rx))
         gate = F.contains(F.col("lo"), F.lit(fv.SOCIAL_GATES[platform]))
-        return F.transform(
-            F.when(gate, urls).otherwise(F.array().cast("array<string>")),
-            lambda u: F.struct(F.lit(platform).alias("platform"), u.alias("url")),
-        )
+        return F.transform(F.when(gate, raw), lambda u: F.struct(F.lit(platform).alias("platform"), u.alias("url")))
 
-    per_platform = [profiles(k, v) for k, v in fv.SOCIAL_PATTERNS.items()]
-    return p.select("domain", "page_id", F.explode(F.flatten(F.array(*per_platform))).alias("s")).select(
-        "domain", "page_id", "s.platform", "s.url"
-    )
+    none = F.array().cast("array<struct<platform:string,url:string>>")
+    p = p.select("domain", "page_id", F.concat(*[F.coalesce(found(k, v), none) for k, v in fv.SOCIAL_PATTERNS.items()]).alias("raw"))
+    cleaned = each(F.transform("raw", lambda r: r["url"]), _absolute_profile, *URL_STEPS, _profile)
+    pairs = F.zip_with("raw", cleaned, lambda r, u: F.struct(r["platform"].alias("platform"), u.alias("url")))
+    kept = F.array_distinct(F.filter(pairs, lambda s: s["url"].isNotNull()))
+    return p.select("domain", "page_id", F.explode(kept).alias("s")).select("domain", "page_id", "s.platform", "s.url")
 
 
 # ------------------------------------------------------------------------------ technologies
@@ -311,7 +309,7 @@ def detect_business_name(pages: DataFrame) -> DataFrame:
 
 def _names_email(tags: Column) -> Column:
     def signature(t: Column) -> Column:
-        return F.lower(F.concat_ws(" ", attr(t, "type"), attr(t, "name"), attr(t, "id"), attr(t, "placeholder")))
+        return F.lower(F.concat_ws(" ", raw_attr(t, "type"), raw_attr(t, "name"), raw_attr(t, "id"), raw_attr(t, "placeholder")))
 
     return F.exists(tags, lambda t: contains_any(signature(t), ["email", "e-mail"]))
 
@@ -324,7 +322,7 @@ def has_contact_form(pages: DataFrame) -> DataFrame:
 
     def carries_message(f: Column) -> Column:
         tag = extract(f, r"(?is)\A<form(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", 0)
-        named = F.lower(F.concat_ws(" ", attr(tag, "id"), attr(tag, "class"), attr(tag, "action"), attr(tag, "name")))
+        named = F.lower(F.concat_ws(" ", raw_attr(tag, "id"), raw_attr(tag, "class"), raw_attr(tag, "action"), raw_attr(tag, "name")))
         inputs = start_tags(f, "input")
         return ~named.rlike(fv.NOT_A_CONTACT_FORM) & (
             f.rlike(r"(?i)<textarea[\s/>]") | ((F.size(inputs) >= 2) & _names_email(inputs))
@@ -345,7 +343,7 @@ def classify_category(pages: DataFrame) -> DataFrame:
         element_texts(m, "h1|h2").alias("heads"), script_bodies(F.col("html")).alias("ld"),
         F.lower(visible_text_of(F.col("html"))).substr(1, fv.CATEGORY_BODY_CHARS).alias("body"),
     )
-    table = F.create_map(*[F.lit(v) for kv in fv.SCHEMA_CATEGORY.items() for v in kv])
+    table = literal_map(fv.SCHEMA_CATEGORY)
     typed = F.flatten(F.transform("ld", lambda s: extract_all(s, r'"@type"\s*:\s*"([A-Za-z]+)"', 1)))
     declared = F.get(F.filter(F.transform(typed, lambda t: F.try_element_at(table, F.lower(t))), lambda x: x.isNotNull()), F.lit(0))
     strong = F.lower(F.concat_ws(

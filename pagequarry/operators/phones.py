@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import lines_of, markup, script_bodies, visible_text
-from ..functions.phones import declared_numbers, parse_phone, scan_lines, validate_phones
+from ..functions.phones import declared_numbers, phone_steps, scan_lines, validate_phones
+from ..functions.text import each
 from .page_facts import with_domain
 
 __all__ = ["extract_phones", "text_phones", "dedupe_phones", "validate_phones"]
@@ -14,7 +15,7 @@ __all__ = ["extract_phones", "text_phones", "dedupe_phones", "validate_phones"]
 
 def _accepted(values: Column, trusted: bool) -> Column:
     """Candidates to array of struct(display, digits, trusted), rejects dropped."""
-    parsed = F.filter(F.transform(values, lambda v: parse_phone(v, F.lit(trusted))), lambda p: p["reject"].isNull())
+    parsed = F.filter(each(values, *phone_steps(F.lit(trusted))), lambda p: p["reject"].isNull())
     return F.transform(
         parsed, lambda p: F.struct(p["display"].alias("display"), p["digits"].alias("digits"), F.lit(trusted).alias("trusted"))
     )
