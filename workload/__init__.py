@@ -1,0 +1,15 @@
+"""Registered queries over the given tables, with SQL that checks them."""
+
+
+def _load():
+    from . import queries_pages, registry  # noqa: F401
+
+    return registry
+
+
+def all_queries():
+    return dict(_load().QUERIES)
+
+
+def all_oracles():
+    return dict(_load().ORACLES)
