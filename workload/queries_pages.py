@@ -189,9 +189,9 @@ def _keyword_sql(source: str) -> str:
     words = ", ".join(f"({i}, {st.q(k)}, {st.q(k.lower())})" for i, k in enumerate(KEYWORDS))
     return f"""hits AS (SELECT b.*, keyword, n AS keyword_no,
    CAST((length(lo) - length(replace(lo, low, ''))) / length(low) AS BIGINT) AS "count",
-   concat(CASE WHEN at > 41 THEN '…' ELSE '' END, trim(substr(t, greatest(at - 40, 1), least(length(t), at + length(low) + 39) - greatest(at - 41, 0))),
-          CASE WHEN at + length(low) + 39 < length(t) THEN '…' ELSE '' END) AS sample
-   FROM (SELECT b.*, n, keyword, low, strpos(lo, low) AS at FROM ({source}) b, (VALUES {words}) w(n, keyword, low)) b WHERE at > 0)"""
+   concat(CASE WHEN hit > 41 THEN '…' ELSE '' END, trim(substr(t, greatest(hit - 40, 1), least(length(t), hit + length(low) + 39) - greatest(hit - 41, 0))),
+          CASE WHEN hit + length(low) + 39 < length(t) THEN '…' ELSE '' END) AS sample
+   FROM (SELECT b.*, n, keyword, low, strpos(lo, low) AS hit FROM ({source}) b, (VALUES {words}) w(n, keyword, low)) b WHERE hit > 0)"""
 
 
 _BODIES = f"SELECT host AS domain, page_id, t, lower(t) AS lo FROM (SELECT host, page_id, {st.squeeze(st.BODY_TEXT)} AS t FROM pages_site)"

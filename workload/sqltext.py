@@ -7,7 +7,7 @@ from pagequarry.functions import fixed_values as fv
 from .derived import RICH_CTE
 
 SPW = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-TAG = r"(?s)</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|''[^'']*'')*>|</?[a-zA-Z][^>]*>|<[!?][^>]*>"
+TAG = r"(?s)</?[a-zA-Z](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>|</?[a-zA-Z][^>]*>|<[!?][^>]*>"
 
 
 def q(text: str) -> str:
