@@ -295,8 +295,8 @@ def format_duration(seconds: Column) -> Column:
 def retained_campaigns(status: DataFrame, now: Column, keep: int = fv.RETAINED_CAMPAIGNS) -> DataFrame:
     """Campaigns still listed: unfinished ones, and those finished within the hour, the newest
     ``keep`` in all.  Only finished campaigns are ever dropped."""
-    age = now.cast("double") - F.col("finished_at").cast("double")
-    live = status.filter(F.col("finished_at").isNull() | (age <= fv.RETENTION_SECONDS))
+    oldest = now - F.make_dt_interval(secs=F.lit(fv.RETENTION_SECONDS))
+    live = status.filter(F.col("finished_at").isNull() | (F.col("finished_at") >= oldest))
     running = live.filter(F.col("finished_at").isNull())
     room = max(0, keep - running.count())  # one number
     finished = live.filter(F.col("finished_at").isNotNull()).orderBy(F.col("finished_at").desc(), "campaign_id").limit(room)

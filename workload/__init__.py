@@ -2,7 +2,7 @@
 
 
 def _load():
-    from . import queries_pages, registry  # noqa: F401
+    from . import queries_lists, queries_pages, queries_sites, registry  # noqa: F401
 
     return registry
 
