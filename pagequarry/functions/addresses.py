@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixed_values as fv
 from .countries import country_codes, country_names, region_names
 from .fixed_values import SP, SP_CHARS, W0, W1
-from .text import blank_to_null, each, extract_all, let, literal_map, quoted, squeeze, trim_ws
+from .text import each, extract_all, let, literal_map, quoted, squeeze, trim_ws
 
 _DASH = r"\-–—"
 
@@ -48,8 +48,8 @@ UNIT_LED = (
 # ------------------------------------------------------------------------------ countries
 def country_name(raw: Column) -> Column:
     """Alias or two-letter code to the country's name; anything else unchanged."""
-    t = trim_ws(raw)
-    return F.coalesce(F.try_element_at(literal_map({**region_names(), **fv.COUNTRY_ALIASES}), F.upper(t)), t)
+    names = literal_map({**region_names(), **fv.COUNTRY_ALIASES})
+    return F.coalesce(F.try_element_at(names, F.upper(trim_ws(raw))), trim_ws(raw))
 
 
 def _countries() -> str:
@@ -121,13 +121,24 @@ def address_substance(t: Column) -> Column:
     )
 
 
+def present_parts(parts: Column) -> Column:
+    return F.struct(*[F.nullif(trim_ws(parts[p]), F.lit("")).alias(p) for p in fv.ADDRESS_PARTS])
+
+
+def address_line(p: Column) -> Column:
+    street, locality, region, postal, country = (p[x] for x in fv.ADDRESS_PARTS)
+    tail = F.nullif(F.concat_ws(" ", postal, country_name(country)), F.lit(""))
+    joined = clean_address(F.concat_ws(", ", street, locality, region, tail))
+    return F.when(street.isNotNull() | locality.isNotNull(), joined)
+
+
+# struct of the five postal parts -> one line, as consecutive steps for ``each`` / ``let``
+JOIN_STEPS = (present_parts, address_line, lambda line: F.when(F.length(line) >= fv.ADDRESS_MIN, line))
+
+
 def join_address_parts(parts: Column) -> Column:
     """One line from a struct of the five postal parts; NULL without street or locality."""
-    street, locality, region, postal, country = (blank_to_null(trim_ws(parts[p])) for p in fv.ADDRESS_PARTS)
-    tail = blank_to_null(F.concat_ws(" ", postal, country_name(country)))
-    joined = clean_address(F.concat_ws(", ", street, locality, region, tail))
-    named = street.isNotNull() | locality.isNotNull()
-    return let(F.when(named, joined), lambda j: F.when(F.length(j) >= fv.ADDRESS_MIN, j))
+    return let(parts, *JOIN_STEPS)
 
 
 # ------------------------------------------------------------------------------ line arrays

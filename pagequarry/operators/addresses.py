@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.addresses import (
-    finalize_addresses, greedy_spans, has_address_word, join_address_parts, mined, walked_back,
+    JOIN_STEPS, finalize_addresses, greedy_spans, has_address_word, mined, walked_back,
 )
 from ..functions.html import body_of, lines_of, marked, raw_attr, strip_tags, text_of_marked
 from ..functions.text import blank_to_null, decode_entities, each, extract, squeeze, trim_ws
@@ -84,7 +84,9 @@ def _containers_udf():
     def batch(html: pd.Series) -> pd.Series:
         return html.map(lambda h: containers(h) if h else [])
 
-    return F.pandas_udf(batch, "array<struct<kind:string,inner:string>>", F.PandasUDFType.SCALAR)
+    # real types, not the strings that postponed annotations leave behind
+    batch.__annotations__ = {"html": pd.Series, "return": pd.Series}
+    return F.pandas_udf(batch, "array<struct<kind:string,inner:string>>")
 
 
 _HINT_GATE = r"(?i)<(?:address|footer)[\s/>]|postaladdress|itemprop|addr|location|contact-info|contact-detail|branch|office|footer"
@@ -117,7 +119,7 @@ def _items(scope: Column) -> Column:
 
 
 def _from_items(values: Column) -> Column:
-    return join_address_parts(F.struct(*[F.get(values, F.lit(i)).alias(p) for i, p in enumerate(fv.ADDRESS_PARTS)]))
+    return F.struct(*[F.get(values, F.lit(i)).alias(p) for i, p in enumerate(fv.ADDRESS_PARTS)])
 
 
 def extract_addresses(pages: DataFrame) -> DataFrame:
@@ -133,7 +135,7 @@ def extract_addresses(pages: DataFrame) -> DataFrame:
 
     scopes = F.transform(F.filter("boxes", lambda c: c["kind"] == "scope"), lambda c: c["inner"])
     declared = each(
-        scopes, _items, lambda vs: F.transform(vs, lambda v: trim_ws(squeeze(decode_entities(v)))), _from_items
+        scopes, _items, lambda vs: F.transform(vs, lambda v: trim_ws(squeeze(decode_entities(v)))), _from_items, *JOIN_STEPS
     )
     p = p.withColumn("declared", F.filter(declared, lambda x: x.isNotNull()))
     sized = F.transform(

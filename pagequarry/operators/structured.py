@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.addresses import address_substance, finalize_addresses, join_address_parts
+from ..functions.addresses import address_line, present_parts, address_substance, finalize_addresses
 from ..functions.html import script_bodies
 from ..functions.phones import parse_phone
-from ..functions.text import blank_to_null, each, let, squeeze, trim_ws
+from ..functions.text import each, let, squeeze, trim_ws
 from .page_facts import with_domain
 
 __all__ = ["structured_data", "jsonld_nodes", "extract_company", "extract_products", "extract_jobs", "structured_addresses"]
@@ -35,20 +35,21 @@ def _members(v: Column) -> Column:
     return F.coalesce(_list(v), F.array(v))
 
 
-def _text(v: Column) -> Column:
-    """Strings (trimmed, not empty) and numbers as text; NULL for everything else."""
-    kind = F.schema_of_variant(v)
-    raw = F.try_variant_get(v, "$", "string")
-    return F.when(kind == "STRING", blank_to_null(trim_ws(raw))).when(
-        kind.rlike(r"\A(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.regexp_replace(raw, r"\.0+\z", "")
-    )
-
-
 def _string(v: Column) -> Column:
     """The value when it is a string, as written."""
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
+def _text(v: Column) -> Column:
+    """Strings (trimmed, not empty) and numbers as text; NULL for everything else."""
+    kind, raw = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    # a whole number written as 1e3 or 5.0 prints without its fraction
+    number = F.regexp_replace(raw, r"\A(-?\d+)\.0+\z", "$1")
+    return F.when(kind == "STRING", F.nullif(trim_ws(raw), F.lit(""))).when(
+        kind.rlike(r"\A(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), number
+    )
+
+
 def _expand(xs: Column) -> Column:
     """One level: items of lists and of @graph, the graph's items before the node that holds it."""
 
@@ -82,17 +83,27 @@ def _is(n: Column, *types: str) -> Column:
     return F.arrays_overlap(n["types"], F.array(*[F.lit(t.lower()) for t in types]))
 
 
-def _format_address(a: Column) -> Column:
-    """A postal-address object or an address text as one line."""
+def _address_facts(a: Column) -> Column:
     country = _sub(a, "addressCountry")
-    parts = F.struct(
+    return F.struct(
         *[_text(_sub(a, p)).alias(p) for p in fv.ADDRESS_PARTS[:-1]],
         F.coalesce(_text(country), _text(_sub(country, "name")), _text(_sub(country, "identifier"))).alias("addressCountry"),
+        trim_ws(squeeze(_string(a))).alias("plain"),
     )
-    plain = trim_ws(squeeze(_string(a)))
-    return F.when(F.schema_of_variant(a) == "STRING", F.when(address_substance(plain), plain)).when(
-        F.schema_of_variant(a).startswith("OBJECT"), join_address_parts(parts)
-    )
+
+
+# address VARIANT -> one line, as consecutive steps for ``each`` / ``let``
+FORMAT_STEPS = (
+    _address_facts,
+    lambda f: F.struct(present_parts(f).alias("parts"), f["plain"].alias("plain")),
+    lambda f: F.struct(address_line(f["parts"]).alias("joined"), f["plain"].alias("plain")),
+    lambda f: F.coalesce(F.when(address_substance(f["plain"]), f["plain"]), F.when(F.length(f["joined"]) >= fv.ADDRESS_MIN, f["joined"])),
+)
+
+
+def _format_address(a: Column) -> Column:
+    """A postal-address object or an address text as one line."""
+    return let(a, *FORMAT_STEPS)
 
 
 def _address_values(n: Column) -> Column:
@@ -182,7 +193,7 @@ def _company_column() -> Column:
 
 def _addresses_column() -> Column:
     values = F.flatten(F.transform("nodes", _address_values))
-    lines = F.filter(F.transform(values, _format_address), lambda x: x.isNotNull())
+    lines = F.filter(each(values, *FORMAT_STEPS), lambda x: x.isNotNull())
     return finalize_addresses(lines)
 
 

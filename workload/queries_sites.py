@@ -204,9 +204,10 @@ def profile_page(spark, sf):
     return finder.paginate(finder_table(spark, sf).select("domain"), "domain", 1, 10)
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS category WHERE false")
+@query("SELECT DISTINCT p_type AS category FROM part WHERE p_type NOT IN ('', '—')")
 def category_values(spark, sf):
-    return finder.category_values(finder_table(spark, sf))
+    """Distinct categories of a results table (here the part types stand in for sectors)."""
+    return finder.category_values(table(spark, sf, "part").select(F.col("p_type").alias("category")))
 
 
 @query(st.with_(*FINDER_CTES, PROFILE_CTE) + """SELECT p.domain, p.business_name, coalesce(string_agg(email, ' | ' ORDER BY score DESC, CASE kind WHEN 'personal' THEN 0 WHEN 'role' THEN 1 ELSE 2 END, email), '') AS all_emails,
