@@ -37,5 +37,15 @@ def test_retention_lists_each_campaign_once(spark, tmp_path):
     df.withColumn("finished_at", F.to_timestamp("finished_at")).write.parquet(src)
     stream = spark.readStream.schema("campaign_id long, state string, finished_at timestamp").parquet(src)
     out = shared_folder(spark, "t")
-    streams.run_available(streams.stream_retention(stream), out, shared_folder(spark, "c"))
+    # without new data a pending timer would keep asking for empty batches
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    q = None
+    try:
+        writer = streams.stream_retention(stream).writeStream.option("checkpointLocation", shared_folder(spark, "c"))
+        q = writer.format("parquet").option("path", out).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+    finally:
+        if q is not None:
+            q.stop()
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert sorted((r.campaign_id, r.event) for r in spark.read.parquet(out).collect()) == [(1, "listed"), (2, "listed")]
