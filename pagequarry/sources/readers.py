@@ -9,7 +9,7 @@ from ..functions import fixed_values as fv
 from ..functions.text import extract_all, trim_ws
 from ..functions.urls import is_valid_url
 
-__all__ = ["read_pages", "url_list", "read_list_files", "split_lists", "read_lookup"]
+__all__ = ["read_pages", "spread", "url_list", "read_list_files", "split_lists", "read_lookup"]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -17,6 +17,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return html_pages(spark.read.parquet(path))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table of long texts over all cores when it has fewer files than cores.
+
+    A small file is one row group and so one task, however heavy the text scan is.  A large
+    table has far more files than cores and is left as it is: no shuffle of its texts.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def html_pages(pages: DataFrame) -> DataFrame:
     if "content_type" not in pages.columns:
         return pages

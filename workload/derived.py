@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pagequarry.sources.readers import spread
+
 HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 PATHLESS = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 NEAR = 40  # a page links to the pages of its own site among the next NEAR page ids
@@ -105,8 +107,12 @@ pages_site AS (
 """
 
 
+TEXT_KEYS = {"pages": "page_id", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
