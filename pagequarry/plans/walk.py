@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.urls import normalize_url, page_key, site_key, strip_query_fragment, url_struct
+from ..functions.urls import normalize_url, page_key, site_key, url_struct
 from ..operators.links import priority_first, scored_links, site_links_array
 
 __all__ = ["keyed_pages", "walk_sites", "finder_pages", "seed_sites"]

@@ -5,7 +5,7 @@ from pagequarry.operators import emails
 CASES = {
     "logo@2x.png": None, "sprite@3x.webp": None, "user@domain.com": None, "domain@example.com": None, "you@yourdomain.com": None, "name@email.com": None,
     "test@test.com": None, "john.doe@example.org": None, "a1b2c3d4e5f6a7b8@sentry.io": None, "1234567890@wixpress.com": None, "icon@2x.jpg": None,
-    "style@main.css": None, "123@456.789": None, "support@rankkw.com": "role", "john.smith@acme-corp.io": "personal", "info@company.co.uk": "role",
+    "style@main.css": None, "123@456.789": None, "support@brightfirm.com": "role", "john.smith@acme-corp.io": "personal", "info@company.co.uk": "role",
     "sales.uk@vendor.com": "role", "j.doe@firm.de": "personal",
 }
 

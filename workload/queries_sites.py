@@ -14,7 +14,7 @@ from pagequarry.streaming import streams
 from . import sqltext as st
 from .derived import pages_site, sites, table
 from .queries_lists import SUMMARY_SQL, deliveries
-from .queries_pages import _PAGE_SOURCES, _TITLE, PAGE_EMAILS_CTE, _clean, _ORG, _STEM, finder_email_ctes, kind_sql
+from .queries_pages import _PAGE_SOURCES, PAGE_EMAILS_CTE, _clean, finder_email_ctes, kind_sql
 from .registry import query
 
 _CACHE: dict = {}
