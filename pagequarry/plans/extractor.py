@@ -208,23 +208,27 @@ def breakdown(counts: DataFrame, max_slices: int = fv.MAX_SLICES) -> DataFrame:
     """Labels with a positive value, ranked; the tail folded into one slice; whole percents that
     add up to 100 (largest remainder).
 
-    ``counts`` holds one row per label, i.e. an already aggregated report.
+    Only the top ``max_slices`` rows and one row of totals are brought together, however many
+    labels there are: the folded slice is the total minus the slices shown.
     """
-    ranked = counts.filter(F.col("value") > 0).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("neg"), "label", "value"))).alias("all")
-    )
-    fold = F.size("all") > max_slices
-    kept = F.when(fold, F.slice("all", 1, max_slices - 1)).otherwise(F.col("all"))
-    tail = F.slice("all", max_slices, F.greatest(F.size("all"), F.lit(0)))
+    shown = counts.filter(F.col("value") > 0).select("label", F.col("value").cast("bigint").alias("value"))
+    head = shown.orderBy(F.col("value").desc(), "label").limit(max_slices)
+    head = head.select((-F.col("value")).alias("neg"), "label", "value", F.lit(None).cast("bigint").alias("n"))
+    totals = shown.agg(F.sum("value").alias("value"), F.count("*").alias("n")).select(
+        F.lit(None).cast("bigint").alias("neg"), F.lit(None).cast("string").alias("label"), "value", "n"
+    )
+    row = head.unionByName(totals).agg(
+        F.array_sort(F.collect_list(F.when(F.col("n").isNull(), F.struct("neg", "label", "value")))).alias("top"),
+        F.max("n").alias("n"), F.max(F.when(F.col("n").isNotNull(), F.col("value"))).alias("sum"),
+    ).filter(F.col("n") > 0)
+    fold = F.col("n") > max_slices
+    kept = F.when(fold, F.slice("top", 1, max_slices - 1)).otherwise(F.col("top"))
+    row = row.withColumn("kept", F.transform(kept, lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"))))
+    rest = F.col("sum") - F.aggregate("kept", F.lit(0).cast("bigint"), lambda n, x: n + x["value"])
     other = F.struct(
-        F.lit(None).cast("bigint").alias("neg"), F.concat(F.lit("Other ("), F.size(tail), F.lit(")")).alias("label"),
-        F.aggregate(tail, F.lit(0).cast("bigint"), lambda n, x: n + x["value"]).alias("value"),
-    )
-    rows = ranked.select(F.concat(
-        F.transform(kept, lambda x: F.struct(x["label"].alias("label"), x["value"].cast("bigint").alias("value"))),
-        F.when(fold, F.array(F.struct(other["label"].alias("label"), other["value"].alias("value")))).otherwise(
-            F.array().cast("array<struct<label:string,value:bigint>>")),
-    ).alias("rows"))
+        F.concat(F.lit("Other ("), F.col("n") - (max_slices - 1), F.lit(")")).alias("label"), rest.alias("value")
+    )
+    rows = row.select(F.when(fold, F.array_append("kept", other)).otherwise(F.col("kept")).alias("rows"))
     total = F.aggregate("rows", F.lit(0).cast("bigint"), lambda n, x: n + x["value"])
     rows = rows.withColumn("total", total)
     shares = F.transform("rows", lambda r, i: F.struct(

@@ -45,7 +45,8 @@ def stream_campaign_status(deliveries: DataFrame) -> DataFrame:
 def stream_retention(status: DataFrame) -> DataFrame:
     """Status stream ``(campaign_id, state, finished_at)`` to events ``listed`` and ``dropped``.
 
-    A finished campaign is dropped one hour after it finished, by a processing-time timer.
+    A finished campaign is dropped one hour after it finished, by a processing-time timer; run it
+    with a processing-time trigger (a run that stops when no data is left never sees the timer).
     """
     hour_ms = fv.RETENTION_SECONDS * 1000
 
