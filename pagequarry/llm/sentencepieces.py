@@ -7,10 +7,12 @@ the lattice of a text is the chain of its words' lattices, which are built once
 cache.
 
 Sampling is an A* search over prefixes.  A prefix's perturbed score is the largest Gumbel-perturbed log-probability of the
-paths through it; the root draws it, the best child of a node inherits it, and the other children draw theirs below it.
-The best path is followed to its end; the best child left aside on the way opens the next path, and so on: the paths come
-out in falling perturbed score, distinct, a sample without replacement.  With the next score left as threshold, a path's
-inclusion score is ``1 - exp(-exp(log_prob - threshold))``.
+paths through it.  The best path is followed to its end; at every word it leaves aside all other segmentations of that
+word, whose best perturbed score is one Gumbel value below the path's (located at the log of their joint probability, so
+it need not be split until it is wanted).  The best of what was left aside opens the next path: one of the word's other
+segmentations is drawn, and the words after it are drawn anew.  Paths come out in falling perturbed score, distinct: a
+sample without replacement.  With the next score left as threshold, a path's inclusion score is
+``1 - exp(-exp(log_prob - threshold))``.
 
 All words of a batch of texts take their steps together in numpy.  Random numbers depend on the row's key and the place
 in its text only, so a row's samples are the same in any batch, task or attempt.
@@ -24,6 +26,7 @@ like the output are replaced, others are kept; an empty table gives an empty res
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Edges that a task's cache of word lattices may hold, and characters that are stepped together.
-CACHE_EDGES = 4_000_000
+#: Places that a task's cache of word lattices may hold, and characters that are stepped together.
+CACHE_NODES = 1_000_000
 BATCH_CHARS = 400_000
 #: A word with the spaces before it, spaces before a line end or tab, or one of these.
 _CHUNKS = re.compile(r" *[^ \n\t]+| +|[\n\t]")
@@ -68,55 +71,156 @@ class Vocabulary:
         self.longest = max(map(len, self.weight))
 
 
+def chunks_of(text: str) -> list[str]:
+    """The words of a text with its prefix space; joined they are that text."""
+    text = " " + text
+    if "  " in text or "\1" in text:
+        return _CHUNKS.findall(text)
+    marked = text.replace(" ", "\1 ").replace("\n", "\1\n\1").replace("\t", "\1\t\1")
+    return [c for c in marked.split("\1") if c]
+
+
 class Lattices:
     """Lattices of words in flat arrays: a node is a place in a word, its edges are the pieces that start there."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        states, found = {"": 0}, {}  # the vocabulary's prefixes, numbered
+        for piece in vocabulary.weight:
+            for i in range(1, len(piece) + 1):
+                if piece[:i] not in states:
+                    states[piece[:i]] = len(states)
+        keys = np.array([states[p[:-1]] << 21 | ord(p[-1]) for p in states if p], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.to = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.array([states[p] for p in states if p])[order], 0)
+        self.token_of, self.weight_of = np.full(len(states), -1, np.int64), np.zeros(len(states))
+        for piece, (token, weight) in vocabulary.weight.items():
+            self.token_of[states[piece]], self.weight_of[states[piece]] = token, weight
+        self.width = vocabulary.longest
         self.clear()
 
     def clear(self):
         self.roots: dict[str, int] = {}
-        self.first, self.count, self.logp, self.next, self.token = [], [], [], [], []
-        self.spelled: list[list[int]] = []  # ids of the edges that are several pieces
-        self.frozen = 0
-        self.arrays = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64, np.int64))
-
-    def add(self, word: str) -> int:
-        """The node at the start of a word."""
-        v, n = self.v, len(word)
-        marked = word.replace(MARK, "\0").replace(" ", MARK)  # a mark in the text matches no piece
-        weight, longest = v.weight, v.longest
-        beta = [0.0] * (n + 1)
-        node = [0] * n + [-1]
-        for i in range(n - 1, -1, -1):
-            edges = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                got = weight.get(marked[i:j])
-                if got is not None:
-                    edges.append((got[0], got[1] + beta[j], j))
-            if marked[i] not in weight:
-                raw = word[i].encode("utf-8", "surrogatepass")
-                self.spelled.append([v.byte_ids[b] for b in raw])
-                edges.append((-len(self.spelled), v.byte_weight * len(raw) + beta[i + 1], i + 1))
-            top = max(e[1] for e in edges)
-            beta[i] = top + math.log(sum(math.exp(e[1] - top) for e in edges))
-            node[i] = len(self.first)
-            self.first.append(len(self.logp))
-            self.count.append(len(edges))
-            for token, value, j in edges:
-                self.token.append(token)
-                self.logp.append(value - beta[i])
-                self.next.append(node[j])
-        self.roots[word] = node[0]
-        return node[0]
-
-    def freeze(self):
-        """The flat arrays as numpy, with what was added since."""
-        if len(self.first) != len(self.arrays[0]):
-            lists = (self.first, self.count, self.logp, self.next, self.token)
-            self.arrays = tuple(np.concatenate([a, np.array(x[len(a):], a.dtype)]) for a, x in zip(self.arrays, lists))
-        return self.arrays
+        self.spelled: list[list[int]] = []  # ids of the edges that are several byte pieces
+        self.nodes = self.edges = 0
+        self.first = np.zeros(1 << 16, np.int64)
+        self.logp, self.cumulated = np.zeros(1 << 18), np.zeros(1 << 18)
+        self.next, self.token = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+
+    def _room(self, nodes: int, edges: int):
+        for names, need in ((("first",), self.nodes + nodes), (("logp", "cumulated", "next", "token"), self.edges + edges)):
+            for name in names:
+                old = getattr(self, name)
+                if need > len(old):
+                    grown = np.zeros(max(need, 2 * len(old)), old.dtype)
+                    grown[:len(old)] = old
+                    setattr(self, name, grown)
+
+    def add(self, words: list[str]) -> None:
+        """Build the lattices of new words, all at once."""
+        sizes = np.array([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        coded = np.where(chars == 32, ord(MARK), np.where(chars == ord(MARK), (1 << 21) - 1, chars))  # a mark in the text matches no piece
+        n = len(chars)
+        end_of = np.repeat(np.cumsum(sizes), sizes)
+        # all places walk down the vocabulary's prefixes together
+        at, state, place = np.arange(n), np.zeros(n, np.int64), np.arange(n)
+        found = []
+        single = np.zeros(n, bool)
+        for length in range(1, self.width + 1):
+            key = state << 21 | coded[place]
+            hit = np.searchsorted(self.keys, key)
+            ok = self.keys[hit] == key
+            at, state, place = at[ok], self.to[hit[ok]], place[ok] + 1
+            piece = self.token_of[state] >= 0
+            found.append((at[piece], place[piece], self.token_of[state[piece]], self.weight_of[state[piece]]))
+            if length == 1:
+                single[at[piece]] = True
+            inside = place < end_of[at]
+            at, state, place = at[inside], state[inside], place[inside]
+            if not len(at):
+                break
+        lone = np.nonzero(~single)[0]  # characters without a piece are spelled in bytes
+        tokens, weights = [], []
+        for i in lone:
+            raw = chr(chars[i]).encode("utf-8", "surrogatepass")
+            if len(raw) == 1:
+                tokens.append(self.v.byte_ids[raw[0]])
+            else:
+                self.spelled.append([self.v.byte_ids[b] for b in raw])
+                tokens.append(-len(self.spelled))
+            weights.append(self.v.byte_weight * len(raw))
+        found.append((lone, lone + 1, np.array(tokens, np.int64), np.array(weights, float)))
+        source, target, token, weight = (np.concatenate(x[::-1]) for x in zip(*found))
+        order = np.argsort(source, kind="stable")  # at each place the longest piece first
+        source, target, token, weight = source[order], target[order], token[order], weight[order]
+        first = np.searchsorted(source, np.arange(n))
+        last_edge = np.append(first, len(source))[1:]
+        # backward filtering, by the distance to the word's end
+        beta = np.zeros(n + 1)
+        ends = target == end_of[source]
+        left = end_of - np.arange(n)
+        by_left = np.argsort(left, kind="stable")
+        cuts = np.searchsorted(left[by_left], np.arange(1, (left.max() if n else 0) + 2))
+        for lo, hi in zip(cuts, cuts[1:]):
+            nodes = by_left[lo:hi]
+            if not len(nodes):
+                continue
+            counts = last_edge[nodes] - first[nodes]
+            starts = np.cumsum(counts) - counts
+            edge = np.arange(counts.sum()) + np.repeat(first[nodes] - starts, counts)
+            value = weight[edge] + np.where(ends[edge], 0.0, beta[target[edge]])
+            top = np.maximum.reduceat(value, starts)
+            beta[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), starts))
+        logp = weight + np.where(ends, 0.0, beta[target]) - beta[source]
+        self._room(n, len(source))
+        e = slice(self.edges, self.edges + len(source))
+        self.first[self.nodes:self.nodes + n] = first + self.edges
+        total = np.cumsum(np.exp(logp))
+        before = np.where(first > 0, total[np.maximum(first - 1, 0)], 0.0)
+        cumulated = total - before[source]
+        cumulated[last_edge - 1] = 2.0  # a uniform number is never above the last edge
+        self.logp[e], self.cumulated[e], self.token[e], self.next[e] = logp, cumulated, token, np.where(ends, -1, target + self.nodes)
+        begin = np.cumsum(sizes) - sizes + self.nodes
+        self.roots.update(zip(words, begin.tolist()))
+        self.nodes += n
+        self.edges += len(source)
+
+    def edges_of(self, node: int) -> range:
+        return range(self.first[node], self.first[node + 1] if node + 1 < self.nodes else self.edges)
+
+    def other(self, root: int, taken: list[tuple[int, ...]], uniforms) -> tuple[int, ...]:
+        """A path from ``root`` to the word's end that is none of ``taken``, drawn in proportion to its probability."""
+        node, path, reach = root, (), 1.0
+        while node >= 0:
+            options = []
+            for edge in self.edges_of(node):
+                p = reach * math.exp(self.logp[edge])
+                through = [t for t in taken if t[: len(path) + 1] == (*path, edge)]
+                rest = p - sum(math.exp(sum(self.logp[list(t)])) for t in through)
+                if through and rest < 1e-9 * p:  # all gone, or rounding: count
+                    rest = max(rest, 1e-12 * p) if len(through) < self._paths(self.next[edge], len(through) + 1) else 0.0
+                options.append((edge, p, rest))
+            point = uniforms() * sum(o[2] for o in options)
+            for edge, p, rest in options:
+                point -= rest
+                if rest and point <= 0:
+                    break
+            else:
+                edge, p, rest = next(o for o in reversed(options) if o[2])
+            path, reach, node = (*path, edge), p, self.next[edge]
+        return path
+
+    def _paths(self, node: int, most: int) -> int:
+        """The number of paths from a node to the word's end, counted up to ``most``."""
+        if node < 0:
+            return 1
+        count = 0
+        for edge in self.edges_of(node):
+            count += self._paths(self.next[edge], most - count)
+            if count >= most:
+                break
+        return count
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -128,164 +232,163 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _gumbel(bits: np.ndarray) -> np.ndarray:
-    return -np.log(-np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53))
-
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
-class _Walk:
-    """Paths that are followed together: which slots (words) they still have to cross, and what they left aside."""
 
-    def __init__(self, arrays, seeds, doc_of, number):
-        self.first, self.count, self.logp, self.next, self.token = arrays
-        self.seeds, self.doc_of, self.number = seeds, doc_of, number
+def _walk(lat: Lattices, nodes: np.ndarray, salt: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Sample a path from every node to its word's end.
 
-    def follow(self, slots: np.ndarray, nodes: np.ndarray, steps: np.ndarray, place: np.ndarray):
-        """Sample from ``nodes`` (one per slot, ``steps`` already taken) to the words' ends.
-
-        Returns the chosen edges as ``slot, step, edge`` and all edges left aside as ``slot, step, edge, noisy`` where
-        ``noisy`` is the perturbed value below the best sibling's (0 at the best).
-        """
-        chosen, aside = [], []
+    Returns ``(index, edge)`` of every step, the paths' log-probabilities and their lengths.
+    """
+    log_prob, length = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64)
+    index, chosen = np.arange(len(nodes)), []
+    while len(index):
         with np.errstate(over="ignore"):
-            salt = _mix(self.seeds[self.doc_of[slots]] + np.uint64(self.number) * np.uint64(0xD1342543DE82EF95)) + place[slots].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-        while len(slots):
-            n = self.count[nodes]
-            starts = np.cumsum(n) - n
-            edge = np.arange(n.sum()) - np.repeat(starts - self.first[nodes], n)
-            with np.errstate(over="ignore"):
-                bits = _mix(_mix(np.repeat(salt + steps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), n)) ^ (edge - np.repeat(self.first[nodes], n)).astype(np.uint64))
-            noise = self.logp[edge] + _gumbel(bits)
-            best = np.maximum.reduceat(noise, starts)
-            at_best = noise == np.repeat(best, n)
-            won = np.nonzero(at_best)[0]
-            if len(won) != len(slots):  # equal noise: the first wins
-                owner = np.repeat(np.arange(len(slots)), n)[won]
-                won = won[np.concatenate([[True], owner[1:] != owner[:-1]])]
-                at_best = np.zeros(len(noise), bool)
-                at_best[won] = True
-            chosen.append((slots, steps, edge[won]))
-            lost = ~at_best
-            if lost.any():
-                aside.append((np.repeat(slots, n)[lost], np.repeat(steps, n)[lost], edge[lost], noise[lost], np.repeat(best, n)[lost]))
-            nodes = self.next[edge[won]]
-            go = nodes >= 0
-            slots, steps, nodes, salt = slots[go], steps[go] + 1, nodes[go], salt[go]
-        join = lambda parts, k: [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(k)]
-        return join(chosen, 3), join(aside, 5)
-
-
-def _below(limit: np.ndarray, value: np.ndarray, best: np.ndarray) -> np.ndarray:
-    """Gumbel values conditioned on their maximum ``best`` being ``limit`` (Kool et al., numerically stable)."""
-    v = limit - value + np.log1p(-np.exp(np.minimum(value - best, -1e-300)))
-    return limit - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
-
-
-def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+            u = _uniform(_mix(salt[index] + np.uint64(len(chosen) + 1) * np.uint64(0x9E3779B97F4A7C15)))
+        edge = lat.first[nodes]
+        beyond = np.nonzero(lat.cumulated[edge] < u)[0]
+        while len(beyond):
+            edge[beyond] += 1
+            beyond = beyond[lat.cumulated[edge[beyond]] < u[beyond]]
+        log_prob[index] += lat.logp[edge]
+        length[index] += 1
+        chosen.append((index, edge))
+        nodes = lat.next[edge]
+        go = nodes >= 0
+        index, nodes = index[go], nodes[go]
+    return chosen, log_prob, length
+
+
+def _left_aside(limit: np.ndarray, log_prob: np.ndarray, prefix: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The best perturbed score of a word's other segmentations: a Gumbel value at their joint log-probability, below ``limit``."""
+    rest = -np.expm1(np.minimum(log_prob, 0.0))
+    with np.errstate(divide="ignore"):
+        location = prefix + np.log(np.where(rest > 1e-12, rest, 0.0))
+        return np.where(np.isfinite(location), limit - np.logaddexp(0.0, np.log(-np.log(_uniform(bits))) + limit - location), -np.inf)
+
+
+class _Paths:
+    """One path of every text: the tokens of its words, their log-probabilities, and what each word has left aside."""
+
+    def __init__(self, words: int):
+        self.log_prob, self.left = np.zeros(words), np.full(words, -np.inf)
+        self.edge, self.start, self.length = np.zeros(0, np.int64), np.zeros(words, np.int64), np.zeros(words, np.int64)
+
+
+def sample_batch(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """``k`` samples ``(ids, log_prob, inclusion)`` of each text."""
-    chunks = [_CHUNKS.findall(" " + t) for t in texts]
-    if len(lattices.logp) > CACHE_EDGES:
-        lattices.clear()
-    roots, add = lattices.roots, lattices.add
-    node_of = np.array([roots[w] if w in roots else add(w) for c in chunks for w in c], np.int64)
-    arrays = lattices.freeze()
-    logp, token = arrays[2], arrays[4]
+    chunks = [chunks_of(t) for t in texts]
+    if lat.nodes > CACHE_NODES:
+        lat.clear()
+    flat = [w for c in chunks for w in c]
+    known = lat.roots.get
+    root = np.array([known(w, -1) for w in flat], np.int64)
+    if len(unknown := np.nonzero(root < 0)[0]):
+        lat.add(sorted({flat[i] for i in unknown}))
+        root[unknown] = [lat.roots[flat[i]] for i in unknown]
     sizes = np.array([len(c) for c in chunks])
-    doc_of = np.repeat(np.arange(len(texts)), sizes)
-    offsets = np.cumsum(sizes) - sizes
-    place = np.arange(len(node_of)) - np.repeat(offsets, sizes)
-    docs = len(texts)
-    score = _gumbel(_mix(seeds))  # the root's perturbed score
-    results: list[list] = [[] for _ in texts]
-    scores: list[list[float]] = [[] for _ in texts]
-    open_edges = None  # edges left aside: doc, perturbed, slot, step, edge, log_prob up to and with it, path number
-    paths: list = [[] for _ in texts]  # per text: (slot, step, edge) of each path
-    alive = np.ones(docs, bool)
-    start_slot, start_step, base = offsets.copy(), np.zeros(docs, np.int64), np.zeros(docs)
-    slots, nodes, steps = np.arange(len(node_of)), node_of, np.zeros(len(node_of), np.int64)
-    parent = None
-    for number in range(k):
-        walk = _Walk(arrays, seeds, doc_of, number)
-        (cs, ct, ce), (a_slot, a_step, a_edge, a_noise, a_best) = walk.follow(slots, nodes, steps, place)
-        order = np.lexsort((ct, cs))
-        cs, ct, ce = cs[order].astype(np.int64), ct[order].astype(np.int64), ce[order].astype(np.int64)
-        gain = logp[ce]
-        total = np.cumsum(gain)
-        doc = doc_of[cs]
-        begin = np.searchsorted(doc, np.arange(docs))
-        end = np.searchsorted(doc, np.arange(docs), "right")
-        before_doc = np.where(begin > 0, total[np.maximum(begin - 1, 0)], 0.0) if len(total) else np.zeros(docs)
-        prefix = total - gain - before_doc[doc] + base[doc]  # log-probability of what lies before each chosen edge
-        # log-probability before each edge left aside: that of the chosen edge at the same slot and step
-        key = cs * (1 << 24) + ct
-        at = np.searchsorted(key, a_slot.astype(np.int64) * (1 << 24) + a_step.astype(np.int64))
-        a_prefix = prefix[at] if len(at) else np.zeros(0)
-        a_doc = doc_of[a_slot.astype(np.int64)]
-        a_edge = a_edge.astype(np.int64)
-        perturbed = _below(score[a_doc], a_prefix + a_noise, a_prefix + a_best)
-        new = _best_per_doc(a_doc, perturbed, k - number)
-        left = (a_doc[new], perturbed[new], a_slot[new].astype(np.int64), a_step[new].astype(np.int64), a_edge[new], a_prefix[new] + logp[a_edge[new]], np.full(len(new), number))
-        for d in np.nonzero(alive)[0]:
-            own = (cs[begin[d]:end[d]], ct[begin[d]:end[d]], ce[begin[d]:end[d]])
-            if parent is not None:  # what the path shares with the one it branches from, and the branching edge
-                ps, pt, pe = paths[d][parent[d]]
-                keep = (ps < start_slot[d]) | ((ps == start_slot[d]) & (pt < start_step[d]))
-                own = (np.concatenate([ps[keep], [start_slot[d]], own[0]]), np.concatenate([pt[keep], [start_step[d]], own[1]]), np.concatenate([pe[keep], [branch_edge[d]], own[2]]))
-            paths[d].append(own)
-            log_prob = base[d] + (total[end[d] - 1] - before_doc[d] if end[d] > begin[d] else 0.0)
-            results[d].append((_ids(token[own[2]], lattices.spelled), float(log_prob)))
-            scores[d].append(float(score[d]))
-        open_edges = left if open_edges is None else tuple(np.concatenate(x) for x in zip(open_edges, left))
-        # the best edge left aside of each text opens its next path, or is the threshold
-        pick = _best_per_doc(open_edges[0], open_edges[1], 1)
-        alive = np.zeros(docs, bool)
-        alive[open_edges[0][pick]] = True
-        threshold = np.full(docs, -np.inf)
-        threshold[open_edges[0][pick]] = open_edges[1][pick]
-        if number == k - 1 or not len(pick):
-            break
-        d = open_edges[0][pick]
-        score = threshold.copy()
-        parent, branch_edge = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
-        start_slot, start_step, base = start_slot.copy(), start_step.copy(), base.copy()
-        start_slot[d], start_step[d], branch_edge[d], base[d], parent[d] = (open_edges[i][pick] for i in (2, 3, 4, 5, 6))
-        rest = np.ones(len(open_edges[0]), bool)
-        rest[pick] = False
-        open_edges = tuple(x[rest] for x in open_edges)
-        # the path goes on in the branching word, if it is not at its end, and in all words after it
-        later = alive[doc_of] & (np.arange(len(node_of)) > start_slot[doc_of])
-        here = d[arrays[3][branch_edge[d]] >= 0]
-        slots = np.concatenate([np.nonzero(later)[0], start_slot[here]])
-        nodes = np.concatenate([node_of[later], arrays[3][branch_edge[here]]])
-        steps = np.concatenate([np.zeros(int(later.sum()), np.int64), start_step[here] + 1])
-    out = []
-    for d in range(docs):
-        inclusion = [1.0 if threshold[d] == -np.inf else -math.expm1(-math.exp(min(700.0, lp - threshold[d]))) for _, lp in results[d]]
-        out.append([(ids, lp, i) for (ids, lp), i in zip(results[d], inclusion)])
-    return out
-
+    docs, begin = len(texts), np.cumsum(sizes) - sizes
+    doc_of = np.repeat(np.arange(docs), sizes)
+    word_number = (np.arange(len(root)) - np.repeat(begin, sizes)).astype(np.uint64)
 
-def _best_per_doc(doc: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
-    """Indices of the ``most`` largest values of each document."""
-    left, found = np.arange(len(doc)), []
-    top = np.empty(int(doc.max()) + 1 if len(doc) else 0)
-    for _ in range(most):
-        if not len(left):
+    def salted(number: int, words: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            path = _mix(seeds + np.uint64(number + 1) * np.uint64(0xD1342543DE82EF95))
+            return _mix(path[doc_of[words]] + word_number[words] * np.uint64(0x2545F4914F6CDD1D))
+
+    def walked(path: _Paths, words: np.ndarray, salt: np.ndarray) -> None:
+        """Draw the segmentations of ``words`` into ``path``."""
+        steps, log_prob, length = _walk(lat, root[words], salt)
+        at = len(path.edge) + np.cumsum(length) - length
+        edges = np.empty(int(length.sum()), np.int64)
+        for step, (index, edge) in enumerate(steps):
+            edges[at[index] - len(path.edge) + step] = edge
+        path.log_prob[words], path.start[words], path.length[words] = log_prob, at, length
+        path.edge = np.concatenate([path.edge, edges])
+
+    def prefixes(path: _Paths) -> np.ndarray:
+        total = np.cumsum(path.log_prob) - path.log_prob
+        return total - np.repeat(total[begin], sizes)
+
+    def segmentation(path: _Paths, word: int) -> tuple[int, ...]:
+        return tuple(path.edge[path.start[word]:path.start[word] + path.length[word]].tolist())
+
+    everything = np.arange(len(root))
+    score = -np.log(-np.log(_uniform(_mix(seeds))))  # the root's perturbed score; all probabilities together are 1
+    path = _Paths(len(root))
+    salt = salted(0, everything)
+    walked(path, everything, salt)
+    path.left = _left_aside(np.repeat(score, sizes), path.log_prob, prefixes(path), _mix(salt ^ np.uint64(0x5851F42D4C957F2D)))
+    paths, exists, taken = [path], [np.ones(docs, bool)], {}
+    threshold = np.full(docs, -np.inf)
+    for number in range(1, k + 1):
+        # the best of what all paths have left aside
+        best = np.stack([np.maximum.reduceat(p.left, begin) for p in paths])
+        parent, threshold = best.argmax(axis=0), best.max(axis=0)
+        alive = np.isfinite(threshold)
+        if number == k or not alive.any():
             break
-        top.fill(-np.inf)
-        np.maximum.at(top, doc[left], value[left])
-        hit = np.nonzero(value[left] == top[doc[left]])[0]
-        _, one = np.unique(doc[left][hit], return_index=True)
-        found.append(left[hit[one]])
-        keep = np.ones(len(left), bool)
-        keep[hit[one]] = False
-        left = left[keep]
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+        path = _Paths(len(root))
+        branch = np.zeros(docs, np.int64)
+        for j, old in enumerate(paths):
+            mine = alive & (parent == j)
+            if not mine.any():
+                continue
+            is_best = (old.left == np.repeat(threshold, sizes)) & np.repeat(mine, sizes)
+            words = np.nonzero(is_best)[0]
+            branch[doc_of[words[::-1]]] = words[::-1]
+        own = np.nonzero(alive)[0]
+        source = np.repeat(parent, sizes)
+        shared = np.nonzero(np.repeat(alive, sizes) & (everything < np.repeat(branch, sizes)))[0]
+        for j, old in enumerate(paths):
+            w = shared[source[shared] == j]
+            path.log_prob[w], path.length[w] = old.log_prob[w], old.length[w]
+            path.start[w] = old.start[w] + len(path.edge)
+            path.edge = np.concatenate([path.edge, old.edge])
+        before = {int(d): float(prefixes(paths[parent[d]])[branch[d]]) for d in own} if len(paths) > 1 else dict(zip(own.tolist(), prefixes(paths[0])[branch[own]].tolist()))
+        edges = []
+        for d in own.tolist():  # one word of each text: draw one of its other segmentations
+            j, b = int(parent[d]), int(branch[d])
+            gone = taken.setdefault((j, b), [segmentation(paths[j], b)])
+            uniforms = random.Random(int(seeds[d]) * 1_000_003 + number).random
+            drawn = lat.other(int(root[b]), gone, uniforms)
+            gone.append(drawn)
+            log_prob = float(lat.logp[list(drawn)].sum())
+            path.log_prob[b], path.start[b], path.length[b] = log_prob, len(path.edge) + len(edges), len(drawn)
+            edges.extend(drawn)
+            # what the word still leaves aside lies below what was just taken from it
+            rest = 1 - sum(math.exp(float(lat.logp[list(t)].sum())) for t in gone)
+            left = -np.inf
+            if rest > 1e-12:
+                e = -math.log(1.0 - uniforms())
+                left = threshold[d] - float(np.logaddexp(0.0, math.log(e) + threshold[d] - before[d] - math.log(rest)))
+            paths[j].left[b] = left
+        path.edge = np.concatenate([path.edge, np.array(edges, np.int64)])
+        after = np.nonzero(np.repeat(alive, sizes) & (everything > np.repeat(branch, sizes)))[0]
+        salt = salted(number, after)
+        walked(path, after, salt)
+        path.left[after] = _left_aside(np.repeat(threshold, sizes)[after], path.log_prob[after], prefixes(path)[after], _mix(salt ^ np.uint64(0x5851F42D4C957F2D)))
+        paths.append(path)
+        exists.append(alive)
+    out: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
+    for path, alive in zip(paths, exists):
+        length = path.length * np.repeat(alive, sizes)
+        edges = path.edge[np.arange(length.sum()) + np.repeat(path.start - (np.cumsum(length) - length), length)]
+        token = lat.token[edges]
+        cuts = np.cumsum(np.add.reduceat(length, begin))
+        total = np.add.reduceat(path.log_prob, begin)
+        for d, ids in enumerate(np.split(token, cuts[:-1])):
+            if alive[d]:
+                inclusion = 1.0 if threshold[d] == -np.inf else -math.expm1(-math.exp(min(700.0, total[d] - threshold[d])))
+                out[d].append((_ids(ids, lat.spelled), float(total[d]), inclusion))
+    return out
 
 
 def _ids(tokens: np.ndarray, spelled: list[list[int]]) -> np.ndarray:
-    if (tokens >= 0).all():
-        return tokens.astype(np.int32)
-    return np.array([i for t in tokens for i in ((t,) if t >= 0 else spelled[-t - 1])], np.int32)
+    if not len(tokens) or tokens.min() >= 0:
+        return tokens
+    return np.array([i for t in tokens.tolist() for i in ((t,) if t >= 0 else spelled[-t - 1])], np.int32)
 
 
 def sample_encodings(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", k: int = 2, output: str = "samples") -> DataFrame:
