@@ -36,11 +36,29 @@ def words_of(text: bytes | None) -> list[str]:
     return [w for w in (x.strip(_EDGE) for x in (text or b"").decode("utf-8", "replace").lower().split()) if w]
 
 
-def subwords(word: str, buckets: int, shortest: int, longest: int) -> list[int]:
-    """Buckets of a word's character n-grams and of the whole word, all with boundary marks."""
-    marked = f"<{word}>"
-    grams = {marked[i:i + n] for n in range(shortest, longest + 1) for i in range(len(marked) - n + 1)}
-    return sorted({xxhash.xxh32_intdigest(g) % buckets for g in grams | {marked}})
+def subwords(words: list[str], buckets: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' character n-grams and of the whole words, all with boundary marks, word after word, and the
+    number of buckets of each word."""
+    marked = [f"<{w}>" for w in words]
+    sizes = np.array([len(m) for m in marked], np.int64)
+    chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word_of = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))  # characters up to the word's end
+    owners, found = [], []
+    with np.errstate(over="ignore"):
+        rolling = np.zeros(len(chars), np.uint64)
+        for n in range(1, longest + 1):
+            rolling[: len(chars) - n + 1] = (rolling[: len(chars) - n + 1] + chars[n - 1:] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            rolling ^= rolling >> np.uint64(29)
+            if n >= shortest:
+                inside = left >= n
+                owners.append(word_of[inside])
+                found.append(rolling[inside] % np.uint64(buckets))
+    owners.append(np.arange(len(words)))
+    found.append(np.array([xxhash.xxh32_intdigest(m.encode("utf-8", "surrogatepass")) % buckets for m in marked], np.uint64))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(found).astype(np.int64)[order], np.bincount(owner, minlength=len(words))
 
 
 @dataclass
@@ -58,20 +76,27 @@ class SubwordSoftmax:
         return self.embeddings @ (self.layer[:, 1] - self.layer[:, 0]), float(self.bias[1] - self.bias[0])
 
 
-def _bag(words: list[str], model_buckets: int, shortest: int, longest: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their weights in its average."""
-    counts = Counter(words)
-    buckets, weights = [], []
-    for word, n in counts.items():
-        ids = cache.get(word)
-        if ids is None:
-            ids = cache[word] = np.array(subwords(word, model_buckets, shortest, longest), np.int32)
-        buckets.append(ids)
-        weights.append(np.full(len(ids), n / (len(words) * len(ids)), np.float32))
-    if not buckets:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    ids, place = np.unique(np.concatenate(buckets), return_inverse=True)
-    return ids, np.bincount(place, np.concatenate(weights)).astype(np.float32)
+def _bags(texts: list[bytes], buckets: int, shortest: int, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of each text and their weights in its average."""
+    counts = [Counter(words_of(t)) for t in texts]
+    numbers = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
+    names, parts = list(numbers), [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    for at in range(0, len(names), 10_000):
+        flat, sizes = subwords(names[at:at + 10_000], buckets, shortest, longest)
+        parts.append((flat.astype(np.int32), sizes))
+    flat, sizes = (np.concatenate(x) for x in zip(*parts))
+    first = np.cumsum(sizes) - sizes
+    out = []
+    counts.reverse()
+    while counts:  # a text's counts go as soon as its bag is made
+        c = counts.pop()
+        words = np.array([numbers[w] for w in c], np.int64)
+        n, total = sizes[words], sum(c.values())
+        index = np.arange(n.sum()) + np.repeat(first[words] - (np.cumsum(n) - n), n)
+        ids, place = np.unique(flat[index], return_inverse=True)
+        weight = np.bincount(place, np.repeat(np.fromiter(c.values(), float, len(c)) / n / max(1, total), n), minlength=len(ids))
+        out.append((ids.astype(np.int32), weight.astype(np.float32)))
+    return out
 
 
 def train(
@@ -88,17 +113,20 @@ def train(
     model = SubwordSoftmax(
         rng.normal(0, 0.1, (buckets, dim)).astype(np.float32), rng.normal(0, 0.3, (dim, 2)).astype(np.float32), np.zeros(2, np.float32), shortest, longest,
     )
-    cache: dict = {}
-    bags = [_bag(words_of(t), buckets, shortest, longest, cache) for t, _ in rows]
+    bags = _bags([t for t, _ in rows], buckets, shortest, longest)
     labels = np.array([y for _, y in rows], np.int64)
     share = np.bincount(labels, minlength=2) / max(1, len(labels))
     if len(labels) == 0 or (share == 0).any():
         model.layer[:] = 0  # nothing to tell apart
         return model
-    texts_with = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=buckets)
+    texts_with, power = np.zeros(buckets, np.int64), np.zeros(buckets)
+    for ids, _ in bags:
+        texts_with[ids] += 1
     model.embeddings[texts_with < least_texts] = 0
-    bags = [(ids[keep], weight[keep]) for ids, weight in bags for keep in [texts_with[ids] >= least_texts]]
-    power = np.bincount(np.concatenate([ids for ids, _ in bags]), np.concatenate([w for _, w in bags]) ** 2, minlength=buckets) / len(bags)
+    for i, (ids, weight) in enumerate(bags):
+        keep = texts_with[ids] >= least_texts
+        bags[i] = ids[keep], weight[keep]
+        power[bags[i][0]] += bags[i][1].astype(float) ** 2 / len(bags)
     entries = texts_with[texts_with >= least_texts].sum()
     scale = (1 / (power + least_share * power.sum() * len(bags) / max(1, entries))).astype(np.float32)
     reach = np.mean([(weight ** 2 * scale[ids]).sum() for ids, weight in bags])  # how far one unit step moves a text's logit
@@ -138,17 +166,13 @@ def score_texts(df: DataFrame, model: SubwordSoftmax, text: str = "text", output
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, float] = {}
         for rows in batches:
-            scores = np.empty(len(rows))
-            for i, value in enumerate(rows.pop("__text")):
-                words, total = words_of(value), 0.0
-                for word, n in Counter(words).items():
-                    add = cache.get(word)
-                    if add is None:
-                        if len(cache) >= CACHE_WORDS:
-                            cache.clear()
-                        add = cache[word] = float(margin[subwords(word, buckets, shortest, longest)].mean())
-                    total += add * n
-                scores[i] = bias + total / max(1, len(words))
-            yield rows.assign(**{output: 1 / (1 + np.exp(-np.clip(scores, -60, 60)))})
+            counts = [Counter(words_of(value)) for value in rows.pop("__text")]
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+            if new := sorted({w for c in counts for w in c if w not in cache}):
+                flat, sizes = subwords(new, buckets, shortest, longest)
+                cache.update(zip(new, (np.add.reduceat(margin[flat], np.cumsum(sizes) - sizes) / sizes).tolist()))
+            logits = np.array([bias + sum(cache[w] * n for w, n in c.items()) / max(1, c.total()) for c in counts])
+            yield rows.assign(**{output: 1 / (1 + np.exp(-np.clip(logits, -60, 60)))})
 
     return fed.mapInPandas(run, schema)
