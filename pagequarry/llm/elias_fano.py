@@ -2,8 +2,8 @@
 
 The trie of a shard has a level of contexts and a level of successors.  Pointers from the first to the second are a
 monotone sequence; successor ids are made monotone by adding the sum of the ids before their context, so that both are
-Elias-Fano coded.  A successor is looked up relative to its context: by binary search in the context's range, over ids
-that count from the context's start.  Probabilities are quantised to 16 bits.
+Elias-Fano coded.  A successor is looked up relative to its context: in the context's range, over ids that count from the
+context's start.  Many n-grams are looked up together, over blocks of contexts that are decoded one after another.  Probabilities are quantised to 16 bits.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import numpy as np
 
 #: Quantised log10 values: 1 to 65,535 stand for ``-LOWEST`` to 0; code 0 means none.
 LOWEST = 16.0
+#: Contexts whose part of the trie is decoded at once.
+CONTEXT_BLOCK = 1 << 16
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
@@ -62,6 +64,16 @@ class EliasFano:
             out[at:at + (1 << 14)] = (high << self.low_bits) | (self.low[i].astype(np.int64) if self.low_bits else 0)
         return out
 
+    def slice(self, low: int, high: int) -> np.ndarray:
+        """The values from ``low`` up to ``high``, decoded from their part of the files."""
+        if low >= high:
+            return np.zeros(0, np.int64)
+        first, last = np.searchsorted(self.ranks, [low, high - 1], "right") - 1
+        ones = np.flatnonzero(np.unpackbits(self.high[first * 64:(last + 1) * 64]))
+        ones = ones[low - self.ranks[first]:high - self.ranks[first]]
+        values = (first * 512 + ones - np.arange(low, high)) << self.low_bits
+        return values | self.low[low:high].astype(np.int64) if self.low_bits else values
+
     def save(self, folder: str, name: str) -> None:
         for part in ("low", "high", "ranks"):
             np.save(os.path.join(folder, f"{name}.{part}.npy"), getattr(self, part))
@@ -105,26 +117,25 @@ class Trie:
         """Codes of the n-grams' probability and of their contexts' back-off weight (0: not in the trie)."""
         n, found = self.contexts.size, np.zeros(len(context), np.uint16)
         back = np.zeros(len(context), np.uint16)
-        if not n or not len(context):
-            return found, back
-        at = self._search(self.contexts, context, np.zeros(len(context), np.int64), np.full(len(context), n))
-        known = np.nonzero((at < n) & (self.contexts.get(np.minimum(at, n - 1)) == context))[0]
-        back[known] = self.backoff[at[known]]
-        low, high = self.pointers.get(at[known]), self.pointers.get(at[known] + 1)
-        start = np.where(low > 0, self.successors.get(np.maximum(low - 1, 0)) + 1, 0)  # the context's base
-        wanted = successor[known] + start
-        place = self._search(self.successors, wanted, low, high)
-        hit = (place < high) & (self.successors.get(np.minimum(place, self.successors.size - 1)) == wanted)
-        found[known[hit]] = self.probability[place[hit]]
+        order = np.argsort(context, kind="stable")
+        ordered = context[order]
+        for at in range(0, n, CONTEXT_BLOCK):
+            ids = self.contexts.slice(at, min(n, at + CONTEXT_BLOCK))
+            mine = order[np.searchsorted(ordered, ids[0]):np.searchsorted(ordered, ids[-1], "right")]
+            if not len(mine):
+                continue
+            place = np.searchsorted(ids, context[mine])
+            known = ids[place] == context[mine]
+            mine, place = mine[known], place[known]
+            back[mine] = self.backoff[at + place]
+            pointers = self.pointers.slice(at, at + len(ids) + 1)
+            successors = self.successors.slice(int(pointers[0]), int(pointers[-1]))
+            before = int(self.successors.get(pointers[:1] - 1)[0]) + 1 if pointers[0] else 0
+            ranges = pointers - pointers[0]
+            # successor ids count on from where the context before has ended
+            start = np.where(ranges[:-1] > 0, successors[np.maximum(ranges[:-1] - 1, 0)] + 1, before)
+            wanted = successor[mine] + start[place]
+            at_successor = np.searchsorted(successors, wanted)
+            hit = (at_successor < ranges[place + 1]) & (successors[np.minimum(at_successor, len(successors) - 1)] == wanted)
+            found[mine[hit]] = self.probability[pointers[0] + at_successor[hit]]
         return found, back
-
-    @staticmethod
-    def _search(sequence: EliasFano, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The first place in ``[low, high)`` with a value of at least ``wanted``."""
-        low, high = low.astype(np.int64).copy(), high.astype(np.int64).copy()
-        while (open_ := low < high).any():
-            middle = (low + high) // 2
-            below = np.zeros(len(low), bool)
-            below[open_] = sequence.get(middle[open_]) < wanted[open_]
-            low, high = np.where(open_ & below, middle + 1, low), np.where(open_ & ~below, middle, high)
-        return low

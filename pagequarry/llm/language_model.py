@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,13 +90,17 @@ def _ask_words(shards: int):
         for b in _batches(rows):
             counts = np.bincount(b.tokens[b.trained], minlength=len(b.words))
             yield pd.DataFrame([
-                (b.key, shard, b" ".join(b.words[i] for i in index), counts[index].astype(np.int32).tobytes())
+                (b.key, shard, _packed(b" ".join(b.words[i] for i in index)), counts[index].astype(np.int32).tobytes())
                 for shard, index in _cuts((b.hashes % np.uint64(shards)).astype(np.int64))
             ], columns=["batch", "shard", "words", "counts"])
 
     return run
 
 
+def _packed(data: bytes) -> bytes:
+    return zstandard.compress(data, 1)
+
+
 def _split(words: bytes) -> list[bytes]:
     return words.split(b" ")
 
@@ -103,7 +108,7 @@ def _split(words: bytes) -> list[bytes]:
 def _count_words(group: pd.DataFrame, listed: int) -> pd.DataFrame:
     """The corpus counts of each batch's words; one more row (no batch) has the shard's totals and its most frequent words."""
     numbers: dict[bytes, int] = {}
-    index = [np.array([numbers.setdefault(w, len(numbers)) for w in _split(x)], np.int64) for x in group["words"]]
+    index = [np.array([numbers.setdefault(w, len(numbers)) for w in _split(zstandard.decompress(x))], np.int64) for x in group["words"]]
     totals = np.zeros(len(numbers), np.int64)
     for i, c in zip(index, group["counts"]):
         totals[i] += np.frombuffer(c, np.int32)
@@ -160,7 +165,7 @@ def _ask_pairs(shards: int, hot: dict[bytes, int]):
                 # the start mark cannot be joined by spaces: it is an empty name
                 heads = b" ".join(b"" if i == len(b.words) else names[i] for i in c)
                 tails = b" ".join(names[i] for i in word[index])
-                out.append((b.key, shard, heads + b"\0" + tails, np.concatenate([[len(c)], sizes, counts[index]]).astype(np.int32).tobytes()))
+                out.append((b.key, shard, _packed(heads + b"\0" + tails), _packed(np.concatenate([[len(c)], sizes, counts[index]]).astype(np.int32).tobytes())))
             yield pd.DataFrame(out, columns=["batch", "shard", "words", "counts"])
 
     return run
@@ -173,8 +178,8 @@ def _answer_pairs(mu: float, hot: dict[bytes, int], start_count: int):
         numbers: dict[bytes, int] = {}
         asked, pieces = [], []
         for words, counts in zip(group["words"], group["counts"]):
-            counts = np.frombuffer(counts, np.int32).astype(np.int64)
-            heads, _, tails = words.partition(b"\0")
+            counts = np.frombuffer(zstandard.decompress(counts), np.int32).astype(np.int64)
+            heads, _, tails = zstandard.decompress(words).partition(b"\0")
             sizes, counts = counts[1:1 + counts[0]], counts[1 + counts[0]:]
             head = np.array([numbers.setdefault(w or START, len(numbers)) for w in _split(heads)], np.int64)
             tail = np.array([numbers.setdefault(w, len(numbers)) for w in _split(tails)], np.int64)
@@ -193,10 +198,12 @@ def _answer_pairs(mu: float, hot: dict[bytes, int], start_count: int):
         try:
             Trie.build(folder, context, word, np.log10(count / (totals[of_pair] + mu)), ids, np.log10(mu / (totals + mu)))
             trie = Trie(folder)
-            out = []
-            for batch, shard, (c, w) in zip(group["batch"], group["shard"], asked):
-                probability, backoff = trie.lookup(c, w)
-                out.append((batch, shard, probability.tobytes(), backoff.tobytes()))
+            probability, backoff = trie.lookup(*(np.concatenate(x) for x in zip(*asked)))
+            ends = np.cumsum([len(c) for c, _ in asked])
+            out = [
+                (batch, shard, probability[e - len(c):e].tobytes(), backoff[e - len(c):e].tobytes())
+                for batch, shard, (c, _), e in zip(group["batch"], group["shard"], asked, ends)
+            ]
         finally:
             shutil.rmtree(folder, ignore_errors=True)
         return pd.DataFrame(out, columns=["batch", "shard", "words", "counts"])
@@ -232,7 +239,7 @@ def score_documents(
     def skeletons(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _batches(rows):
             yield pd.DataFrame([{
-                "batch": b.key, "kind": 0, "shard": 0, "a": b.tokens.astype(np.int32).tobytes(), "b": b.hashes.tobytes(), "c": b.sizes.astype(np.int32).tobytes(),
+                "batch": b.key, "kind": 0, "shard": 0, "a": _packed(b.tokens.astype(np.int32).tobytes()), "b": b.hashes.tobytes(), "c": b.sizes.astype(np.int32).tobytes(),
                 "ids": list(b.ids), "hot": np.array([w in hot for w in b.words], bool).tobytes(),
             }])
 
@@ -249,7 +256,7 @@ def score_documents(
         if not len(heads):
             raise ValueError("the documents changed between two reads")
         head = heads.iloc[0]
-        tokens_here, hashes = np.frombuffer(head["a"], np.int32).astype(np.int64), np.frombuffer(head["b"], np.uint64)
+        tokens_here, hashes = np.frombuffer(zstandard.decompress(head["a"]), np.int32).astype(np.int64), np.frombuffer(head["b"], np.uint64)
         sizes = np.frombuffer(head["c"], np.int32).astype(np.int64)
         counts = np.zeros(len(hashes), np.int64)
         by_shard = {s: x for s, x in zip(*(group.loc[group["kind"] == 1, c] for c in ("shard", "a")))}
