@@ -32,19 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
 #: Places that a task's cache of word lattices may hold, and characters that are stepped together.
-CACHE_NODES = 1_000_000
+CACHE_NODES = 1_200_000
 BATCH_CHARS = 400_000
 #: A word with the spaces before it, spaces before a line end or tab, or one of these.
 _CHUNKS = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 
-SAMPLES = "array<struct<ids: array<int>, log_prob: double, inclusion: double>>"
+SAMPLES = "array<struct<ids: array<int>, log_prob: double, inclusion: double, exact: boolean>>"
 
 
 class Vocabulary:
@@ -67,9 +68,14 @@ class Vocabulary:
             raise ValueError("pieces across spaces, line ends or tabs are not supported")
         if len(self.byte_ids) != 256:
             raise ValueError("the vocabulary needs byte pieces")
+        self.bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.byte_weight = -theta * math.log1p(size)
         self.longest = max(map(len, self.weight))
 
+    def piece_bytes(self) -> list[bytes]:
+        """What each id stands for; the piece mark is a space."""
+        return [self.bytes_of.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
+
 
 def chunks_of(text: str) -> list[str]:
     """The words of a text with its prefix space; joined they are that text."""
@@ -79,7 +85,6 @@ def chunks_of(text: str) -> list[str]:
     marked = text.replace(" ", "\1 ").replace("\n", "\1\n\1").replace("\t", "\1\t\1")
     return [c for c in marked.split("\1") if c]
 
-
 class Lattices:
     """Lattices of words in flat arrays: a node is a place in a word, its edges are the pieces that start there."""
 
@@ -392,50 +397,49 @@ def _ids(tokens: np.ndarray, spelled: list[list[int]]) -> np.ndarray:
 
 
 def sample_encodings(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", k: int = 2, output: str = "samples") -> DataFrame:
-    """``df`` with ``output array<struct<ids, log_prob, inclusion>>``: ``k`` distinct segmentations of the whole text."""
+    """``df`` with ``output array<struct<ids, log_prob, inclusion, exact>>``: ``k`` distinct segmentations of the whole text;
+    ``exact`` says whether the ids decode to the text."""
     kept = [c for c in df.columns if c not in (output, "__seed")]
+    if text not in kept:
+        raise ValueError(f"no column {text}")
     fed = df.select(*(F.col(f"`{c}`") for c in kept), F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).alias("__seed"))
-    text_in = text in kept
     schema = T.StructType([*(f for f in fed.schema if f.name != "__seed")]).add(output, T.StructType.fromDDL(f"x {SAMPLES}")["x"].dataType)
-    if not text_in:
-        raise ValueError(f"no column {text}")
+    number = kept.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattices = Lattices(vocabulary)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices, raw = Lattices(vocabulary), vocabulary.piece_bytes()
         for rows in batches:
-            seeds = rows.pop("__seed").to_numpy(np.int64).view(np.uint64)
-            texts = [t if isinstance(t, str) else "" for t in rows[text]]
-            cuts, size = [0], 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > BATCH_CHARS:
-                    cuts.append(i + 1)
-                    size = 0
-            for a, b in zip(cuts, [*cuts[1:], len(texts)]):
-                if a < b:
-                    got = sample_batch(lattices, texts[a:b], seeds[a:b], k)
-                    yield rows.iloc[a:b].assign(**{output: [[{"ids": i, "log_prob": p, "inclusion": q} for i, p, q in s] for s in got]})
-
-    return fed.mapInPandas(run, schema)
-
-
-def decode_ids(ids, pieces: list[str]) -> str:
-    """The text of an encoding; bytes are put together, piece marks are spaces, the prefix space goes."""
-    text = "".join(map(pieces.__getitem__, ids))
-    if "<0x" in text:
-        raw = b"".join(bytes([int(p[3:5], 16)]) if len(p) == 6 and p.startswith("<0x") else p.replace(MARK, " ").encode() for p in map(pieces.__getitem__, ids))
-        text = raw.decode("utf-8", "surrogatepass")
-    else:
-        text = text.replace(MARK, " ")
+            seeds = np.asarray(rows.column(len(kept))).view(np.uint64)
+            sizes = np.asarray(pc.fill_null(pc.utf8_length(rows.column(number)), 0)).astype(np.int64)
+            at = 0
+            while at < len(sizes):
+                stop = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_CHARS)) + at)
+                part = rows.slice(at, stop - at)
+                texts = [t or "" for t in part.column(number).to_pylist()]
+                got = sample_batch(lattices, texts, seeds[at:stop], k)
+                flat = [s for samples in got for s in samples]
+                exact = [decode_ids(s[0], raw) == t for t, samples in zip(texts, got) for s in samples]
+                ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(s[0]) for s in flat)]).astype(np.int32), np.concatenate([s[0] for s in flat]))
+                struct = pa.StructArray.from_arrays([ids, pa.array([s[1] for s in flat], pa.float64()), pa.array([s[2] for s in flat], pa.float64()), pa.array(exact)], ["ids", "log_prob", "inclusion", "exact"])
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, got)]).astype(np.int32), struct)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), lists], [*kept, output])
+                at = stop
+
+    return fed.mapInArrow(run, schema)
+
+
+def decode_ids(ids: np.ndarray, raw: list[bytes]) -> str:
+    """The text of an encoding; ``raw`` are the bytes of the pieces.  The prefix space goes."""
+    text = b"".join(map(raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
     return text[1:] if text.startswith(" ") else text
 
 
 def decode_column(vocabulary: Vocabulary):
     """A vectorised column function from ``array<int>`` ids to text."""
-    pieces = vocabulary.pieces
+    raw = vocabulary.piece_bytes()
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else decode_ids(x, pieces))
+        return ids.map(lambda x: None if x is None else decode_ids(x, raw))
 
     return decode
