@@ -145,4 +145,4 @@ def script_bodies(html: Column) -> Column:
         html,
         r"(?is)<script(?=[\s/])(?=[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"'\s>/])[^>]*>(.*?)(?:</script\s*>|\z)", 1,
     )
-    return F.when(F.contains(html, F.lit("ld+json")), bodies).otherwise(F.array().cast("array<string>"))
+    return F.when(F.contains(F.lower(html), F.lit("ld+json")), bodies).otherwise(F.array().cast("array<string>"))

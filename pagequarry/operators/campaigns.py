@@ -172,18 +172,30 @@ def clamp_throttle(delay: float = 2, batch: float = 50, pause: float = 60) -> tu
     return min(max(delay, 0.5), 600), int(min(max(batch, 0), 1000)), min(max(pause, 0), 3600)
 
 
-def plan_sends(recipients: DataFrame, delay: float = 2, batch: int = 50, pause: float = 60, order: str = "row") -> DataFrame:
-    """Start second of every message of ``(campaign_id, email, <order>)``.
+#: Recipients of a campaign that are ranked by one task.
+_RANK_ROWS = 4096
 
-    A campaign has at most five thousand recipients; larger ones are refused by a keyed count
-    before any per-campaign ordering takes place, so no window partition exceeds that size.
+
+def plan_sends(
+    recipients: DataFrame, delay: float = 2, batch: int = 50, pause: float = 60, order: str = "row", max_recipients: int | None = None,
+) -> DataFrame:
+    """Start second of every message of ``(campaign_id, email, <order>)``; ``order`` is an integer column.
+
+    Ranks are taken in two steps, so that a campaign of any size is spread over tasks: ranges of ``order`` are counted and
+    their counts added up, then rows are numbered within their range.  With ``max_recipients`` larger campaigns are left out.
     """
     delay, batch, pause = clamp_throttle(delay, batch, pause)
-    size = recipients.groupBy("campaign_id").agg(F.count("*").alias("n"))
-    allowed = size.filter(F.col("n") <= fv.MAX_RECIPIENTS).select("campaign_id")
-    r = recipients.join(allowed, "campaign_id", "left_semi")
-    k = F.row_number().over(W.partitionBy("campaign_id").orderBy(order, "email")) - 1
-    r = r.withColumn("k", k)
+    r = recipients
+    if max_recipients is not None:
+        size = r.groupBy("campaign_id").agg(F.count("*").alias("n"))
+        r = r.join(size.filter(F.col("n") <= max_recipients).select("campaign_id"), "campaign_id", "left_semi")
+    r = r.withColumn("__range", F.floor(F.col(order) / _RANK_ROWS))
+    counts = r.groupBy("campaign_id", "__range").agg(F.count("*").alias("__n"))
+    before = W.partitionBy("campaign_id").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("campaign_id", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    within = F.row_number().over(W.partitionBy("campaign_id", "__range").orderBy(order, "email")) - 1
+    r = r.withColumn("__k", within).join(offsets, ["campaign_id", "__range"])
+    r = r.withColumn("k", F.col("__k") + F.col("__offset")).drop("__k", "__offset", "__range")
     pauses = F.floor(F.col("k") / batch) if batch > 0 else F.lit(0)
     return r.withColumn("planned_offset_s", ((F.col("k") - pauses) * F.lit(float(delay)) + pauses * F.lit(float(pause))).cast("double"))
 

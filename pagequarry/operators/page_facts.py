@@ -193,7 +193,9 @@ def extract_social(pages: DataFrame) -> DataFrame:
     def found(platform: str, pattern: str) -> Column:
         rx = "(?i)" + pattern
         raw = F.concat(F.filter("hrefs", lambda h: h.rlike(rx)), extract_all(F.col("html"), rx))
-        gate = F.contains(F.col("lo"), F.lit(fv.SOCIAL_GATES[platform]))
+        mark = F.lit(fv.SOCIAL_GATES[platform])
+        # a link may be written with character references, which only its decoded form shows
+        gate = F.contains(F.col("lo"), mark) | F.exists("hrefs", lambda h: F.contains(F.lower(h), mark))
         return F.transform(F.when(gate, raw), lambda u: F.struct(F.lit(platform).alias("platform"), u.alias("url")))
 
     none = F.array().cast("array<struct<platform:string,url:string>>")

@@ -18,7 +18,7 @@ from .page_facts import with_domain
 
 __all__ = ["structured_data", "jsonld_nodes", "extract_company", "extract_products", "extract_jobs", "structured_addresses"]
 
-_NESTING = 4  # arrays and @graph lists inside each other
+_NESTING = 8  # arrays and @graph lists inside each other
 
 
 def _sub(v: Column, path: str) -> Column:
@@ -175,7 +175,7 @@ def _with_nodes(pages: DataFrame) -> DataFrame:
     """Pages that carry JSON-LD, with their nodes; the markup itself is dropped here."""
     p = with_domain(pages)
     keep = [c for c in p.columns if c not in ("html", "content_type", "headers")]
-    p = p.filter(F.contains("html", F.lit("ld+json")))
+    p = p.filter(F.contains(F.lower("html"), F.lit("ld+json")))
     return p.select(*keep, nodes_array(F.col("html")).alias("nodes"))
 
 

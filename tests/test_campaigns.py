@@ -5,8 +5,9 @@ from pagequarry.plans.extractor import breakdown
 from pagequarry.sources import readers
 
 LISTS = [
-    ("l1", 'email,name,company\nada@example.com,Ada,Analytical Engines\ngrace@example.com,Grace,"Compiler ""X"", Co"\nbounce@example.com,Bouncer,"Two\nlines"\nada@example.com,Dupe,Ignored\nnot-an-email,Broken,Bad Row\n'),
-    ("l2", "a@x.com b@y.com\nc@z.org"), ("l3", "Joe;joe@x.com\r\nAnn;ann@x.com\r\n"), ("l4", "a@x.com, b@y.com"), ("l5", "name\tE-mail Address\nJoe\tjoe@x.com\n\t\n"),
+    ("header", 'Firm;Mail;City\n"Hill; Sons";order@hillsons.test;York\nMoor Ltd;MOOR@moor.test;"Line one\nline two"\nHill again;order@hillsons.test;Leeds\nNo address;nowhere;Bath\n'),
+    ("bare", "p1@one.test\np2@two.test p3@three.test"), ("unnamed", "Kim,kim@four.test\r\nLee,lee@four.test\r\n"), ("single", "q1@five.test, q2@five.test"),
+    ("tabs", "who\temail\nMia\tmia@six.test\n\t\n"),
 ]
 
 
@@ -15,18 +16,15 @@ def test_lists(spark):
     got = {}
     for r in rec.orderBy("list_id", "row").collect():
         got.setdefault(r.list_id, []).append((r.email, {f.k: f.v for f in r.fields}))
-    assert got["l1"] == [
-        ("ada@example.com", {"name": "Ada", "company": "Analytical Engines"}), ("grace@example.com", {"name": "Grace", "company": 'Compiler "X", Co'}),
-        ("bounce@example.com", {"name": "Bouncer", "company": "Two\nlines"}),
-    ]
-    assert [e for e, _ in got["l2"]] == ["a@x.com", "b@y.com", "c@z.org"]
-    assert got["l3"] == [("joe@x.com", {"column_1": "Joe"}), ("ann@x.com", {"column_1": "Ann"})]
+    assert got["header"] == [("order@hillsons.test", {"Firm": "Hill; Sons", "City": "York"}), ("moor@moor.test", {"Firm": "Moor Ltd", "City": "Line one\nline two"})]
+    assert [e for e, _ in got["bare"]] == ["p1@one.test", "p2@two.test", "p3@three.test"]
+    assert got["unnamed"] == [("kim@four.test", {"column_1": "Kim"}), ("lee@four.test", {"column_1": "Lee"})]
     # one pasted line with commas is a table row: only its first address column is read
-    assert got["l4"] == [("a@x.com", {"column_2": "b@y.com"})]
-    assert got["l5"] == [("joe@x.com", {"name": "Joe"})]
-    assert [(r.list_id, r.row, r.value) for r in invalid.collect()] == [("l1", 5, "not-an-email, Broken, Bad Row")]
+    assert got["single"] == [("q1@five.test", {"column_2": "q2@five.test"})]
+    assert got["tabs"] == [("mia@six.test", {"who": "Mia"})]
+    assert [(r.list_id, r.value) for r in invalid.collect()] == [("header", "No address, nowhere, Bath")]
     s = {r.list_id: (r.recipients, r.duplicates, r.invalid) for r in stats.collect()}
-    assert s["l1"] == (3, 1, 1) and s["l2"] == (3, 0, 0)
+    assert s["header"] == (2, 1, 1) and s["bare"] == (3, 0, 0)
 
 
 def test_files(spark, tmp_path):
@@ -48,11 +46,12 @@ def test_render(spark):
 
 
 def test_plan(spark):
-    df = spark.range(7).select(F.lit(1).alias("campaign_id"), F.col("id").alias("row"), F.concat("id", F.lit("@x.org")).alias("email"))
-    big = spark.range(5001).select(F.lit(2).alias("campaign_id"), F.col("id").alias("row"), F.concat("id", F.lit("@x.org")).alias("email"))
-    plan = ca.plan_sends(df.unionByName(big), 2, 3, 10).orderBy("row").collect()
-    assert [r.planned_offset_s for r in plan] == [0, 2, 4, 14, 16, 18, 28]
-    assert all(r.campaign_id == 1 for r in plan)
+    small = spark.range(7).select(F.lit(1).alias("campaign_id"), F.col("id").alias("row"), F.concat("id", F.lit("@seven.test")).alias("email"))
+    large = spark.range(40_000).select(F.lit(2).alias("campaign_id"), (F.col("id") * 3).alias("row"), F.concat("id", F.lit("@large.test")).alias("email"))
+    plan = ca.plan_sends(small.unionByName(large), 2, 3, 10)
+    assert [r.planned_offset_s for r in plan.where("campaign_id = 1").orderBy("row").collect()] == [0, 2, 4, 14, 16, 18, 28]
+    assert [r.k for r in plan.where("campaign_id = 2").orderBy("row").collect()] == [*range(40_000)]
+    assert ca.plan_sends(small.unionByName(large), max_recipients=5000).select("campaign_id").distinct().count() == 1
     assert ca.clamp_throttle(0, 5000, -1) == (0.5, 1000, 0)
 
 
