@@ -25,8 +25,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without id are no one's representative by id: of equal texts among them one stays.
     """
-    classes = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(classes, "doc_id", "left_semi")
+    classes = simhash.near_duplicates(docs)
+    first = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    # texts move only for ids that are there more than once
+    repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    once = docs.where(F.col("doc_id").isNotNull()).join(repeated, "doc_id", "left_anti")
+    again = docs.where(F.col("doc_id").isNotNull()).join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = once.unionByName(again).join(first, "doc_id", "left_semi")
     return named.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])).select(*COLUMNS)
 
 
