@@ -362,22 +362,58 @@ BUSINESS_TYPE_NAME = (
 )
 NO_CATEGORY = "—"
 CATEGORY_RULES = [
-    ("Services / Digital Marketing", "digital marketing|seo|search engine optimization|ppc|social media marketing|content marketing|link building|backlink|marketing agency|google ads|adwords|branding agency"),
-    ("Technology / SaaS", "saas|platform|api|dashboard|integrations|free trial|pricing plan|cloud software|automation tool|subscription"),
-    ("Services / Software Development", "software development|web development|app development|custom software|mobile app|developers|it services|outsourcing|web design"),
-    ("E-commerce / Retail", "add to cart|shop now|free shipping|checkout|our products|buy now|online store|shopping cart|add to bag"),
-    ("Education", "students|curriculum|courses|enroll|university|academy|tuition|admissions|school|training program|certification"),
-    ("Healthcare", "patients|clinic|doctors|medical|health care|treatment|appointment|dental|hospital|therapy"),
-    ("Real Estate", "properties|real estate|for sale|listings|rent|realtor|apartments|square feet|mortgage"),
-    ("Finance", "investment|banking|insurance|loans|financial services|accounting|tax|wealth|portfolio|trading"),
-    ("Legal", "attorney|law firm|lawyer|legal services|litigation|counsel|solicitor|paralegal"),
-    ("Travel & Hospitality", "hotel|booking|reservation|tours|flights|travel|resort|accommodation|itinerary"),
-    ("Food & Beverage", "menu|restaurant|reservations|catering|cafe|recipes|dining|takeaway|bakery"),
-    ("Media / Publishing", "articles|newsroom|latest news|editorial|magazine|podcast|subscribe to our newsletter|journalism"),
-    ("Non-profit", "donate|nonprofit|non-profit|charity|volunteers|our mission|fundraising|foundation"),
-    ("Manufacturing / Industrial", "manufacturing|factory|industrial|machinery|suppliers|wholesale|production line|oem"),
-    ("Construction", "construction|contractor|renovation|builders|roofing|plumbing|remodeling|architecture"),
-    ("Services / Consulting", "consulting|consultancy|advisory|strategy|business solutions|our expertise"),
+    ("Services / Digital Marketing", [
+        "digital marketing", "seo", "search engine optimization", "ppc", "social media marketing", "content marketing", "link building",
+        "backlink", "marketing agency", "google ads", "adwords", "branding agency",
+    ]),
+    ("Technology / SaaS", [
+        "saas", "platform", "api", "dashboard", "integrations", "free trial", "pricing plan", "cloud software", "automation tool",
+        "subscription",
+    ]),
+    ("Services / Software Development", [
+        "software development", "web development", "app development", "custom software", "mobile app", "developers", "it services",
+        "outsourcing", "web design",
+    ]),
+    ("E-commerce / Retail", [
+        "add to cart", "shop now", "free shipping", "checkout", "our products", "buy now", "online store", "shopping cart", "add to bag",
+    ]),
+    ("Education", [
+        "students", "curriculum", "courses", "enroll", "university", "academy", "tuition", "admissions", "school", "training program",
+        "certification",
+    ]),
+    ("Healthcare", [
+        "patients", "clinic", "doctors", "medical", "health care", "treatment", "appointment", "dental", "hospital", "therapy",
+    ]),
+    ("Real Estate", [
+        "properties", "real estate", "for sale", "listings", "rent", "realtor", "apartments", "square feet", "mortgage",
+    ]),
+    ("Finance", [
+        "investment", "banking", "insurance", "loans", "financial services", "accounting", "tax", "wealth", "portfolio", "trading",
+    ]),
+    ("Legal", [
+        "attorney", "law firm", "lawyer", "legal services", "litigation", "counsel", "solicitor", "paralegal",
+    ]),
+    ("Travel & Hospitality", [
+        "hotel", "booking", "reservation", "tours", "flights", "travel", "resort", "accommodation", "itinerary",
+    ]),
+    ("Food & Beverage", [
+        "menu", "restaurant", "reservations", "catering", "cafe", "recipes", "dining", "takeaway", "bakery",
+    ]),
+    ("Media / Publishing", [
+        "articles", "newsroom", "latest news", "editorial", "magazine", "podcast", "subscribe to our newsletter", "journalism",
+    ]),
+    ("Non-profit", [
+        "donate", "nonprofit", "non-profit", "charity", "volunteers", "our mission", "fundraising", "foundation",
+    ]),
+    ("Manufacturing / Industrial", [
+        "manufacturing", "factory", "industrial", "machinery", "suppliers", "wholesale", "production line", "oem",
+    ]),
+    ("Construction", [
+        "construction", "contractor", "renovation", "builders", "roofing", "plumbing", "remodeling", "architecture",
+    ]),
+    ("Services / Consulting", [
+        "consulting", "consultancy", "advisory", "strategy", "business solutions", "our expertise",
+    ]),
 ]
 SCHEMA_CATEGORY = {
     "store": "E-commerce / Retail", "onlinestore": "E-commerce / Retail",
@@ -425,15 +461,17 @@ COUNTRY_ALIASES = {
     "UAE": "United Arab Emirates", "KSA": "Saudi Arabia", "ENGLAND": "England",
     "SCOTLAND": "Scotland", "WALES": "Wales", "HOLLAND": "Netherlands",
 }
-STREET_TYPES = """
-street|st|avenue|ave|boulevard|blvd|road|rd|lane|ln|drive|dr|court|ct|way|highway|hwy|square|sq|parkway
-pkwy|place|pl|terrace|trail|crescent|close|circle|cir|alley|bypass|expressway|freeway|route|rte|walk|quay
-esplanade|strasse|straße|calle|avenida|rua|via|viale|chaussee|gatan|vej|plein|laan|straat
-""".strip().replace("\n", "|").split("|")
-UNIT_TYPES = """
-suite|ste|unit|apt|apartment|floor|fl|room|rm|office|building|bldg|block|tower|plaza|level|flat|shop|house
-plot|sector|phase|villa|wing|complex|centre|center|mall|industrial area|po box|p.o. box|gpo box|postbox
-""".strip().replace("\n", "|").split("|")
+STREET_TYPES = [
+    "street", "st", "avenue", "ave", "boulevard", "blvd", "road", "rd", "lane", "ln", "drive", "dr", "court", "ct", "way", "highway",
+    "hwy", "square", "sq", "parkway", "pkwy", "place", "pl", "terrace", "trail", "crescent", "close", "circle", "cir", "alley", "bypass",
+    "expressway", "freeway", "route", "rte", "walk", "quay", "esplanade", "strasse", "straße", "calle", "avenida", "rua", "via", "viale",
+    "chaussee", "gatan", "vej", "plein", "laan", "straat",
+]
+UNIT_TYPES = [
+    "suite", "ste", "unit", "apt", "apartment", "floor", "fl", "room", "rm", "office", "building", "bldg", "block", "tower", "plaza",
+    "level", "flat", "shop", "house", "plot", "sector", "phase", "villa", "wing", "complex", "centre", "center", "mall", "industrial area",
+    "po box", "p.o. box", "gpo box", "postbox",
+]
 UNIT_LED_EXTRA = "street road gali mohalla near".split()
 LABEL_WITH_SEPARATOR = (
     r"(?i)\A(?:our" + SP + r"+)?(?:address(?:es)?|location|head" + SP + "+office|registered" + SP + "+office|main" + SP

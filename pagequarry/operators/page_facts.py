@@ -357,7 +357,7 @@ def classify_category(pages: DataFrame) -> DataFrame:
     scores = F.array(*[
         F.struct(
             F.aggregate(
-                array_of(terms.split("|")), F.lit(0),
+                array_of(terms), F.lit(0),
                 lambda acc, t: acc + F.when(F.contains(F.col("strong"), t), 3).when(F.contains(F.col("body"), t), 1).otherwise(0),
             ).alias("score"),
             F.lit(-i).alias("rank"), F.lit(label).alias("label"),

@@ -241,7 +241,7 @@ def contact_forms(spark, sf):
 
 
 def _category_sql() -> str:
-    score = lambda terms: " + ".join(f"CASE WHEN contains(strong, {st.q(t)}) THEN 3 WHEN contains(body, {st.q(t)}) THEN 1 ELSE 0 END" for t in terms.split("|"))
+    score = lambda terms: " + ".join(f"CASE WHEN contains(strong, {st.q(t)}) THEN 3 WHEN contains(body, {st.q(t)}) THEN 1 ELSE 0 END" for t in terms)
     scores = ", ".join(f"{{'s': {score(terms)}, 'r': {-i}, 'l': {st.q(label)}}}" for i, (label, terms) in enumerate(fv.CATEGORY_RULES))
     return st.with_(st.MARKUP_CTE, st.TEXT_CTE) + f"""SELECT domain, page_id, CASE WHEN best.s >= 3 THEN best.l ELSE '—' END AS category FROM (
       SELECT domain, page_id, list_max([{scores}]) AS best FROM (
