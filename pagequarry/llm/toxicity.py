@@ -19,7 +19,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 
 #: Words whose logit a task remembers.
 CACHE_WORDS = 200_000
+#: Bytes of text whose words a task holds at once (a longer text is a part of its own).
+PART_BYTES = 2_000_000
 #: Punctuation that does not belong to a word.
 _EDGE = ".,;:!?\"'()[]{}<>|*$%&#"
 
@@ -156,23 +159,34 @@ def train(
 
 
 def score_texts(df: DataFrame, model: SubwordSoftmax, text: str = "text", output: str = "score") -> DataFrame:
-    """``df`` with ``output double``: the probability of label 1 for the whole text (an input column of that name is replaced)."""
+    """``df`` with ``output double``: the probability of label 1 for the whole text, a string or binary column (an input
+    column called like the output is replaced)."""
     margin, bias = model.margins()
     buckets, shortest, longest = len(margin), model.shortest, model.longest
     kept = [c for c in df.columns if c != output]
-    fed = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("binary").alias("__text"))
-    schema = T.StructType([*(f for f in fed.schema if f.name != "__text"), T.StructField(output, T.DoubleType())])
+    fed = df.select(*(F.col(f"`{c}`") for c in kept))
+    schema = T.StructType([*fed.schema, T.StructField(output, T.DoubleType())])
+    number = kept.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for rows in batches:
-            counts = [Counter(words_of(value)) for value in rows.pop("__text")]
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            if new := sorted({w for c in counts for w in c if w not in cache}):
-                flat, sizes = subwords(new, buckets, shortest, longest)
-                cache.update(zip(new, (np.add.reduceat(margin[flat], np.cumsum(sizes) - sizes) / sizes).tolist()))
-            logits = np.array([bias + sum(cache[w] * n for w, n in c.items()) / max(1, c.total()) for c in counts])
-            yield rows.assign(**{output: 1 / (1 + np.exp(-np.clip(logits, -60, 60)))})
-
-    return fed.mapInPandas(run, schema)
+            column = rows.column(number)
+            if not pa.types.is_binary(column.type) and not pa.types.is_large_binary(column.type):
+                column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+            filled = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)), dtype=np.int64)
+            scores, at = np.zeros(len(column)), 0
+            while at < len(column):  # words of a bounded part of the batch at a time
+                stop = max(at + 1, int(np.searchsorted(filled, (filled[at - 1] if at else 0) + PART_BYTES)))
+                counts = [Counter(words_of(value.as_py())) for value in column[at:stop]]
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                if new := sorted({w for c in counts for w in c if w not in cache}):
+                    flat, sizes = subwords(new, buckets, shortest, longest)
+                    cache.update(zip(new, (np.add.reduceat(margin[flat], np.cumsum(sizes) - sizes) / sizes).tolist()))
+                logits = np.array([bias + sum(cache[w] * n for w, n in c.items()) / max(1, c.total()) for c in counts])
+                scores[at:stop] = 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
+                at = stop
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores)], [*kept, output])
+
+    return fed.mapInArrow(run, schema)
