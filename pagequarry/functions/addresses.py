@@ -165,8 +165,8 @@ def _is_complete(t: Column) -> Column:
     return ((last != "") & is_country_only(last)) | t.rlike("(?:" + fv.STRONG_POSTAL + r")\z")
 
 
-def _positions(lines: Column, limit: int) -> Column:
-    n = F.least(F.size(lines), F.lit(limit))
+def _positions(lines: Column) -> Column:
+    n = F.size(lines)
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
@@ -192,7 +192,7 @@ def greedy_spans(blocks: Column) -> Column:
             return F.struct(s.alias("span"), cut.alias("cut"), clean_address(_joined(b["ls"], i, s)).alias("text"))
 
         return F.transform(
-            _positions(b["ls"], fv.MAX_CONTAINER_LINES),
+            _positions(b["ls"]),
             lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda s: run(i, s)),
         )
 
@@ -227,21 +227,20 @@ def greedy_spans(blocks: Column) -> Column:
     return F.flatten(each(judged_options, lambda g: F.transform(g, best), chosen))
 
 
-def mined(lines: Column, limit: int) -> Column:
+def mined(lines: Column) -> Column:
     """Pattern matches in every window of four lines."""
 
     def matches(i: Column) -> Column:
         w = _joined(lines, i, F.lit(4))
         return F.concat(extract_all(w, NUMBERED_STREET), extract_all(w, UNIT_LED))
 
-    found = F.array_distinct(F.flatten(F.transform(_positions(lines, limit), matches)))
+    found = F.array_distinct(F.flatten(F.transform(_positions(lines), matches)))
     return F.filter(F.transform(found, clean_address), plausible_address)
 
 
-def walked_back(lines: Column, limit: int) -> Column:
+def walked_back(lines: Column) -> Column:
     """For each line that ends in a country: the address that ends there, up to four lines back."""
-    facts = F.transform(lines, lambda x: _ends_with_country(x))
-    prepared = F.struct(lines.alias("ls"), F.slice(facts, 1, limit).alias("ends"))
+    prepared = F.struct(lines.alias("ls"), F.transform(lines, lambda x: _ends_with_country(x)).alias("ends"))
 
     def with_fragments(p: Column) -> Column:
         near = F.zip_with(p["ls"], p["ends"], lambda x, e: F.when(e, F.lit(False)).otherwise(_is_fragment(x)))
@@ -289,7 +288,7 @@ def address_key(x: Column) -> Column:
 
 
 def finalize_addresses(found: Column) -> Column:
-    """Cleaned, one per key (the longest), none contained in another, sorted, at most sixty.
+    """Cleaned, one per key (the longest), none contained in another, sorted.
 
     Works on the addresses of one page or of one bounded site walk, inside the row.
     """
@@ -309,4 +308,4 @@ def finalize_addresses(found: Column) -> Column:
         )
 
     values = F.transform(let(keyed, longest, whole), lambda e: F.collate(e["v"], "UNICODE"))
-    return F.slice(F.transform(F.array_sort(values), lambda x: F.collate(x, "UTF8_BINARY")), 1, fv.MAX_ADDRESSES)
+    return F.transform(F.array_sort(values), lambda x: F.collate(x, "UTF8_BINARY"))

@@ -22,24 +22,10 @@ WALK_MAX_PAGES = 25
 WALK_MAX_CHILDREN = 12
 FETCH_TRIES = 3
 FINDER_DEFAULT_PAGES = 8
-FINDER_MAX_PAGES = 15
-FINDER_MAX_KEYWORDS = 10
-MAX_KEYWORDS = 25
-PRODUCTS_PER_PAGE = 100
-JOBS_PER_PAGE = 100
-ITEMS_PER_SITE = 200
-MAX_H1, MAX_H2, MAX_H3 = 10, 20, 20
-MAX_ADDRESSES = 60
-MAX_CONTAINERS = 40
-MAX_CONTAINER_LINES = 120
-MAX_CONTAINER_CHARS = 4000
-MAX_PAGE_LINES = 4000
 ADDRESS_MIN, ADDRESS_MAX = 12, 200
-CATEGORY_BODY_CHARS = 12000
 MAX_URLS_EXTRACTOR = 100
 MAX_URLS_FINDER = 10
 MAX_RECIPIENTS = 5000
-MAX_UPLOAD_BYTES = 8 * 1024 * 1024
 ACTIVITY_LOG_ROWS = 200
 RETAINED_CAMPAIGNS = 50
 RETENTION_SECONDS = 3600

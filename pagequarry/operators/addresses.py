@@ -142,17 +142,11 @@ def extract_addresses(pages: DataFrame) -> DataFrame:
         F.filter("boxes", lambda c: c["kind"] == "container"),
         lambda c, i: F.struct(F.length(strip_tags(c["inner"])).alias("n"), i.alias("i"), c["inner"].alias("inner")),
     )
-    smallest = F.slice(F.array_sort(sized), 1, fv.MAX_CONTAINERS)
-    blocks = F.transform(smallest, lambda b: lines_of(text_of_marked(b["inner"])))
-    fits = lambda ls: (F.size(ls) > 0) & (F.length(F.array_join(ls, " ")) <= fv.MAX_CONTAINER_CHARS)
-    p = p.withColumn("blocks", F.filter(blocks, fits)).drop("boxes")
+    blocks = F.transform(F.array_sort(sized), lambda b: lines_of(text_of_marked(b["inner"])))
+    p = p.withColumn("blocks", F.filter(blocks, lambda ls: F.size(ls) > 0)).drop("boxes")
 
     none = F.array().cast("array<string>")
-    per_block = F.flatten(each(
-        F.col("blocks"), lambda ls: F.concat(mined(ls, fv.MAX_CONTAINER_LINES), walked_back(ls, fv.MAX_CONTAINER_LINES))
-    ))
-    page_mined = F.when(has_address_word(F.col("lines")), mined(F.col("lines"), fv.MAX_PAGE_LINES)).otherwise(none)
-    p = p.withColumn("found", F.concat(
-        "declared", greedy_spans(F.col("blocks")), per_block, page_mined, walked_back(F.col("lines"), fv.MAX_PAGE_LINES)
-    ))
+    per_block = F.flatten(each(F.col("blocks"), lambda ls: F.concat(mined(ls), walked_back(ls))))
+    page_mined = F.when(has_address_word(F.col("lines")), mined(F.col("lines"))).otherwise(none)
+    p = p.withColumn("found", F.concat("declared", greedy_spans(F.col("blocks")), per_block, page_mined, walked_back(F.col("lines"))))
     return p.select(*keys, F.posexplode(finalize_addresses(F.col("found"))).alias("ord", "address"))

@@ -30,7 +30,7 @@ def _with_layout(lists: DataFrame) -> DataFrame:
     """Header, body, address column and column names of each list, inside its row."""
     any_mail = lambda r: F.exists(r, is_mailbox)
     first = F.coalesce(F.get("rows", F.lit(0)), F.array().cast("array<string>"))
-    later = F.exists(F.slice("rows", 2, 5), any_mail)
+    later = F.exists(F.slice("rows", F.lit(2), F.size("rows")), any_mail)
     has_header = F.when(F.size("rows") < 2, ~any_mail(first)).otherwise(~any_mail(first) & later)
     d = lists.withColumn("has_header", has_header)
     d = d.withColumn("header", F.when(F.col("has_header"), F.transform(first, trim_ws)).otherwise(F.array().cast("array<string>")))
@@ -38,18 +38,16 @@ def _with_layout(lists: DataFrame) -> DataFrame:
     named = F.transform("header", lambda h, i: F.when(h.rlike(r"(?i)\Ae-?mail(?:\s*address)?\z"), i))
     like = F.transform("header", lambda h, i: F.when(h.rlike("(?i)mail"), i))
     first_of = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), F.lit(0))
-    sample = F.slice("body", 1, 50)
-    width = F.coalesce(F.array_max(F.transform(sample, lambda r: F.size(r))), F.lit(0))
-    d = d.withColumn("by_name", F.coalesce(first_of(named), first_of(like))).withColumn("sample", sample).withColumn("width", width)
+    widest = F.coalesce(F.array_max(F.transform("body", lambda r: F.size(r))), F.lit(0))
+    d = d.withColumn("by_name", F.coalesce(first_of(named), first_of(like))).withColumn("width", widest)
     columns = F.when(F.col("width") > 0, F.sequence(F.lit(0), F.col("width") - 1)).otherwise(F.array().cast("array<int>"))
     hits = F.transform(columns, lambda c: F.struct(
-        F.size(F.filter("sample", lambda r: is_mailbox(F.get(r, c)))).alias("hits"), (-c).alias("neg")))
+        F.size(F.filter("body", lambda r: is_mailbox(F.get(r, c)))).alias("hits"), (-c).alias("neg")))
     d = d.withColumn("best", F.array_max(hits))
     index = F.coalesce("by_name", F.when(F.col("best.hits") > 0, -F.col("best.neg")), F.lit(-1))
     d = d.withColumn("email_index", index)
-    widest = F.coalesce(F.array_max(F.transform("body", lambda r: F.size(r))), F.lit(0))
     generated = F.transform(
-        F.when(widest > 0, F.sequence(F.lit(1), widest)).otherwise(F.array().cast("array<int>")),
+        F.when(F.col("width") > 0, F.sequence(F.lit(1), F.col("width"))).otherwise(F.array().cast("array<int>")),
         lambda i: F.when(i - 1 == F.col("email_index"), "email").otherwise(F.concat(F.lit("column_"), i)),
     )
     return d.select(
@@ -151,17 +149,16 @@ def render_messages(recipients: DataFrame, template: Template) -> DataFrame:
     return r.withColumn("text", html_to_text(F.col("html"))).drop("_lookup")
 
 
-def available_tags(recipients: DataFrame, order: str = "row") -> DataFrame:
-    """Column names that the first two hundred recipients offer, and ``email``."""
-    head = recipients.orderBy(order).limit(200)
-    return head.select(F.explode("fields.k").alias("tag")).select(F.lower("tag").alias("tag")).union(
+def available_tags(recipients: DataFrame) -> DataFrame:
+    """Column names that any recipient offers, and ``email``."""
+    return recipients.select(F.explode("fields.k").alias("tag")).select(F.lower("tag").alias("tag")).union(
         recipients.sparkSession.range(1).select(F.lit("email").alias("tag"))
     ).distinct()
 
 
-def unresolved_tags(template: Template, recipients: DataFrame, order: str = "row") -> DataFrame:
+def unresolved_tags(template: Template, recipients: DataFrame) -> DataFrame:
     """Template tags that no column can fill (a fallback does not exempt a tag)."""
-    known = available_tags(recipients, order).select(F.regexp_replace("tag", r"[\s-]+", "_").alias("name"))
+    known = available_tags(recipients).select(F.regexp_replace("tag", r"[\s-]+", "_").alias("name"))
     wanted = [(i, t, re.sub(r"[\s-]+", "_", t)) for i, t in enumerate(template.tags()) if t not in ("unsubscribe", "unsubscribe_url")]
     tags = recipients.sparkSession.createDataFrame(wanted, "ord int, tag string, name string")
     return tags.join(known, "name", "left_anti").select("ord", "tag")

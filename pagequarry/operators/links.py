@@ -124,7 +124,7 @@ def scored_links(pages: DataFrame, keywords: list[str]) -> DataFrame:
 
 def score_links(pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
     """Same-site links of each page with the contact score and rank."""
-    words = [k.strip().lower() for k in (keywords or []) if k.strip()][: fv.FINDER_MAX_KEYWORDS]
+    words = [k.strip().lower() for k in (keywords or []) if k.strip()]
     p = scored_links(with_domain(pages).select("domain", "page_id", "url", "html"), words)
     p = p.select("domain", "page_id", F.posexplode("scored").alias("rank", "l"))
     return p.select("domain", "page_id", "rank", "l.url", (-F.col("l.neg_score")).alias("score"))

@@ -130,8 +130,11 @@ def link_targets(pages_m: DataFrame) -> DataFrame:
     return pages_m.withColumn("hrefs", F.filter(hrefs, lambda h: (h != "") & ~h.rlike(fv.SKIP_HREF)))
 
 
-def extract_seo(pages: DataFrame) -> DataFrame:
-    """Nineteen on-page facts per page; links are judged against the page's ``domain``."""
+def extract_seo(pages: DataFrame, max_headings: int | None = None) -> DataFrame:
+    """Nineteen on-page facts per page; links are judged against the page's ``domain``.
+
+    ``max_headings`` keeps the first so many headings of each level.
+    """
     p = with_domain(pages).select("domain", "page_id", "url", "html", markup(F.col("html")).alias("m"))
     p = link_targets(p).select(
         "domain", "page_id", "url", "m", "hrefs",
@@ -144,9 +147,10 @@ def extract_seo(pages: DataFrame) -> DataFrame:
     hosts = F.transform(resolve_links(F.col("base"), F.col("hrefs")), lambda s: s["host"])
     p = p.withColumn("hosts", F.filter(hosts, lambda h: h.isNotNull()))
 
-    def headings(name: str, cap: int) -> Column:
+    def headings(name: str) -> Column:
         texts = F.transform(element_texts(F.col("m"), name), lambda x: squeeze(trim_ws(x)))
-        return F.slice(F.filter(texts, lambda x: x != ""), 1, cap)
+        texts = F.filter(texts, lambda x: x != "")
+        return texts if max_headings is None else F.slice(texts, 1, max_headings)
 
     metas = F.col("metas")
     canonical = F.transform(F.filter("link_tags", lambda t: raw_attr(t, "rel") == "canonical"), lambda t: attr(t, "href"))
@@ -160,7 +164,7 @@ def extract_seo(pages: DataFrame) -> DataFrame:
         trim_ws(_first(_meta(metas, "name", "robots"))).alias("robots"),
         F.exists("metas", lambda t: raw_attr(t, "name") == "viewport").alias("viewport"),
         trim_ws(_first(F.transform(start_tags(F.col("m"), "html"), lambda t: raw_attr(t, "lang")))).alias("lang"),
-        headings("h1", fv.MAX_H1).alias("h1"), headings("h2", fv.MAX_H2).alias("h2"), headings("h3", fv.MAX_H3).alias("h3"),
+        headings("h1").alias("h1"), headings("h2").alias("h2"), headings("h3").alias("h3"),
         _tag_map(metas, "property", "og:").alias("og_tags"),
         _tag_map(metas, "name", "twitter:").alias("twitter_tags"),
         F.size("imgs").alias("image_count"),
@@ -243,8 +247,8 @@ def detect_tech(pages: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------ keywords
-def clean_keywords(keywords: list[str], cap: int = fv.MAX_KEYWORDS) -> list[str]:
-    """Trimmed, non-empty, distinct, at most ``cap``."""
+def clean_keywords(keywords: list[str], cap: int | None = None) -> list[str]:
+    """Trimmed, non-empty, distinct; the first ``cap`` where that is given."""
     return list(dict.fromkeys(k.strip() for k in keywords if k.strip()))[:cap]
 
 
@@ -343,7 +347,7 @@ def classify_category(pages: DataFrame) -> DataFrame:
     p = p.select(
         "domain", "page_id", start_tags(m, "meta").alias("metas"), _first(_titles(m)).alias("title"),
         element_texts(m, "h1|h2").alias("heads"), script_bodies(F.col("html")).alias("ld"),
-        F.lower(visible_text_of(F.col("html"))).substr(1, fv.CATEGORY_BODY_CHARS).alias("body"),
+        F.lower(visible_text_of(F.col("html"))).alias("body"),
     )
     table = literal_map(fv.SCHEMA_CATEGORY)
     typed = F.flatten(F.transform("ld", lambda s: extract_all(s, r'"@type"\s*:\s*"([A-Za-z]+)"', 1)))

@@ -18,9 +18,6 @@ from .page_facts import with_domain
 
 __all__ = ["structured_data", "jsonld_nodes", "extract_company", "extract_products", "extract_jobs", "structured_addresses"]
 
-_NESTING = 8  # arrays and @graph lists inside each other
-
-
 def _sub(v: Column, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}" if path.isidentifier() else f"$['{path}']", "variant")
 
@@ -65,12 +62,28 @@ def _expand(xs: Column) -> Column:
     return F.flatten(F.transform(xs, open_one))
 
 
+def _depth(body: Column) -> Column:
+    """How many lists lie inside each other in a JSON text; brackets within strings do not count."""
+    code = F.regexp_replace(F.regexp_replace(body, r"(?s)\\.", ""), r'"[^"]*+"', "")
+
+    def step(s: Column, bracket: Column) -> Column:
+        now = s["now"] + F.when(bracket == "[", 1).when(bracket == "]", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.split(F.regexp_replace(code, r"[^\[\]]+", ""), ""), start, step)["most"]
+
+
 def nodes_array(html: Column) -> Column:
-    """Typed nodes of a page's JSON-LD in document order: array of struct(node, types)."""
-    parsed = F.filter(F.transform(script_bodies(html), lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
-    xs = F.transform(parsed, lambda v: F.struct(v.alias("v"), F.lit(False).alias("done")))
-    for _ in range(_NESTING):
-        xs = _expand(xs)
+    """Typed nodes of a page's JSON-LD in document order: array of struct(node, types).
+
+    A page's lists are opened as many times as they lie inside each other, whatever that depth is.
+    """
+    bodies = script_bodies(html)
+    parsed = F.filter(F.transform(bodies, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
+    pending = F.transform(parsed, lambda v: F.struct(v.alias("v"), F.lit(False).alias("done")))
+    levels = F.sequence(F.lit(0), F.coalesce(F.array_max(F.transform(bodies, _depth)), F.lit(0)))
+    xs = F.aggregate(levels, pending, lambda found, _: _expand(found))
 
     def typed(x: Column) -> Column:
         kinds = F.transform(_members(_sub(x["v"], "@type")), lambda t: F.lower(_string(t)))
@@ -197,8 +210,9 @@ def _addresses_column() -> Column:
     return finalize_addresses(lines)
 
 
-def _items_column(type_name: str, build, cap: int, required: str) -> Column:
-    items = F.transform(F.slice(F.filter("nodes", lambda n: _is(n, type_name)), 1, cap), build(F.col("url")))
+def _items_column(type_name: str, build, required: str, per_page: int | None = None) -> Column:
+    nodes = F.filter("nodes", lambda n: _is(n, type_name))
+    items = F.transform(nodes if per_page is None else F.slice(nodes, 1, per_page), build(F.col("url")))
     return F.filter(items, lambda x: x[required].isNotNull())
 
 
@@ -207,14 +221,14 @@ def extract_company(pages: DataFrame) -> DataFrame:
     return p.select("domain", "page_id", "c.*")
 
 
-def extract_products(pages: DataFrame) -> DataFrame:
-    items = _items_column("Product", _product, fv.PRODUCTS_PER_PAGE, "name")
+def extract_products(pages: DataFrame, per_page: int | None = None) -> DataFrame:
+    items = _items_column("Product", _product, "name", per_page)
     p = _with_nodes(pages).select("domain", "page_id", F.posexplode(items).alias("ord", "i"))
     return p.select("domain", "page_id", "ord", "i.*")
 
 
-def extract_jobs(pages: DataFrame) -> DataFrame:
-    items = _items_column("JobPosting", _job, fv.JOBS_PER_PAGE, "title")
+def extract_jobs(pages: DataFrame, per_page: int | None = None) -> DataFrame:
+    items = _items_column("JobPosting", _job, "title", per_page)
     p = _with_nodes(pages).select("domain", "page_id", F.posexplode(items).alias("ord", "i"))
     return p.select("domain", "page_id", "ord", "i.*")
 
@@ -224,13 +238,13 @@ def structured_addresses(pages: DataFrame) -> DataFrame:
     return p
 
 
-def structured_data(pages: DataFrame) -> DataFrame:
-    """Company, products, jobs and addresses of each page in one pass over its nodes."""
+def structured_data(pages: DataFrame, per_page: int | None = None) -> DataFrame:
+    """Company, products, jobs (all, or the first ``per_page``) and addresses of each page in one pass over its nodes."""
     p = _with_nodes(pages)
     keep = [c for c in p.columns if c != "nodes"]
     return p.select(
         *keep, _company_column().alias("company"),
-        _items_column("Product", _product, fv.PRODUCTS_PER_PAGE, "name").alias("products"),
-        _items_column("JobPosting", _job, fv.JOBS_PER_PAGE, "title").alias("jobs"),
+        _items_column("Product", _product, "name", per_page).alias("products"),
+        _items_column("JobPosting", _job, "title", per_page).alias("jobs"),
         _addresses_column().alias("addresses"),
     )

@@ -101,14 +101,14 @@ def site_records(
     s = structured_data(p)
     structured = s.groupBy("domain").agg(
         F.min_by("company", F.when(F.col("company").isNotNull(), F.col("page_ord"))).alias("company"),
-        F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", "products"))), lambda x: x["products"])), 1, fv.ITEMS_PER_SITE).alias("products"),
-        F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", "jobs"))), lambda x: x["jobs"])), 1, fv.ITEMS_PER_SITE).alias("jobs"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", "products"))), lambda x: x["products"])).alias("products"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", "jobs"))), lambda x: x["jobs"])).alias("jobs"),
     )
-    lines = extract_addresses(p).select("domain", "page_ord", "ord", "address").unionByName(
-        s.select("domain", "page_ord", F.posexplode("addresses").alias("i", "address")).select(
-            "domain", "page_ord", (F.col("i") + fv.MAX_ADDRESSES).alias("ord"), "address")
+    # of a page, the addresses in its text come before those in its structured data
+    lines = extract_addresses(p).select("domain", "page_ord", F.lit(0).alias("source"), "ord", "address").unionByName(
+        s.select("domain", "page_ord", F.lit(1).alias("source"), F.posexplode("addresses").alias("ord", "address"))
     )
-    addresses = lines.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("page_ord", "ord", "address"))).alias("a"))
+    addresses = lines.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("page_ord", "source", "ord", "address"))).alias("a"))
     addresses = addresses.select("domain", finalize_addresses(F.transform("a", lambda x: x["address"])).alias("addresses"))
 
     meta = extract_metadata(p).join(keyed, ["domain", "page_id"]).groupBy("domain").agg(

@@ -30,7 +30,7 @@ def read_pages_of(pages: DataFrame, visits: DataFrame) -> DataFrame:
 
 def found_emails(read: DataFrame, keywords: list[str] | None = None) -> DataFrame:
     """Scored addresses per site from the pages read."""
-    words = [k.strip().lower() for k in (keywords or []) if k.strip()][: fv.FINDER_MAX_KEYWORDS]
+    words = [k.strip().lower() for k in (keywords or []) if k.strip()]
     hits = find_page_emails(read)
     hits = hits.withColumn("on_contact_page", is_contact_page(F.col("url"), words) | (F.col("page_ord") == 0))
     return score_emails(hits.withColumnRenamed("page_ord", "ord"))

@@ -110,8 +110,8 @@ def finder_pages(
     The entry, then the first ``max_pages - 1`` stored HTML pages of one queue: scored links,
     then well-known paths.  A site whose entry is missing gets one row with ``error``.
     """
-    max_pages = max(1, min(max_pages, fv.FINDER_MAX_PAGES))
-    words = [k.strip().lower() for k in (keywords or []) if k.strip()][: fv.FINDER_MAX_KEYWORDS]
+    max_pages = max(1, max_pages)
+    words = [k.strip().lower() for k in (keywords or []) if k.strip()]
     sites = seed_sites(seeds)
     html_flag = _is_html(pages)
     keys = (

@@ -51,14 +51,13 @@ def url_list(lists: DataFrame, finder: bool = False) -> DataFrame:
     return rows.select("list_id", "ord", "x.url", "x.valid", F.array_contains("within", F.col("ord")).alias("taken"))
 
 
-def read_list_files(spark: SparkSession, path: str, limit: int = fv.MAX_UPLOAD_BYTES) -> DataFrame:
+def read_list_files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Recipient list files, one row per file: ``(list_id, text, too_large)``.
 
-    A list is at most ``limit`` bytes (the tool's upload limit), so a file fits one row; larger
-    files come back with ``too_large`` and no text.
+    With ``limit``, files of more bytes come back with ``too_large`` and no text.
     """
     found = spark.read.format("text").option("wholetext", True).load(path)
-    large = F.col("_metadata.file_size") > limit
+    large = F.lit(False) if limit is None else F.col("_metadata.file_size") > limit
     return found.select(
         F.col("_metadata.file_name").alias("list_id"), F.when(~large, F.col("value")).alias("text"), large.alias("too_large")
     )

@@ -42,7 +42,7 @@ def test_render(spark):
     assert r.subject == "Hi <script>alert(1)</script> at Smith & Sons"
     assert r.html == "<p>&lt;script&gt;alert(1)&lt;/script&gt; - </p>x@y.z"
     assert t.tags() == ["name", "company_name", "unsubscribe_url", "missing_tag", "email"]
-    assert [r.tag for r in ca.unresolved_tags(t, df, "email").collect()] == ["missing_tag"]
+    assert [r.tag for r in ca.unresolved_tags(t, df).collect()] == ["missing_tag"]
 
 
 def test_plan(spark):

@@ -352,12 +352,12 @@ def rendered_messages(spark, sf):
 
 @query("SELECT unnest(['email', 'name', 'segment']) AS tag FROM (SELECT count(*) AS n FROM customer) WHERE n > 0")
 def merge_tags(spark, sf):
-    return ca.available_tags(ca.merge_recipients(_parsed(spark, sf)[0]), "email")
+    return ca.available_tags(ca.merge_recipients(_parsed(spark, sf)[0]))
 
 
 @query("SELECT 'missing-tag' AS tag, 3 AS ord FROM (SELECT count(*) AS n FROM customer) WHERE n > 0")
 def unresolved_tags(spark, sf):
-    return ca.unresolved_tags(TEMPLATE, ca.merge_recipients(_parsed(spark, sf)[0]), "email").select("tag", F.col("ord"))
+    return ca.unresolved_tags(TEMPLATE, ca.merge_recipients(_parsed(spark, sf)[0])).select("tag", F.col("ord"))
 
 
 _CAMPAIGN = "c_custkey % 7"

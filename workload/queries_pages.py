@@ -246,7 +246,7 @@ def _category_sql() -> str:
     return st.with_(st.MARKUP_CTE, st.TEXT_CTE) + f"""SELECT domain, page_id, CASE WHEN best.s >= 3 THEN best.l ELSE '—' END AS category FROM (
       SELECT domain, page_id, list_max([{scores}]) AS best FROM (
         SELECT mk.host AS domain, mk.page_id, lower(concat({_TITLE}, ' ', {_DESCRIPTION.replace('trim(', '(', 1)}, '  ', {st.plain("regexp_extract(m, '(?is)<h1(?:[ /][^>]*)?>(.*?)(?:</h1>|$)', 1)")})) AS strong,
-               substr(lower(text), 1, 12000) AS body FROM mk JOIN vis ON mk.page_id = vis.page_id))"""
+               lower(text) AS body FROM mk JOIN vis ON mk.page_id = vis.page_id))"""
 
 
 @query(_category_sql())
