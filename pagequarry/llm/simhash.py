@@ -8,13 +8,16 @@
 3. A shard goes on with a tree of its own down to small blocks, compares a block with itself and its visitors, and returns
    for each set of linked fingerprints the links to the smallest one: as many rows as fingerprints, never all pairs.
 4. Connected components of these links are found by alternating star contractions on written tables.
+5. With ``ratio``, linked fingerprints are candidates only.  The nodes are the distinct sets of shingles; a candidate
+   component's sets meet in groups of bounded size, pairs alike by ``ratio`` or more (Jaccard) stay linked, and components
+   are taken of those links.
 
-``ratio`` (optional) bounds the size of partners (distinct shingles of the smaller over those of the larger): sizes fall
-into classes of one ratio step, and a fingerprint also visits the next class.  The driver holds a bounded sample of
+``ratio`` (optional) is the least likeness of partners, so also of their sizes (distinct shingles of the smaller over those
+of the larger): sizes fall into classes of one ratio step, and a fingerprint also visits the next class.  The driver holds a bounded sample of
 ``sample`` fingerprints to lay out the tree, never more.
 
 Edge cases: null and empty texts (no words) have fingerprint zero and link like any other; equal texts share one
-fingerprint and cost one row after pre-aggregation; rows with a null id get the component of their fingerprint; an empty
+node and cost one row after pre-aggregation; rows with a null id get the component of their fingerprint; an empty
 table gives an empty result.
 """
 
@@ -33,6 +36,8 @@ from ..session import materialize
 
 #: A block is compared with itself and its visitors at once.
 BLOCK = 512
+#: Shingles and nodes of one part of a candidate component (a group that confirms has two parts).
+PART_SHINGLES, PART_NODES = 1_000_000, 4_096
 #: Fingerprints of fewer shingles than this carry too few votes to compare by distance: they must be equal.
 FEW_SHINGLES = 4
 
@@ -69,26 +74,41 @@ def fingerprint(shingles: list[bytes], words64: int = 1) -> np.ndarray:
     return out
 
 
-def _fingerprints(size: int, words64: int, distinct_sizes: bool):
+def shingle_set(shingles: list[bytes]) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles)))
+
+
+def _fingerprints(size: int, words64: int, sets: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hexes, sizes = [], []
+            hexes, sizes, nodes = [], [], []
             for text in batch["__text"]:
                 shingles = shingles_of(text, size)
-                if distinct_sizes:  # likeness is that of sets: a repeated shingle votes once
+                if sets:  # likeness is that of sets: a repeated shingle votes once
                     shingles = list(dict.fromkeys(shingles))
                 hexes.append("".join(f"{int(w):016x}" for w in fingerprint(shingles, words64)))
-                sizes.append(len(shingles) if distinct_sizes else 0)
-            yield pd.DataFrame({"__id": batch["__id"], "fingerprint": hexes, "size": sizes})
+                sizes.append(len(shingles) if sets else 0)
+                nodes.append(xxhash.xxh128_hexdigest(shingle_set(shingles).tobytes()) if sets else hexes[-1])
+            yield pd.DataFrame({"__id": batch["__id"], "__md5": batch["__md5"], "fingerprint": hexes, "size": sizes, "node": nodes})
 
     return run
 
 
-def fingerprints(df: DataFrame, id_col: str, text: str, size: int, words64: int = 1, sizes: bool = False) -> DataFrame:
-    """``__id, fingerprint (hex), size`` (distinct shingles, 0 unless asked for) of every row."""
-    kept = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").cast("binary").alias("__text"))
+def text_md5(text: str):
+    """What stands for a text in the identity of its row; null has its own."""
+    return F.coalesce(F.md5(F.col(f"`{text}`").cast("binary")), F.lit(""))
+
+
+def fingerprints(df: DataFrame, id_col: str, text: str, size: int, words64: int = 1, sets: bool = False) -> DataFrame:
+    """``__id, __md5 (of the text), fingerprint (hex), size (distinct shingles), node`` of every row.
+
+    With ``sets`` a node is the digest of a set of shingles; without, it is the fingerprint, and md5 and size are left out
+    ("" and 0).
+    """
+    kept = df.select(F.col(f"`{id_col}`").alias("__id"), (text_md5(text) if sets else F.lit("")).alias("__md5"), F.col(f"`{text}`").cast("binary").alias("__text"))
     kind = kept.schema["__id"].dataType.simpleString()
-    return kept.mapInPandas(_fingerprints(size, words64, sizes), f"__id {kind}, fingerprint string, size long")
+    return kept.mapInPandas(_fingerprints(size, words64, sets), f"__id {kind}, __md5 string, fingerprint string, size long, node string")
 
 
 def unpack(hexes: pd.Series | list[str], words64: int) -> np.ndarray:
@@ -183,8 +203,8 @@ def _link_block(points, sizes, mine, visitors, radius, ratio, parent):
     step = max(1, (1 << 19) // max(1, len(other)))
     for at in range(0, len(mine), step):
         a = mine[at:at + step]
-        # half of the bits already exclude nearly all pairs: a part of the distance is no more than the whole
-        near = distances(points[a][:, None, :], points[other][None, :, :], -(-points.shape[1] // 2)) <= radius
+        # three quarters of the bits already exclude nearly all pairs: a part of the distance is no more than the whole
+        near = distances(points[a][:, None, :], points[other][None, :, :], -(-3 * points.shape[1] // 4)) <= radius
         if ratio:
             sa, so = sizes[a][:, None], sizes[other][None, :]
             near &= np.minimum(sa, so) >= ratio * np.maximum(sa, so) - 1e-9
@@ -272,34 +292,124 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, words64: int = 8, radius: int = 86, ratio: float | None = 0.8,
-    sample: int = 65_536, shard_points: int = 50_000,
+def candidate_links(
+    prints: DataFrame, words64: int, radius: int, ratio: float | None, sample: int, shard_points: int,
 ) -> DataFrame:
-    """``id_col, fingerprint, component_id`` for every row; a component is named by the smallest id in it.
-
-    The defaults link texts whose five-word shingles are alike by 0.8 or more: at that likeness two 512-bit fingerprints
-    differ in 77 bits on average (8 more or less), at 0.9 in 53, at 0.7 in 98, unrelated ones in 256; partners' sizes are
-    within the ratio.
-    """
-    prints = materialize(fingerprints(df, id_col, text, shingle, words64, ratio is not None), "fingerprints")
-    nodes = materialize(
-        prints.groupBy("fingerprint", "size").agg(F.min("__id").alias("first_id"))
-        .select("fingerprint", "size", F.concat_ws(":", "fingerprint", "size").alias("node"), "first_id"),
-        "nodes",
-    )
+    """Links ``a, b`` between ``prints (fingerprint, size, print)``, distinct ones, whose distance is within the radius: as
+    many as hold the sets of linked prints together."""
     level = F.floor(F.log(F.greatest("size", F.lit(1))) / -math.log(ratio)) if ratio else F.lit(0)
-    largest = nodes.groupBy(level.alias("level")).count().agg(F.max("count")).first()[0] or 0
-    laid = nodes.select("fingerprint").orderBy(F.xxhash64("fingerprint")).limit(sample).collect()  # bounded by the parameter
+    largest = prints.groupBy(level.alias("level")).count().agg(F.max("count")).first()[0] or 0
+    laid = prints.select("fingerprint").orderBy(F.xxhash64("fingerprint")).limit(sample).collect()  # bounded by the parameter
     depth = min(12, max(0, math.ceil(math.log2(max(1, largest) / shard_points))))
     tree = plan_tree(unpack([r[0] for r in laid], words64), depth) if laid else 0
     fields = "".join(f"f{w} long, " for w in range(words64))
-    dealt = nodes.select("fingerprint", "size").mapInPandas(
+    dealt = prints.select("fingerprint", "size").mapInPandas(
         _dealer(tree, words64, radius, ratio), fields + "size long, shard int, level int, home boolean",
     )
-    links = dealt.groupBy("shard", "level").applyInPandas(_linker(words64, radius, ratio), "a string, b string")
-    roots = components(links)
-    named = nodes.join(roots, "node", "left").select("fingerprint", "size", "first_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(least, "root").select("fingerprint", "size", "component_id")
-    return prints.join(classes, ["fingerprint", "size"], "left").select(F.col("__id").alias(id_col), "fingerprint", "component_id")
+    return dealt.groupBy("shard", "level").applyInPandas(_linker(words64, radius, ratio), "a string, b string")
+
+
+def _confirm_sets(sets: list[np.ndarray], points: np.ndarray, part: np.ndarray, radius: int, ratio: float) -> list[tuple[int, int]]:
+    """Pairs of sets alike by ``ratio`` or more, as many as hold the linked ones together.  With two parts only pairs across
+    them are looked at."""
+    sizes, label, links = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+    left = np.nonzero(part == part.min())[0]
+    right = np.arange(len(sets)) if part.min() == part.max() else np.nonzero(part != part.min())[0]
+    for i in left:
+        # what is linked already needs no second link
+        j = right[(label[right] != label[i]) & (np.minimum(sizes[right], sizes[i]) >= ratio * np.maximum(sizes[right], sizes[i]) - 1e-9)]
+        for j in j[distances(points[j], points[i]) <= radius]:
+            if label[j] == label[i]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= ratio * (sizes[i] + sizes[j] - both) - 1e-9:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _confirmer(words64: int, radius: int, ratio: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node", kind="stable")
+        names = group["node"].tolist()
+        found = _confirm_sets([np.frombuffer(x, np.uint64) for x in group["set"]], unpack(group["fingerprint"], words64), group["part"].to_numpy(), radius, ratio)
+        return pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]}, dtype=object)
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch[at:at + 256]
+                yield pd.DataFrame({"node": part["node"], "set": [shingle_set(shingles_of(t, size)).tobytes() for t in part["__text"]]})
+
+    return run
+
+
+def confirmed_links(
+    df: DataFrame, text: str, nodes: DataFrame, links: DataFrame, shingle: int, words64: int, radius: int, ratio: float,
+) -> DataFrame:
+    """Of the candidates, links ``a, b`` between nodes whose sets of shingles are alike by ``ratio`` or more.
+
+    The nodes of a candidate component meet in groups of two parts of bounded size, so that every pair meets; a group returns
+    fewer links than it has nodes.
+    """
+    roots = components(links).withColumnRenamed("node", "print")
+    held = nodes.join(roots, "print", "left").select("node", "fingerprint", "size", "md5", F.coalesce("root", "print").alias("root"))
+    parts = held.groupBy("root").agg(F.greatest(F.ceil(F.sum("size") / PART_SHINGLES), F.ceil(F.count(F.lit(1)) / PART_NODES)).alias("parts"), F.count(F.lit(1)).alias("n"))
+    members = materialize(held.join(parts.where("n > 1").drop("n"), "root"), "candidates")
+    # the sets of candidates alone; one text stands for each node
+    texts = df.select(text_md5(text).alias("md5"), F.col(f"`{text}`").cast("binary").alias("__text"))
+    sets = texts.join(members.select("md5", "node"), "md5").mapInPandas(_sets(shingle), "node string, set binary").dropDuplicates(["node"])
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    paired = members.join(sets, "node").select("root", "node", "fingerprint", "set", part.alias("part"), F.explode(others).alias("other"))
+    paired = paired.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other")
+    return paired.groupBy("root", "low", "high").applyInPandas(_confirmer(words64, radius, ratio), "a string, b string")
+
+
+def _classes(
+    df: DataFrame, id_col: str, text: str, shingle: int, words64: int, radius: int, ratio: float | None, sample: int, shard_points: int,
+) -> tuple[DataFrame, DataFrame]:
+    """The prints of all rows, and ``node, fingerprint, first, root`` of all nodes; ``first`` is the least identity
+    ``(nameless, id, md5, n)`` among a node's rows, and ``n`` rows have it."""
+    prints = materialize(fingerprints(df, id_col, text, shingle, words64, ratio is not None), "fingerprints")
+    rows = prints.groupBy("node", "fingerprint", "size", "__id", "__md5").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("nameless"), F.col("__id").alias("id"), F.col("__md5").alias("md5"), "n"))
+    nodes = materialize(
+        rows.groupBy("node", "fingerprint", "size").agg(first.alias("first")).select("*", "first.md5", F.concat_ws(":", "fingerprint", "size").alias("print")), "nodes",
+    )
+    links = candidate_links(nodes.select("fingerprint", "size").distinct(), words64, radius, ratio, sample, shard_points)
+    key = "print"
+    if ratio:
+        links, key = confirmed_links(df, text, nodes, links, shingle, words64, radius, ratio), "node"
+    roots = components(links).withColumnRenamed("node", "key")
+    return prints, nodes.withColumn("key", F.col(key)).join(roots, "key", "left").select("node", "fingerprint", "first", F.coalesce("root", "key").alias("root"))
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, words64: int = 8, radius: int = 120, ratio: float | None = 0.8,
+    sample: int = 65_536, shard_points: int = 50_000,
+) -> DataFrame:
+    """``id_col, fingerprint, component_id`` for every row; a component is named by the smallest id in it.
+
+    The defaults link texts whose five-word shingles are alike by 0.8 or more: fingerprints within the radius are candidates,
+    the sets of shingles decide.  At that likeness two 512-bit fingerprints differ in 77 bits on average (8 more or less; 96
+    for sets of four and five shingles), unrelated ones in 256.
+    """
+    prints, named = _classes(df, id_col, text, shingle, words64, radius, ratio, sample, shard_points)
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    classes = named.join(least, "root").select("node", F.col("least.id").alias("component_id"))
+    return prints.join(classes, "node", "left").select(F.col("__id").alias(id_col), "fingerprint", "component_id")
+
+
+def representatives(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, words64: int = 8, radius: int = 120, ratio: float = 0.8,
+    sample: int = 65_536, shard_points: int = 50_000,
+) -> DataFrame:
+    """``id, md5, n`` of the least row of every component: by id, nulls last, then by the MD5 of the text; ``n`` rows are
+    equal in both."""
+    _, named = _classes(df, id_col, text, shingle, words64, radius, ratio, sample, shard_points)
+    return named.groupBy("root").agg(F.min("first").alias("least")).select("least.id", "least.md5", "least.n")

@@ -85,3 +85,41 @@ def test_odd_rows(docs_of):
     assert len(empty) == 4 and {r.component_id for r in empty} == {1}
     assert {r.component_id for r in out if r.doc_id in (4, 5)} == {4}
     assert simhash.near_duplicates(docs_of([])).count() == 0
+
+
+def exact_components(rows, size=5, least=0.8):
+    """Component ids by the sets of shingles alone."""
+    sets = [set(simhash.shingles_of((t or "").encode(), size)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= least * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
+
+
+def test_links_are_alike_by_their_sets(docs_of, texts, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = list(texts)
+    for g in range(30):  # chains: each step changes some words, likeness from 0.6 to 0.95
+        words = [f"g{g}w{i}" for i in range(150)]
+        for c in range(8):
+            rows.append((100_000 + g * 10 + c, " ".join(words)))
+            for at in rng.choice(150, 1 + g % 6, replace=False):
+                words[at] = f"c{c}x{at}"
+    rows += [(200_000 + n, " ".join(f"few{i}" for i in range(n))) for n in range(1, 12)]
+    want = exact_components(rows)
+    df = docs_of(rows).cache()
+    for parts in (4_096, 3):
+        monkeypatch.setattr(simhash, "PART_NODES", parts, raising=False)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+        assert got == want
+    df.unpersist()
