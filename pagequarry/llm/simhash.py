@@ -5,8 +5,9 @@
    its vantage point inside, the others outside.  By the triangle inequality a fingerprint outside can only have a partner
    inside if its distance is at most the node's radius plus the link radius: such boundary fingerprints also visit the
    inside shard, so every linked pair meets in the home shard of one of the two.
-3. A shard goes on with a tree of its own down to small blocks, compares a block with itself and its visitors, and returns
-   for each set of linked fingerprints the links to the smallest one: as many rows as fingerprints, never all pairs.
+3. A shard's home points and visitors are dealt into parts of bounded size, whatever the tree prunes; a group of two parts
+   goes on with a tree of its own down to small blocks, compares them, and returns for each set of linked fingerprints the
+   links to the smallest one: as many rows as fingerprints, never all pairs.
 4. Connected components of these links are found by alternating star contractions on written tables.
 5. With ``ratio``, linked fingerprints are candidates only.  The nodes are the distinct sets of shingles; a candidate
    component's sets meet in groups of bounded size, pairs alike by ``ratio`` or more (Jaccard) stay linked, and components
@@ -174,32 +175,70 @@ def _level(sizes: np.ndarray, ratio: float | None) -> np.ndarray:
     return (np.log(np.maximum(sizes, 1)) / -math.log(ratio) if ratio else np.zeros(len(sizes))).astype(np.int32)
 
 
-def _dealer(tree, words64: int, radius: int, ratio: float | None):
+def _routed(batches: Iterator[pd.DataFrame], tree, words64: int, radius: int, ratio: float | None):
+    """``points, sizes, shard, indices, home, level`` of every shard that points of a batch go to."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        points, sizes = unpack(batch["fingerprint"], words64), batch["size"].to_numpy()
+        level = _level(sizes, ratio)
+        for shard, index, home in route(tree, points, radius):
+            yield points, sizes, shard, index, home, level[index]
+        if ratio:  # the next class may have larger partners
+            for shard, index, home in route(tree, points, radius, live=False):
+                yield points, sizes, shard, index, home, level[index] + 1
+
+
+def _counter(tree, words64: int, radius: int, ratio: float | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            points, sizes = unpack(batch["fingerprint"], words64), batch["size"].to_numpy()
-            level, signed = _level(sizes, ratio), points.view(np.int64)
+        for _, _, shard, _, home, level in _routed(batches, tree, words64, radius, ratio):
+            yield pd.DataFrame({"shard": shard, "level": level, "home": home}).value_counts(["shard", "level", "home"]).rename("n").reset_index()
+
+    return run
+
+
+def _part_hash(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    out = sizes.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for w in range(points.shape[1]):
+            out = (out ^ points[:, w]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out >> np.uint64(32)
+
 
-            def rows(shard, index, home, up):
-                return pd.DataFrame({
-                    **{f"f{w}": signed[index, w] for w in range(words64)},
-                    "size": sizes[index], "shard": shard, "level": level[index] + up, "home": home,
-                })
+def _dealer(tree, words64: int, radius: int, ratio: float | None, parts: dict[tuple[int, int], tuple[int, int]]):
+    """Points with ``shard, level, part, other, home``: the home points of a part meet each other and the first part of the
+    visitors where the two numbers are equal, and another part of home points or visitors where they are not."""
 
-            for shard, index, home in route(tree, points, radius):
-                yield rows(shard, index, home, 0)
-            if ratio:  # the next class may have larger partners
-                for shard, index, home in route(tree, points, radius, live=False):
-                    yield rows(shard, index, home, 1)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for points, sizes, shard, index, home, levels in _routed(batches, tree, words64, radius, ratio):
+            signed, hashes = points.view(np.int64), _part_hash(points[index], sizes[index])
+            for level in np.unique(levels).tolist():
+                homes, visits = parts.get((shard, level), (0, 0))
+                own, guest = np.nonzero((levels == level) & home)[0], np.nonzero((levels == level) & ~home)[0]
+
+                def rows(chosen, part, other, is_home):
+                    return pd.DataFrame({
+                        **{f"f{w}": signed[index[chosen], w] for w in range(words64)},
+                        "size": sizes[index[chosen]], "shard": shard, "level": level, "part": part, "other": other, "home": is_home,
+                    })
+
+                p = (hashes[own] % np.uint64(max(1, homes))).astype(np.int64)
+                v = (hashes[guest] % np.uint64(max(1, visits))).astype(np.int64)
+                for q in range(homes):  # nothing lives in a group without home points: nothing to visit
+                    if len(own):
+                        yield rows(own, np.minimum(p, q), np.maximum(p, q), p <= q)
+                    if len(guest):
+                        yield rows(guest, q, np.where(v == 0, q, homes + v), False)
+                for q in range(1, visits if len(own) else 0):
+                    yield rows(own, p, homes + q, True)
 
     return run
 
 
-def _link_block(points, sizes, mine, visitors, radius, ratio, parent):
-    """Join linked indices of ``mine`` with each other and with ``visitors`` in ``parent``."""
-    other = np.concatenate([mine, visitors])
+def _link_block(points, sizes, mine, other, radius, ratio, parent):
+    """Join linked indices of ``mine`` and ``other`` in ``parent``."""
     step = max(1, (1 << 19) // max(1, len(other)))
     for at in range(0, len(mine), step):
         a = mine[at:at + step]
@@ -213,8 +252,10 @@ def _link_block(points, sizes, mine, visitors, radius, ratio, parent):
         linked = d <= radius
         if ratio:
             linked &= (np.minimum(sizes[a[i]], sizes[other[j]]) >= FEW_SHINGLES) | ((d == 0) & (sizes[a[i]] == sizes[other[j]]))
-        for i, j in zip(i[linked].tolist(), j[linked].tolist()):
-            x, y = _root(parent, a[i]), _root(parent, other[j])
+        # a large group of near copies is soon of one root: its other pairs are not gone through one by one
+        x, y = _roots(parent, a[i[linked]]), _roots(parent, other[j[linked]])
+        for pair in np.unique((np.minimum(x, y) * len(parent) + np.maximum(x, y))[x != y]).tolist():
+            x, y = _root(parent, pair // len(parent)), _root(parent, pair % len(parent))
             if x != y:
                 parent[max(x, y)] = min(x, y)
 
@@ -226,33 +267,46 @@ def _root(parent, i):
     return i
 
 
-def link_points(points: np.ndarray, sizes: np.ndarray, home: np.ndarray, radius: int, ratio: float | None = None) -> np.ndarray:
-    """For each point, the smallest index it is linked to, through home points, in this shard."""
-    parent, rng = list(range(len(points))), np.random.default_rng(11)
+def _roots(parent: np.ndarray, index: np.ndarray) -> np.ndarray:
+    found = parent[index]
+    while (parent[found] != found).any():
+        found = parent[found]
+    parent[index] = found
+    return found
+
+
+def link_points(
+    points: np.ndarray, sizes: np.ndarray, home: np.ndarray, radius: int, ratio: float | None = None, within: bool = True,
+) -> np.ndarray:
+    """For each point, the smallest index it is linked to, through home points, in this shard; without ``within`` home points
+    are compared with visitors only."""
+    parent, rng = np.arange(len(points)), np.random.default_rng(11)
 
     def go(mine: np.ndarray, visitors: np.ndarray):
         cut = split_point(points[mine], rng) if len(mine) > BLOCK else None
         if cut is not None:
             dm, dv = distances(points[mine], cut[0]), distances(points[visitors], cut[0])
-            inside = np.concatenate([mine[(dm > cut[1]) & (dm <= cut[1] + radius)], visitors[dv <= cut[1] + radius]])
+            inside = visitors[dv <= cut[1] + radius]
+            if within:
+                inside = np.concatenate([mine[(dm > cut[1]) & (dm <= cut[1] + radius)], inside])
             outside = visitors[dv > cut[1] - radius]
             # a cut that sends nearly all across prunes nothing: then compare directly
             if len(inside) + len(outside) + len(mine) < 1.8 * (len(mine) + len(visitors)):
                 go(mine[dm <= cut[1]], inside)
                 go(mine[dm > cut[1]], outside)
                 return
-        if ratio and len(mine) > BLOCK:  # no pruning by distance: go along the sizes
+        by_size = ratio and len(mine) > BLOCK  # no pruning by distance: go along the sizes
+        if by_size:
             mine = mine[np.argsort(sizes[mine], kind="stable")]
-            for at in range(0, len(mine), BLOCK):
-                a, rest = mine[at:at + BLOCK], mine[at + BLOCK:]
-                low, high = sizes[a[0]] * ratio, sizes[a[-1]] / ratio
-                _link_block(points, sizes, a, np.concatenate([rest[sizes[rest] <= high], visitors[(sizes[visitors] >= low) & (sizes[visitors] <= high)]]), radius, ratio, parent)
-            return
         for at in range(0, len(mine), BLOCK):
-            _link_block(points, sizes, mine[at:at + BLOCK], np.concatenate([mine[at + BLOCK:], visitors]), radius, ratio, parent)
+            a, own = mine[at:at + BLOCK], mine[at if within else len(mine):]
+            other = np.concatenate([own, visitors])
+            if by_size:
+                other = other[(sizes[other] >= sizes[a[0]] * ratio - 1e-9) & (sizes[other] <= sizes[a[-1]] / ratio + 1e-9)]
+            _link_block(points, sizes, a, other, radius, ratio, parent)
 
     go(np.nonzero(home)[0], np.nonzero(~home)[0])
-    return np.array([_root(parent, i) for i in range(len(parent))], dtype=np.int64)
+    return _roots(parent, np.arange(len(points)))
 
 
 def _linker(words64: int, radius: int, ratio: float | None):
@@ -261,7 +315,8 @@ def _linker(words64: int, radius: int, ratio: float | None):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([*names, "size"], kind="stable")
         points, sizes = group[names].to_numpy(np.int64).view(np.uint64), group["size"].to_numpy()
-        roots = link_points(np.ascontiguousarray(points), sizes, group["home"].to_numpy(), radius, ratio)
+        within = bool(group["part"].iloc[0] == group["other"].iloc[0])
+        roots = link_points(np.ascontiguousarray(points), sizes, group["home"].to_numpy(), radius, ratio, within)
         linked = np.nonzero(roots != np.arange(len(roots)))[0]
 
         def node(i):
@@ -292,21 +347,35 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
 
 
-def candidate_links(
-    prints: DataFrame, words64: int, radius: int, ratio: float | None, sample: int, shard_points: int,
-) -> DataFrame:
-    """Links ``a, b`` between ``prints (fingerprint, size, print)``, distinct ones, whose distance is within the radius: as
-    many as hold the sets of linked prints together."""
+def dealt_points(prints: DataFrame, words64: int, radius: int, ratio: float | None, sample: int, shard_points: int) -> DataFrame:
+    """``prints (fingerprint, size)``, distinct ones, as points of groups ``shard, level, part, other``.
+
+    A group has one part of a shard's home points and one part of its visitors or other home points.  Parts are dealt by a
+    hash of distinct points into as many as hold ``shard_points`` each on average, whatever the tree prunes.
+    """
     level = F.floor(F.log(F.greatest("size", F.lit(1))) / -math.log(ratio)) if ratio else F.lit(0)
     largest = prints.groupBy(level.alias("level")).count().agg(F.max("count")).first()[0] or 0
     laid = prints.select("fingerprint").orderBy(F.xxhash64("fingerprint")).limit(sample).collect()  # bounded by the parameter
     depth = min(12, max(0, math.ceil(math.log2(max(1, largest) / shard_points))))
     tree = plan_tree(unpack([r[0] for r in laid], words64), depth) if laid else 0
+    # one row for each shard, level and kind: the driver sees counts alone
+    points = prints.select("fingerprint", "size")
+    counts = points.mapInPandas(_counter(tree, words64, radius, ratio), "shard int, level int, home boolean, n long").groupBy("shard", "level", "home").agg(F.sum("n").alias("n"))
+    parts: dict[tuple[int, int], tuple[int, int]] = {}
+    for r in counts.collect():
+        homes, visits = parts.get((r["shard"], r["level"]), (0, 0))
+        n = -(-r["n"] // shard_points)
+        parts[r["shard"], r["level"]] = (n, visits) if r["home"] else (homes, n)
     fields = "".join(f"f{w} long, " for w in range(words64))
-    dealt = prints.select("fingerprint", "size").mapInPandas(
-        _dealer(tree, words64, radius, ratio), fields + "size long, shard int, level int, home boolean",
+    return points.mapInPandas(
+        _dealer(tree, words64, radius, ratio, parts), fields + "size long, shard int, level int, part int, other int, home boolean",
     )
-    return dealt.groupBy("shard", "level").applyInPandas(_linker(words64, radius, ratio), "a string, b string")
+
+
+def candidate_links(prints: DataFrame, words64: int, radius: int, ratio: float | None, sample: int, shard_points: int) -> DataFrame:
+    """Links ``a, b`` between ``prints`` whose distance is within the radius: as many as hold linked ones of a group together."""
+    dealt = dealt_points(prints, words64, radius, ratio, sample, shard_points)
+    return dealt.groupBy("shard", "level", "part", "other").applyInPandas(_linker(words64, radius, ratio), "a string, b string")
 
 
 def _confirm_sets(sets: list[np.ndarray], points: np.ndarray, part: np.ndarray, radius: int, ratio: float) -> list[tuple[int, int]]:

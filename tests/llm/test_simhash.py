@@ -123,3 +123,27 @@ def test_links_are_alike_by_their_sets(docs_of, texts, monkeypatch):
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
         assert got == want
     df.unpersist()
+
+
+def test_groups_are_bounded(docs_of, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(300):  # of about one size: no class and no cut by distance makes the groups smaller
+        words = [f"g{g}w{i}" for i in range(rng.integers(58, 64))]
+        rows.append((2 * g, " ".join(words)))
+        if g % 3 == 0:
+            rows.append((2 * g + 1, " ".join([*words[:-1], "other"])))
+    make, points = simhash._linker, 40
+
+    def bounded(words64, radius, ratio):
+        link = make(words64, radius, ratio)
+
+        def run(group):
+            assert len(group) <= 2 * points * 1.5, len(group)
+            return link(group)
+
+        return run
+
+    monkeypatch.setattr(simhash, "_linker", bounded)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(rows), shard_points=points).collect()}
+    assert got == exact_components(rows)
