@@ -21,18 +21,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (five-word shingles, likeness 0.8 or more) the document with the smallest id stays.
+    """Of every group of near duplicates (five-word shingles, likeness 0.8 or more) the row with the smallest id stays, rows
+    without id last, and among equal ids the one whose text has the smallest MD5.
 
-    Documents without id are no one's representative by id: of equal texts among them one stays.
+    Rows are told apart by id and text: unrelated texts under one id all stay.  Of rows equal in both, the one with the
+    smallest other columns stays.
     """
-    classes = simhash.near_duplicates(docs)
-    first = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # texts move only for ids that are there more than once
-    repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
-    once = docs.where(F.col("doc_id").isNotNull()).join(repeated, "doc_id", "left_anti")
-    again = docs.where(F.col("doc_id").isNotNull()).join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    named = once.unionByName(again).join(first, "doc_id", "left_semi")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])).select(*COLUMNS)
+    first = materialize(simhash.representatives(docs).withColumnRenamed("id", "__id"), "representatives")
+    marked = docs.withColumn("__md5", simhash.text_md5("text"))
+
+    def rows_of(chosen: DataFrame) -> DataFrame:
+        return marked.join(chosen, marked["doc_id"].eqNullSafe(chosen["__id"]) & (marked["__md5"] == chosen["md5"]), "left_semi")
+
+    once = rows_of(first.where("n = 1"))
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    again = rows_of(first.where("n > 1")).groupBy("doc_id", "__md5").agg(F.first("text").alias("text"), F.min(F.struct(*others)).alias("others"))
+    return once.select(*COLUMNS).unionByName(again.select("doc_id", "text", "others.*").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import corpus_pipeline
@@ -47,3 +48,18 @@ def test_toxic_documents_go(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     toxic, clean = [d for d in labels if labels[d]], [d for d in labels if not labels[d]]
     assert sum(d in kept for d in toxic) / len(toxic) < 0.3 and sum(d in kept for d in clean) / len(clean) > 0.9
+
+
+def test_rows_are_told_apart_by_id_and_text(spark, sf, docs_of):
+    def text(name, changed=None):
+        return " ".join("changed" if i == changed else f"{name}{i}" for i in range(100))
+
+    rows = [
+        (1, text("a")), (1, text("b")), (1, text("c")), (1, text("c")),  # three texts under one id, one of them twice
+        (2, text("a", 50)), (3, text("d")), (None, text("d", 3)), (None, text("d")),  # copies of documents that have an id
+        (None, text("e")), (None, text("e", 9)), (None, text("f")), (4, text("b")),
+    ]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), sf).collect()
+    least = min(text("e"), text("e", 9), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = [(1, text("a")), (1, text("b")), (1, text("c")), (3, text("d")), (None, least), (None, text("f"))]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, want))
