@@ -110,7 +110,7 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """Two sampled segmentations of each text; all of them decode to the text."""
+    """Two sampled segmentations of each text, whole token sequences with their digests; all of them decode to the text."""
     sampled = sentencepieces.sample_encodings(docs.select("doc_id", "text"), sentencepieces.Vocabulary(tokenizer_path()), k=2)
 
     def of_samples(field, name):
@@ -118,7 +118,7 @@ def encoded(docs: DataFrame) -> DataFrame:
 
     return sampled.select(
         "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.size("samples").alias("n_samples"),
-        of_samples(lambda s: F.size(s["ids"]), "n_pieces"), of_samples(lambda s: F.xxhash64(s["ids"]), "ids_hash"),
+        of_samples(lambda s: s["ids"], "ids"), of_samples(lambda s: F.size(s["ids"]), "n_pieces"), of_samples(lambda s: F.xxhash64(s["ids"]), "ids_hash"),
         of_samples(lambda s: s["log_prob"], "log_prob"), of_samples(lambda s: s["inclusion"], "inclusion"),
         F.forall("samples", lambda s: s["exact"]).alias("round_trip"),
     )

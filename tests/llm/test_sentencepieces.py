@@ -88,3 +88,10 @@ def test_odd_rows(spark, docs_of, vocabulary):
     rows = out.withColumn("back", decode(out["samples"][0]["ids"])).collect()
     assert len(rows) == len(ODD) + len(extra) and all(r.back == (r.text or "") for r in rows)
     assert sentencepieces.sample_encodings(docs_of([]), vocabulary).count() == 0
+
+
+def test_query_returns_the_token_ids(spark, sf, texts, vocabulary):
+    raw, text_of = vocabulary.piece_bytes(), dict(texts)
+    for r in queries.op10_sentencepiece(spark, sf).collect():
+        assert [len(ids) for ids in r.ids] == r.n_pieces
+        assert all(sentencepieces.decode_ids(np.array(ids), raw) == (text_of[r.doc_id] or "") for ids in r.ids)
