@@ -195,37 +195,53 @@ class Lattices:
         return range(self.first[node], self.first[node + 1] if node + 1 < self.nodes else self.edges)
 
     def other(self, root: int, taken: list[tuple[int, ...]], uniforms) -> tuple[int, ...]:
-        """A path from ``root`` to the word's end that is none of ``taken``, drawn in proportion to its probability."""
-        node, path, reach = root, (), 1.0
+        """A path from ``root`` to the word's end that is none of ``taken``, drawn in proportion to its probability.
+
+        All probabilities are those of going on from the prefix drawn so far: that of the prefix itself may be too small for
+        a number.
+        """
+        node, path, counts = root, [], None
+        ahead = [np.cumsum(self.logp[list(t)][::-1])[::-1] for t in taken]  # of the rest of a taken path, from each step
+        along = list(range(len(taken)))  # taken paths that share the prefix
         while node >= 0:
+            edges, step = self.edges_of(node), len(path)
+            if len(edges) == 1:
+                path.append(edges[0])
+                node = int(self.next[edges[0]])
+                continue
             options = []
-            for edge in self.edges_of(node):
-                p = reach * math.exp(self.logp[edge])
-                through = [t for t in taken if t[: len(path) + 1] == (*path, edge)]
-                rest = p - sum(math.exp(sum(self.logp[list(t)])) for t in through)
-                if through and rest < 1e-9 * p:  # all gone, or rounding: count
-                    rest = max(rest, 1e-12 * p) if len(through) < self._paths(self.next[edge], len(through) + 1) else 0.0
-                options.append((edge, p, rest))
-            point = uniforms() * sum(o[2] for o in options)
-            for edge, p, rest in options:
+            for edge in edges:
+                rest = p = math.exp(self.logp[edge])
+                through = [t for t in along if taken[t][step] == edge]
+                if through:
+                    rest -= sum(math.exp(ahead[t][step]) for t in through)
+                    if rest < 1e-9 * p:  # all gone, or rounding: count
+                        if counts is None:
+                            counts = self._paths(node, len(taken) + 1)
+                        after = counts[int(self.next[edge])] if self.next[edge] >= 0 else 1
+                        rest = max(rest, 1e-12 * p) if len(through) < after else 0.0
+                options.append((edge, rest))
+            point = uniforms() * sum(o[1] for o in options)
+            for edge, rest in options:
                 point -= rest
                 if rest and point <= 0:
                     break
             else:
-                edge, p, rest = next(o for o in reversed(options) if o[2])
-            path, reach, node = (*path, edge), p, self.next[edge]
-        return path
-
-    def _paths(self, node: int, most: int) -> int:
-        """The number of paths from a node to the word's end, counted up to ``most``."""
-        if node < 0:
-            return 1
-        count = 0
-        for edge in self.edges_of(node):
-            count += self._paths(self.next[edge], most - count)
-            if count >= most:
-                break
-        return count
+                edge = next(e for e, rest in reversed(options) if rest)
+            along = [t for t in along if taken[t][step] == edge]
+            path.append(edge)
+            node = int(self.next[edge])
+        return tuple(path)
+
+    def _paths(self, node: int, most: int) -> dict[int, int]:
+        """The numbers of paths, counted up to ``most``, from a node and all places after it to the word's end."""
+        last = node
+        while (self.next[list(self.edges_of(last))] >= 0).any():  # every place has an edge to the next one
+            last += 1
+        counts: dict[int, int] = {}
+        for at in range(last, node - 1, -1):
+            counts[at] = min(most, sum(counts[n] if n >= 0 else 1 for n in self.next[list(self.edges_of(at))].tolist()))
+        return counts
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -90,6 +90,18 @@ def test_odd_rows(spark, docs_of, vocabulary):
     assert sentencepieces.sample_encodings(docs_of([]), vocabulary).count() == 0
 
 
+def test_long_words_without_spaces(vocabulary):
+    lat, raw = sentencepieces.Lattices(vocabulary), vocabulary.piece_bytes()
+    letters = "".join(np.random.default_rng(6).choice(list("abcdefghijklmnopqrstuvwxyz"), 20_000))
+    texts = [letters, "thequickbrownfoxjumpsoverthelazydogandthen" * 480, "的一是日本語" * 3_000 + "the", "😀" * 5_000 + "the"]
+    for n, (text, samples) in enumerate(zip(texts, sentencepieces.sample_batch(lat, texts, np.arange(4, dtype=np.uint64), 3))):
+        assert len({tuple(s[0].tolist()) for s in samples}) == 3
+        assert all(sentencepieces.decode_ids(s[0], raw) == text for s in samples)
+        if n < 2:  # a segmentation of thousands of pieces is about as probable as any other that is drawn
+            logs = [s[1] for s in samples]
+            assert max(logs) - min(logs) < -0.1 * np.mean(logs)
+
+
 def test_query_returns_the_token_ids(spark, sf, texts, vocabulary):
     raw, text_of = vocabulary.piece_bytes(), dict(texts)
     for r in queries.op10_sentencepiece(spark, sf).collect():
