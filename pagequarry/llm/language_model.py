@@ -35,6 +35,8 @@ from .elias_fano import Trie, dequantise
 
 #: The end token and the start mark: white space is in no word.
 END, START = b"\n", b" "
+#: Between the contexts and the words of a blob: white space too, and not the end token.
+BETWEEN = b"\r"
 #: Bytes of text in a batch.
 BATCH_BYTES = 4_000_000
 _ROWS = "batch binary, shard int, words binary, counts binary"
@@ -165,7 +167,7 @@ def _ask_pairs(shards: int, hot: dict[bytes, int]):
                 # the start mark cannot be joined by spaces: it is an empty name
                 heads = b" ".join(b"" if i == len(b.words) else names[i] for i in c)
                 tails = b" ".join(names[i] for i in word[index])
-                out.append((b.key, shard, _packed(heads + b"\0" + tails), _packed(np.concatenate([[len(c)], sizes, counts[index]]).astype(np.int32).tobytes())))
+                out.append((b.key, shard, _packed(heads + BETWEEN + tails), _packed(np.concatenate([[len(c)], sizes, counts[index]]).astype(np.int32).tobytes())))
             yield pd.DataFrame(out, columns=["batch", "shard", "words", "counts"])
 
     return run
@@ -179,7 +181,7 @@ def _answer_pairs(mu: float, hot: dict[bytes, int], start_count: int):
         asked, pieces = [], []
         for words, counts in zip(group["words"], group["counts"]):
             counts = np.frombuffer(zstandard.decompress(counts), np.int32).astype(np.int64)
-            heads, _, tails = zstandard.decompress(words).partition(b"\0")
+            heads, _, tails = zstandard.decompress(words).partition(BETWEEN)
             sizes, counts = counts[1:1 + counts[0]], counts[1 + counts[0]:]
             head = np.array([numbers.setdefault(w or START, len(numbers)) for w in _split(heads)], np.int64)
             tail = np.array([numbers.setdefault(w, len(numbers)) for w in _split(tails)], np.int64)

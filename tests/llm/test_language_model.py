@@ -73,3 +73,12 @@ def test_trie_lookup(tmp_path):
     assert np.allclose([x for x in dequantise(p) if np.isfinite(x)], [want[tuple(a)] for a in ask.tolist() if tuple(a) in want], atol=2e-4)
     assert all((x > 0) == (c in set(ids.tolist())) for x, c in zip(b, ask[:, 0].tolist()))
     assert quantise(np.array([-20.0, 0.0])).tolist() == [1, 65_535]
+
+
+def test_nul_is_a_letter(docs_of):
+    rows = [(i, f"a\0b c{i % 3} \0 x{i % 2} \0\0 a\0b y z\0 end\0") for i in range(40)] + [(50 + i, "\0 end") for i in range(5)]
+    df = docs_of(rows).repartition(2, "doc_id").cache()
+    for kw in ({"mu": 5.0}, {"mu": 5.0, "hot_share": 1 / 5, "rows_per_shard": 4}):
+        out = lm.score_documents(df, **kw).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        same([tuple(r) for r in out.collect()], brute(rows, 5.0))
+    df.unpersist()
