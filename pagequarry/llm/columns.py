@@ -18,6 +18,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def crc_of(id_col: Column) -> Column:
+    """The CRC-32 of an id as text (a null id counts as the empty text)."""
+    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
+
+
 def fold_of(id_col: Column, folds: int) -> Column:
-    """The CRC-32 of an id as text, modulo ``folds`` (a null id counts as the empty text)."""
-    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
+    """The CRC-32 of an id as text, modulo ``folds``."""
+    return crc_of(id_col) % folds

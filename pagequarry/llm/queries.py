@@ -1,4 +1,4 @@
-"""The registered queries ``op1_`` to ``op10_`` and their SQL."""
+"""The registered queries ``op1_`` to ``op13_`` and their SQL."""
 
 from __future__ import annotations
 
@@ -7,8 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_model, order_minhash, pii, quality, sampling, sentencepieces, sharding, simhash, toxicity
-from .columns import fold_of
+from ..session import shared_folder
+from . import (
+    decontaminate, html_text, language_model, order_minhash, periodic_runs, pii, quality, sampling, sentencepieces, sharding, simhash, spelling_variants,
+    token_files, toxicity,
+)
+from .columns import crc_of, fold_of, let
 
 SHARDS = 40
 #: Labelled rows per class that a classifier is fitted on (label 0, label 1).
@@ -29,6 +33,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def bpe_path() -> str:
+    """The byte-level BPE file, from the installed public tokenizers unless the environment names another."""
+    if path := os.environ.get("PAGEQUARRY_BPE_FILE"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -128,11 +141,64 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in texts whose id hash ends in 0, all words from some place on repeat the first of them."""
+    h = crc_of(F.col("doc_id"))
+    g = F.floor(h / 10).cast("long")
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def planted(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        return F.when(n > 0, F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " "))
+
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, planted)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+
+    def more(a, b):  # exact: a longer share of periods, then the smaller start, then the smaller period
+        mine, other = b["length"] * a["period"], a["length"] * b["period"]
+        return (mine > other) | ((mine == other) & (F.struct(b["start"], b["period"]) < F.struct(a["start"], a["period"])))
+
+    best = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)), lambda a, b: F.when(more(a, b), b).otherwise(a))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), listed.alias("listed"), "collapsed").select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def spelled_words(docs: DataFrame, least_letters: int = 6, least_rows: int = 5) -> DataFrame:
+    """``word, n`` of the frequent words of the texts, with misspellings planted by the hash of id and word."""
+    runs = docs.select("doc_id", F.explode(spelling_variants.letter_runs(F.col("text"), least_letters)).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    hashed = runs.select("run", h.alias("h"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = hashed.select(F.when(F.col("h") % 199 == 0, shorter).otherwise(F.col("run")).alias("word")).where(F.length("word") >= least_letters)
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = spelling_variants.group_variants(spelled_words(table(spark, sf_dir, "documents")))
+    return grouped.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "tokens")
+    token_files.write_token_files(docs, folder, bpe_path(), end_id=2)
+    read = token_files.read_documents(spark, folder, docs.schema["doc_id"].dataType)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bounded_ring, op2_simhash, op3_toxicity, op4_quality, op5_language_model, op6_html_text, op7_decontaminate, op8_order_minhash, op9_pseudonyms,
-        op10_sentencepiece,
+        op10_sentencepiece, op11_periodic_runs, op12_spelling_variants, op13_token_files,
     )
 }
 ORACLES: dict[str, str] = {}
