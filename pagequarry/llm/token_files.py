@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,16 +32,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Texts are encoded in parts of about so many bytes.
+PART_BYTES = 4 << 20
 MANIFEST = "part int, n_docs long, n_tokens long, n_sequences long"
-#: A space between two characters that no reading of white space takes for white space: byte-level BPE always cuts before it.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space by any reading of the word (a space next to it may belong to its piece).
+_WHITE = r"\x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000} "
+_JOINED_SPACE = f"[{_WHITE}] | [{_WHITE}]"
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class CachedTokenizer:
     """Token ids of texts by the ``tokenizers`` library, with the ids of short space-led pieces kept.
 
     The pre-tokenizer of byte-level BPE ends a piece before a space that stands between two visible characters, and merges
-    never cross pieces, so the ids of a text are those of its parts between such spaces, one after another.
+    never cross pieces, so the ids of a text are those of its parts between such spaces, one after another.  For the same
+    reason all unknown pieces of some texts can be encoded as one text: as a token of byte-level BPE says how many bytes it
+    stands for, its ids fall apart into those of the pieces.  Kept pieces are in two generations of at most ``cached``: when
+    the young one is full, it takes the place of the old one.
     """
 
     def __init__(self, path: str, end_id: int, cached: int = 300_000, longest: int = 48):
@@ -48,29 +56,97 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(max(vocabulary.values()), end_id) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.bytes_of = np.zeros(size, np.int64)
+        for token, number in vocabulary.items():
+            self.bytes_of[number] = len(token)  # byte-level tokens are written with one character for each byte
+        self.end_id = end_id
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cached, self.longest = cached, longest
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text and the end id, as little-endian numbers of ``dtype``."""
-        first, *rest = _CUT.split(text)
-        pieces = [first, *(" " + r for r in rest)]
-        known = self.known
-        if len(known) > self.cached:
-            known.clear()
-        if new := [p for p in dict.fromkeys(pieces) if p not in known]:
-            fresh = dict(zip(new, self._ids(new)))
-            known.update((p, ids) for p, ids in fresh.items() if len(p) <= self.longest)
-            ids = [known[p] if p in known else fresh[p] for p in pieces]
-        else:
-            ids = [known[p] for p in pieces]
-        return b"".join(ids) + self.end
+    def _packed(self, ids) -> bytes:
+        return np.asarray(ids, np.int64).astype(self.dtype).tobytes()
+
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that all begin with a space before a visible character and end with one."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        stops = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.dtype.itemsize).tolist()
+        packed = self._packed(ids)
+        return [packed[a:b] for a, b in zip([0, *stops], stops)]
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, each on its own."""
+        young, old = self.young, self.old
+        found = [young.get(p) or old.get(p) for p in pieces]
+        new = [p for p, ids in zip(pieces, found) if ids is None and p]
+        inner = [p for p in new if p[0] == " " and not p[1:2].isspace() and not p[-1].isspace()]
+        inner_set = set(inner)
+        edges = [p for p in new if p not in inner_set]
+        fresh = dict(zip(edges, self._alone(edges)))
+        if inner:
+            fresh.update(zip(inner, self._together(inner)))
+        out = [fresh.get(p, b"") if ids is None else ids for p, ids in zip(pieces, found)]
+        young.update((p, ids) for p, ids in zip(pieces, out) if len(p) <= self.longest)
+        if len(young) > self.cached:
+            self.young, self.old = {}, young
+        return out
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, one after another, and their counts."""
+        odd = np.asarray(pc.match_substring_regex(texts, _JOINED_SPACE))
+        plain = texts.filter(pa.array(~odd))
+        split = pc.split_pattern(plain, " ")
+        cuts = np.asarray(split.offsets, dtype=np.int64) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words, numbers = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
+        firsts = cuts[:-1]  # a text's first word has no space before it
+        lead = pc.take(coded.dictionary, pa.array(numbers[firsts])).dictionary_encode()
+        numbers[firsts] = len(words) + np.asarray(lead.indices, dtype=np.int64)
+        leading = lead.dictionary.to_pylist()
+        odd_pieces = [_CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        known = dict.fromkeys(p for ps in odd_pieces for p in ps)
+        # the end of a text is a piece of its own
+        packed = [*self.pieces([f" {w}" for w in words]), *self.pieces(leading), self._packed([self.end_id])]
+        known = dict(zip(known, range(len(packed), len(packed) + len(known))))
+        packed += self.pieces(list(known))
+        sizes = np.diff(cuts)
+        pieces_in = np.zeros(len(texts), np.int64)
+        pieces_in[~odd] = sizes
+        pieces_in[odd] = [len(ps) for ps in odd_pieces]
+        starts = np.cumsum(pieces_in + 1) - pieces_in - 1
+        order = np.full(int(pieces_in.sum()) + len(texts), len(words) + len(leading), np.int64)
+        for rows, values, counts in (
+            (~odd, numbers, sizes), (odd, np.array([known[p] for ps in odd_pieces for p in ps], np.int64), pieces_in[odd]),
+        ):
+            order[_ragged(starts[rows], counts)] = values
+        widths = np.array([len(p) for p in packed], np.int64) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(packed), self.dtype)
+        ids = flat[_ragged((np.cumsum(widths) - widths)[order], widths[order])]
+        totals = np.concatenate([[0], np.cumsum(widths[order])])
+        return ids, totals[starts + pieces_in + 1] - totals[starts]
+
+
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``starts[i], starts[i] + 1, ...`` of ``counts[i]`` numbers each, one after another."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
+
+
+_ENCODERS: dict[tuple[str, int], CachedTokenizer] = {}
+
+
+def _encoder(path: str, end_id: int) -> CachedTokenizer:
+    """One tokenizer for all tasks of a Python worker, so that its known pieces serve the next task too."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = CachedTokenizer(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -179,19 +255,23 @@ def write_token_files(
         system, path = _open(folder)
         final = f"{path}/part-{task.partitionId():06d}"
         mine = f"{final}.{task.taskAttemptId()}"
-        encoder = CachedTokenizer(tokenizer, end_id)
+        encoder = _encoder(tokenizer, end_id)
         listed = pa.schema([("id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         docs_seen = start = 0
         with system.open_output_stream(f"{mine}.arrow") as ids_out, system.open_output_stream(f"{mine}.docs.arrow") as docs_out:
             sequences, index = SequenceWriter(ids_out, encoder.dtype, length, per_batch), pa.ipc.new_file(docs_out, listed)
             while first is not None:
-                counts = []
-                for value in first.column(1):
-                    ids = encoder.encode(value.as_py())
-                    sequences.add(ids)
-                    counts.append(len(ids) // encoder.dtype.itemsize)
-                ends = start + np.cumsum(counts, dtype=np.int64)
-                index.write_batch(pa.record_batch([first.column(0).cast(id_type), pa.array(ends - counts), pa.array(counts, pa.int64())], schema=listed))
+                counts, texts, at = [], first.column(1), 0
+                filled = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+                while at < len(texts):
+                    stop = max(at + 1, int(np.searchsorted(filled, (filled[at - 1] if at else 0) + PART_BYTES)))
+                    ids, n = encoder.encode(texts[at:stop])
+                    sequences.add(ids.tobytes())
+                    counts.append(n)
+                    at = stop
+                counts = np.concatenate(counts)
+                ends = start + np.cumsum(counts)
+                index.write_batch(pa.record_batch([first.column(0).cast(id_type), pa.array(ends - counts), pa.array(counts)], schema=listed))
                 docs_seen, start = docs_seen + len(counts), int(ends[-1])
                 first = next((b for b in batches if b.num_rows), None)
             sequences.close()

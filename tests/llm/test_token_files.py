@@ -2,6 +2,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,27 +32,34 @@ def test_query_against_whole_texts(spark, sf, texts, tokenizer):
     assert sorted(tuple(r) for r in queries.op13_token_files(spark, sf).collect()) == want
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.text(st.sampled_from("ab'’ 1.\t\n\x0b\x1c\x1f\x85\xa0 　é日́<|>"), max_size=40))
-def test_pieces_give_the_ids_of_the_text(text):
-    encoder = _encoder()
-    assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == plain(encoder.tokenizer, text)
+def encoded(encoder, texts):
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    assert ids.dtype == encoder.dtype
+    return [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] if texts else ids.tolist()
 
 
-_ENCODERS = []
+@pytest.fixture(scope="module")
+def encoder():
+    return token_files.CachedTokenizer(queries.bpe_path(), 2, cached=50)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'’ 1.\t\n\x0b\x1c\x1f\x85\xa0\u2003\u3000é日\u0301<|>"), max_size=40), max_size=5))
+def test_pieces_give_the_ids_of_the_text(encoder, tokenizer, texts):
+    assert encoded(encoder, texts) == [plain(tokenizer, t) for t in texts]
 
 
-def _encoder():
-    if not _ENCODERS:
-        _ENCODERS.append(token_files.CachedTokenizer(queries.bpe_path(), 2, cached=50))
-    return _ENCODERS[0]
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.text(st.sampled_from("abc.1'"), min_size=1, max_size=4), max_size=20).map(" ".join), max_size=9))
+def test_texts_of_plain_words(encoder, tokenizer, texts):
+    assert encoded(encoder, texts) == [plain(tokenizer, t) for t in texts]
 
 
 def test_special_strings_and_long_pieces(tokenizer):
     encoder = token_files.CachedTokenizer(queries.bpe_path(), 2)
-    for text in ("a <|endoftext|> b", "we'll  see   it's \n\n x", "z" * 5000 + " y " + "日本" * 900, "it 's ' t"):
+    for text in ("a <|endoftext|> b", "we'll  see   it's \n\n x", "z" * 5000 + " y " + "日本" * 900, "it 's ' t", " lead and trail ", " ", ""):
         for _ in range(2):  # once computed, once looked up
-            assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == plain(tokenizer, text)
+            assert encoded(encoder, [text, "x", text]) == [plain(tokenizer, t) for t in (text, "x", text)]
 
 
 def write(spark, docs, **options):
