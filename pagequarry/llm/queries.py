@@ -133,6 +133,7 @@ def encoded(docs: DataFrame) -> DataFrame:
         "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.size("samples").alias("n_samples"),
         of_samples(lambda s: s["ids"], "ids"), of_samples(lambda s: F.size(s["ids"]), "n_pieces"), of_samples(lambda s: F.xxhash64(s["ids"]), "ids_hash"),
         of_samples(lambda s: s["log_prob"], "log_prob"), of_samples(lambda s: s["inclusion"], "inclusion"),
+        of_samples(lambda s: s["log_inclusion"], "log_inclusion"),
         F.forall("samples", lambda s: s["exact"]).alias("round_trip"),
     )
 

@@ -12,7 +12,8 @@ word, whose best perturbed score is one Gumbel value below the path's (located a
 it need not be split until it is wanted).  The best of what was left aside opens the next path: one of the word's other
 segmentations is drawn, and the words after it are drawn anew.  Paths come out in falling perturbed score, distinct: a
 sample without replacement.  With the next score left as threshold, a path's inclusion score is
-``1 - exp(-exp(log_prob - threshold))``.
+``1 - exp(-exp(log_prob - threshold))``.  That of a long text is too small for a number, so its logarithm is returned as well.
+A word's other segmentations are taken for none if their joint probability is below 1e-12.
 
 All words of a batch of texts take their steps together in numpy.  Random numbers depend on the row's key and the place
 in its text only, so a row's samples are the same in any batch, task or attempt.
@@ -40,12 +41,12 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Places that a task's cache of word lattices may hold, and characters that are stepped together.
-CACHE_NODES = 1_200_000
+CACHE_NODES = 2_000_000
 BATCH_CHARS = 400_000
 #: A word with the spaces before it, spaces before a line end or tab, or one of these.
 _CHUNKS = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 
-SAMPLES = "array<struct<ids: array<int>, log_prob: double, inclusion: double, exact: boolean>>"
+SAMPLES = "array<struct<ids: array<int>, log_prob: double, inclusion: double, log_inclusion: double, exact: boolean>>"
 
 
 class Vocabulary:
@@ -54,6 +55,7 @@ class Vocabulary:
     def __init__(self, model_path: str, theta: float = 1.0):
         import sentencepiece
 
+        self.key = model_path, theta
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         size = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(size)]
@@ -85,6 +87,7 @@ def chunks_of(text: str) -> list[str]:
     marked = text.replace(" ", "\1 ").replace("\n", "\1\n\1").replace("\t", "\1\t\1")
     return [c for c in marked.split("\1") if c]
 
+
 class Lattices:
     """Lattices of words in flat arrays: a node is a place in a word, its edges are the pieces that start there."""
 
@@ -297,17 +300,17 @@ class _Paths:
         self.edge, self.start, self.length = np.zeros(0, np.int64), np.zeros(words, np.int64), np.zeros(words, np.int64)
 
 
-def sample_batch(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
-    """``k`` samples ``(ids, log_prob, inclusion)`` of each text."""
+def sample_batch(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """``k`` samples ``(ids, log_prob, inclusion, log_inclusion)`` of each text."""
     chunks = [chunks_of(t) for t in texts]
     if lat.nodes > CACHE_NODES:
         lat.clear()
     flat = [w for c in chunks for w in c]
-    known = lat.roots.get
-    root = np.array([known(w, -1) for w in flat], np.int64)
-    if len(unknown := np.nonzero(root < 0)[0]):
-        lat.add(sorted({flat[i] for i in unknown}))
-        root[unknown] = [lat.roots[flat[i]] for i in unknown]
+    coded = pa.array(flat, pa.large_string()).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    if unknown := [w for w in words if w not in lat.roots]:
+        lat.add(sorted(unknown))
+    root = np.fromiter(map(lat.roots.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
     sizes = np.array([len(c) for c in chunks])
     docs, begin = len(texts), np.cumsum(sizes) - sizes
     doc_of = np.repeat(np.arange(docs), sizes)
@@ -392,7 +395,7 @@ def sample_batch(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) ->
         path.left[after] = _left_aside(np.repeat(threshold, sizes)[after], path.log_prob[after], prefixes(path)[after], _mix(salt ^ np.uint64(0x5851F42D4C957F2D)))
         paths.append(path)
         exists.append(alive)
-    out: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
+    out: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in texts]
     for path, alive in zip(paths, exists):
         length = path.length * np.repeat(alive, sizes)
         edges = path.edge[np.arange(length.sum()) + np.repeat(path.start - (np.cumsum(length) - length), length)]
@@ -401,11 +404,18 @@ def sample_batch(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) ->
         total = np.add.reduceat(path.log_prob, begin)
         for d, ids in enumerate(np.split(token, cuts[:-1])):
             if alive[d]:
-                inclusion = 1.0 if threshold[d] == -np.inf else -math.expm1(-math.exp(min(700.0, total[d] - threshold[d])))
-                out[d].append((_ids(ids, lat.spelled), float(total[d]), inclusion))
+                log_inclusion = _log_inclusion(float(total[d] - threshold[d]))
+                out[d].append((_ids(ids, lat.spelled), float(total[d]), math.exp(log_inclusion), log_inclusion))
     return out
 
 
+def _log_inclusion(above: float) -> float:
+    """``log(1 - exp(-exp(above)))``: the log-probability that a path so far above the threshold is among the samples."""
+    if above < -30:
+        return above
+    return math.log(-math.expm1(-math.exp(above))) if above < 700 else 0.0
+
+
 def _ids(tokens: np.ndarray, spelled: list[list[int]]) -> np.ndarray:
     if not len(tokens) or tokens.min() >= 0:
         return tokens
@@ -423,7 +433,7 @@ def sample_encodings(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id",
     number = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices, raw = Lattices(vocabulary), vocabulary.piece_bytes()
+        lattices, pieces = _worker_lattices(vocabulary)
         for rows in batches:
             seeds = np.asarray(rows.column(len(kept))).view(np.uint64)
             sizes = np.asarray(pc.fill_null(pc.utf8_length(rows.column(number)), 0)).astype(np.int64)
@@ -434,9 +444,14 @@ def sample_encodings(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id",
                 texts = [t or "" for t in part.column(number).to_pylist()]
                 got = sample_batch(lattices, texts, seeds[at:stop], k)
                 flat = [s for samples in got for s in samples]
-                exact = [decode_ids(s[0], raw) == t for t, samples in zip(texts, got) for s in samples]
-                ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(s[0]) for s in flat)]).astype(np.int32), np.concatenate([s[0] for s in flat]))
-                struct = pa.StructArray.from_arrays([ids, pa.array([s[1] for s in flat], pa.float64()), pa.array([s[2] for s in flat], pa.float64()), pa.array(exact)], ["ids", "log_prob", "inclusion", "exact"])
+                ids, ends = np.concatenate([s[0] for s in flat]), np.cumsum([len(s[0]) for s in flat])
+                wanted = [w for t, samples in zip(texts, got) for w in [b" " + t.encode("utf-8", "surrogatepass")] * len(samples)]
+                exact = [a == b for a, b in zip(pieces.spelled(ids, ends), wanted)]
+                lists_of_ids = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), ids)
+                struct = pa.StructArray.from_arrays(
+                    [lists_of_ids, *(pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)), pa.array(exact)],
+                    ["ids", "log_prob", "inclusion", "log_inclusion", "exact"],
+                )
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, got)]).astype(np.int32), struct)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), lists], [*kept, output])
                 at = stop
@@ -444,6 +459,33 @@ def sample_encodings(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id",
     return fed.mapInArrow(run, schema)
 
 
+class PieceBytes:
+    """What ids stand for, as one array of bytes."""
+
+    def __init__(self, raw: list[bytes]):
+        self.size = np.array([len(r) for r in raw])
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+
+    def spelled(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of encodings that lie one after another and end before ``ends``, prefix space included."""
+        sizes = self.size[ids]
+        stops = np.cumsum(sizes)
+        joined = self.bytes[np.arange(int(sizes.sum())) + np.repeat(self.start[ids] - (stops - sizes), sizes)].tobytes()
+        cuts = np.append(0, stops)[ends].tolist()
+        return [joined[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
+_LATTICES: dict[tuple[str, float], tuple[Lattices, PieceBytes]] = {}
+
+
+def _worker_lattices(vocabulary: Vocabulary) -> tuple[Lattices, PieceBytes]:
+    """The lattices of a Python worker, kept for its next task."""
+    if vocabulary.key not in _LATTICES:
+        _LATTICES[vocabulary.key] = Lattices(vocabulary), PieceBytes(vocabulary.piece_bytes())
+    return _LATTICES[vocabulary.key]
+
+
 def decode_ids(ids: np.ndarray, raw: list[bytes]) -> str:
     """The text of an encoding; ``raw`` are the bytes of the pieces.  The prefix space goes."""
     text = b"".join(map(raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")

@@ -76,24 +76,27 @@ class CachedTokenizer:
     def _together(self, pieces: list[str]) -> list[bytes]:
         """The ids of pieces that all begin with a space before a visible character and end with one."""
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.cumsum([len(p.encode()) for p in pieces])
+        ends = np.cumsum(np.asarray(pc.binary_length(pa.array(pieces, pa.string()))), dtype=np.int64)
         stops = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.dtype.itemsize).tolist()
         packed = self._packed(ids)
         return [packed[a:b] for a, b in zip([0, *stops], stops)]
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces, each on its own."""
-        young, old = self.young, self.old
-        found = [young.get(p) or old.get(p) for p in pieces]
-        new = [p for p, ids in zip(pieces, found) if ids is None and p]
-        inner = [p for p in new if p[0] == " " and not p[1:2].isspace() and not p[-1].isspace()]
-        inner_set = set(inner)
-        edges = [p for p in new if p not in inner_set]
-        fresh = dict(zip(edges, self._alone(edges)))
+        young = self.young
+        out = list(map(young.get, pieces))
+        missing = [(i, pieces[i]) for i, ids in enumerate(out) if ids is None]
+        aged = [(p, ids) for _, p in missing if (ids := self.old.get(p)) is not None]
+        fresh = dict(aged)
+        new = [p for _, p in missing if p not in fresh]
+        inner = [p for p in new if p[:1] == " " and not p[1:2].isspace() and not p[-1].isspace()]
         if inner:
             fresh.update(zip(inner, self._together(inner)))
-        out = [fresh.get(p, b"") if ids is None else ids for p, ids in zip(pieces, found)]
-        young.update((p, ids) for p, ids in zip(pieces, out) if len(p) <= self.longest)
+        edges = [p for p in new if p not in fresh]
+        fresh.update(zip(edges, self._alone(edges)))
+        for i, p in missing:
+            out[i] = fresh[p]
+        young.update((p, ids) for p, ids in fresh.items() if len(p) <= self.longest)
         if len(young) > self.cached:
             self.young, self.old = {}, young
         return out

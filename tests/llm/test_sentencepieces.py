@@ -107,3 +107,19 @@ def test_query_returns_the_token_ids(spark, sf, texts, vocabulary):
     for r in queries.op10_sentencepiece(spark, sf).collect():
         assert [len(ids) for ids in r.ids] == r.n_pieces
         assert all(sentencepieces.decode_ids(np.array(ids), raw) == (text_of[r.doc_id] or "") for ids in r.ids)
+
+
+def test_inclusion_of_long_texts_keeps_its_logarithm(vocabulary):
+    lat = sentencepieces.Lattices(vocabulary)
+    text = " ".join(f"{w}ing{i}" for i in range(4000) for w in ("walk",))
+    (samples,) = sentencepieces.sample_batch(lat, [text], np.array([5], np.uint64), 2)
+    assert all(np.isfinite(s[3]) and s[3] < -100 and s[2] == math.exp(s[3]) for s in samples)
+    (short,) = sentencepieces.sample_batch(lat, ["the cat"], np.array([5], np.uint64), 2)
+    assert all(abs(math.log(s[2]) - s[3]) < 1e-9 for s in short)
+
+
+def test_bytes_of_pieces_side_by_side(vocabulary):
+    raw = vocabulary.piece_bytes()
+    pieces = sentencepieces.PieceBytes(raw)
+    ids = [np.array(x, np.int64) for x in ([5, 300, 17_000], [], [31_999, 40, 3, 900])]
+    assert pieces.spelled(np.concatenate(ids), np.cumsum([len(i) for i in ids])) == [b"".join(raw[j] for j in i) for i in ids]
