@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.urls import normalize_url, page_key, site_key, url_struct
 from ..operators.links import priority_first, scored_links, site_links_array
+from ..session import materialize
 
-__all__ = ["keyed_pages", "walk_sites", "finder_pages", "seed_sites"]
-
-_VISIT = "array<struct<url:string,depth:int,page_id:bigint,outcome:string>>"
+__all__ = ["page_keys", "walk_sites", "finder_pages", "seed_sites"]
 
 
 def _is_html(pages: DataFrame) -> Column:
@@ -20,19 +19,18 @@ def _is_html(pages: DataFrame) -> Column:
     return F.lit(True)
 
 
-def keyed_pages(pages: DataFrame) -> DataFrame:
-    """One row per fetchable key: page id, html flag, links.  No markup leaves the scan.
+def page_keys(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """``key, page_id, is_html``: what a fetch of ``key`` finds, for pages on the host of a site or a sub-domain of it.
 
-    Grouped by key, so the later joins on the key find the table already partitioned.
+    No markup is read.  A page's host and its parent domains are joined with the sites by equality, so Spark broadcasts few
+    sites and filters by a run-time Bloom filter where they are many; what is left is grouped on plain numbers.
     """
-    p = pages.select("page_id", "html", _is_html(pages).alias("is_html"), F.col("url"), url_struct(F.col("url")).alias("base"))
-    p = p.select(
-        page_key(F.col("url")).alias("key"),
-        F.struct(
-            "page_id", "is_html", F.when(F.col("is_html"), site_links_array(F.col("html"), F.col("base"))).alias("links")
-        ).alias("page"),
-    )
-    return p.groupBy("key").agg(F.min_by("page", "page.page_id").alias("page"))
+    host = url_struct(normalize_url(F.col("url")))["host"]
+    p = pages.select("page_id", page_key(F.col("url")).alias("key"), _is_html(pages).alias("is_html"), F.split(host, r"\.").alias("labels"))
+    parents = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
+    p = p.filter(F.size("labels") > 0).select("page_id", "key", "is_html", F.explode(parents).alias("domain"))
+    kept = p.join(sites.select("domain"), "domain", "left_semi")
+    return kept.groupBy("key").agg(F.min_by("is_html", "page_id").alias("is_html"), F.min("page_id").alias("page_id"))
 
 
 def seed_sites(seeds: DataFrame) -> DataFrame:
@@ -46,6 +44,26 @@ def _site_root(url: Column) -> Column:
     return F.concat(s["scheme"], F.lit("://"), s["host"])
 
 
+def _looked_up(frontier: DataFrame, keys: DataFrame) -> DataFrame:
+    """Frontier rows with what is stored under their url."""
+    found = frontier.withColumn("key", F.regexp_replace("url", r"(?s)#.*\z", "")).join(keys, "key", "left").drop("key")
+    outcome = F.when(F.col("page_id").isNull(), "missing").when(F.col("is_html"), "page").otherwise("not_html")
+    return found.withColumn("outcome", outcome).drop("is_html")
+
+
+def _children(visits: DataFrame, pages: DataFrame, max_children: int) -> DataFrame:
+    """``domain, url, at``: same-site links of the visited pages, ordered by page and place; markup is read for these pages only.
+
+    Links leave the row of their page one by one, as short strings with a number.
+    """
+    read = visits.filter(F.col("outcome") == "page").select("domain", "ord", "page_id")
+    p = pages.select("page_id", "html", F.col("url").alias("base")).join(read, "page_id")
+    p = p.select("domain", "ord", "html", url_struct(F.col("base")).alias("base"))
+    links = F.slice(priority_first(site_links_array(F.col("html"), F.col("base")), F.col("domain")), 1, max_children)
+    p = p.select("domain", "ord", links.alias("links")).select("domain", "ord", F.posexplode("links").alias("i", "url"))
+    return p.select("domain", "url", (F.col("ord") * F.lit(max_children) + F.col("i")).cast("long").alias("at"))
+
+
 def walk_sites(
     pages: DataFrame,
     seeds: DataFrame,
@@ -56,50 +74,34 @@ def walk_sites(
     """Breadth-first visits per site: ``domain, url, depth, ord, page_id, outcome``.
 
     The entry comes first, then the well-known paths and the entry's links, then links of links.
-    Every attempted url uses budget, found or not.  A site's state is a row of at most
-    ``max_pages`` visits, so a level is one join of the short frontiers with the page keys and
-    one small aggregate per site: no site, however large, puts more than its budget on a task.
+    Every attempted url uses budget, found or not.
+
+    Visits are rows.  A level finds the distinct candidate urls with their smallest place (a partial aggregate of numbers),
+    leaves out those visited before, and gives the first ones up to the site's budget their numbers: at most
+    ``max_pages * max_children`` short rows of a site meet in a task, however large the site.  Page keys and levels are
+    written once, so every plan stays as short as one level.
     """
-    table = keyed_pages(pages)
-    sites = seed_sites(seeds)
-    paths = F.transform(F.array(*[F.lit(p) for p in fv.PRIORITY_PATHS]), lambda p: F.concat(F.col("root"), p))
-    state = sites.withColumn("root", _site_root(F.col("url"))).select(
-        "domain", F.array().cast(_VISIT).alias("visited"), F.array("url").alias("frontier"), paths.alias("queued")
-    )
+    sites = materialize(seed_sites(seeds), "sites")
+    keys = materialize(page_keys(pages, sites), "page-keys")
+    frontier = sites.select("domain", "url", F.lit(0).alias("ord"))
+    visits = None
     for depth in range(max_depth + 1):
-        tried = state.select("domain", "visited", "queued", F.posexplode_outer("frontier").alias("pos", "url"))
-        tried = tried.withColumn("key", F.regexp_replace("url", r"(?s)#.*\z", ""))
-        found = tried.join(table, "key", "left")
-        outcome = (
-            F.when(F.col("url").isNull(), F.lit(None).cast("string"))
-            .when(F.col("page").isNull(), "missing").when(F.col("page.is_html"), "page").otherwise("not_html")
-        )
-        children = F.slice(priority_first(F.col("page.links"), F.col("domain")), 1, max_children)
-        rows = found.select(
-            "domain", "visited", "queued",
-            F.struct(
-                "pos", F.struct("url", F.lit(depth).alias("depth"), F.col("page.page_id").alias("page_id"), outcome.alias("outcome")).alias("visit"),
-                F.coalesce(children, F.array().cast("array<string>")).alias("children"),
-            ).alias("t"),
-        )
-        level = rows.groupBy("domain").agg(
-            F.first("visited").alias("visited"), F.first("queued").alias("queued"),
-            F.array_sort(F.collect_list(F.when(F.col("t.pos").isNotNull(), F.col("t")))).alias("ts"),
-        )
-        level = level.select(
-            "domain",
-            F.concat("visited", F.transform("ts", lambda t: t["visit"])).cast(_VISIT).alias("visited"),
-            F.concat("queued", F.flatten(F.transform("ts", lambda t: t["children"]))).alias("next"),
-        )
-        seen = F.transform("visited", lambda v: v["url"])
-        fresh = F.filter(F.array_distinct("next"), lambda u: ~F.array_contains(F.col("seen"), u))
-        state = level.withColumn("seen", seen).select(
-            "domain", "visited",
-            F.slice(fresh, F.lit(1), F.greatest(F.lit(max_pages) - F.size("visited"), F.lit(0))).alias("frontier"),
-            F.array().cast("array<string>").alias("queued"),
-        )
-    visits = state.select("domain", F.posexplode("visited").alias("ord", "v"))
-    return visits.select("domain", "v.url", "v.depth", "ord", "v.page_id", "v.outcome")
+        level = _looked_up(frontier.select("domain", "url", "ord"), keys).select("domain", "url", F.lit(depth).alias("depth"), "ord", "page_id", "outcome")
+        level = materialize(level, "walk-level")
+        visits = level if visits is None else visits.unionByName(level)
+        if depth == max_depth:
+            break
+        found = _children(level, pages, max_children)
+        if depth == 0:
+            paths = F.array(*[F.lit(p) for p in fv.PRIORITY_PATHS])
+            known = sites.select("domain", _site_root(F.col("url")).alias("root")).select("domain", "root", F.posexplode(paths).alias("i", "path"))
+            # well-known paths come before all links
+            found = found.unionByName(known.select("domain", F.concat("root", "path").alias("url"), (F.col("i") - len(fv.PRIORITY_PATHS)).cast("long").alias("at")))
+        fresh = found.groupBy("domain", "url").agg(F.min("at").alias("at")).join(visits.select("domain", "url"), ["domain", "url"], "left_anti")
+        used = visits.groupBy("domain").agg(F.count(F.lit(1)).cast("int").alias("used"))
+        numbered = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy("at")))
+        frontier = numbered.join(used, "domain").withColumn("ord", F.col("used") + F.col("rank") - 1).filter(F.col("ord") < max_pages)
+    return visits
 
 
 def finder_pages(
@@ -112,21 +114,16 @@ def finder_pages(
     """
     max_pages = max(1, max_pages)
     words = [k.strip().lower() for k in (keywords or []) if k.strip()]
-    sites = seed_sites(seeds)
-    html_flag = _is_html(pages)
-    keys = (
-        pages.select(page_key(F.col("url")).alias("key"), F.struct("page_id", html_flag.alias("is_html")).alias("page"))
-        .groupBy("key").agg(F.min_by("page", "page.page_id").alias("page"))
-    )
-    entries = sites.withColumn("key", F.regexp_replace("url", r"(?s)#.*\z", "")).join(keys, "key", "left")
-    entries = entries.select("domain", "url", "page")
+    sites = materialize(seed_sites(seeds), "sites")
+    keys = materialize(page_keys(pages, sites), "page-keys")
+    entries = sites.withColumn("key", F.regexp_replace("url", r"(?s)#.*\z", "")).join(keys, "key", "left").drop("key")
     error = (
-        F.when(F.col("page").isNull(), F.concat(
+        F.when(F.col("page_id").isNull(), F.concat(
             F.lit("Could not reach "), F.col("domain"),
             F.lit(". The site may be down, blocking automated requests, or the URL may be wrong.")))
-        .when(~F.col("page.is_html"), F.concat(F.col("domain"), F.lit(" did not return an HTML page.")))
+        .when(~F.col("is_html"), F.concat(F.col("domain"), F.lit(" did not return an HTML page.")))
     )
-    first = entries.select("domain", "url", F.lit(0).alias("ord"), F.col("page.page_id").alias("page_id"), error.alias("error"))
+    first = entries.select("domain", "url", F.lit(0).alias("ord"), "page_id", error.alias("error"))
 
     # only entry pages bring their markup; one row per site
     good = first.filter(F.col("error").isNull()).select("domain", F.col("url").alias("entry"), "page_id")
@@ -138,12 +135,8 @@ def finder_pages(
         F.array_distinct(F.concat(F.transform("scored", lambda s: s["url"]), paths)).alias("queue"),
     )
     queue = queue.select("domain", F.posexplode(F.array_remove("queue", F.col("url"))).alias("pos", "key"))
-    stored = queue.join(keys.filter(F.col("page.is_html")), "key").select("domain", F.col("key").alias("url"), "pos", "page.page_id")
-    # the queue of a site is the link list of one page; keep its first stored pages
-    picked = stored.groupBy("domain").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("pos", "url", "page_id"))), 1, max_pages - 1).alias("rows")
-    )
-    rest = picked.select("domain", F.posexplode("rows").alias("i", "r")).select(
-        "domain", "r.url", (F.col("i") + 1).alias("ord"), "r.page_id", F.lit(None).cast("string").alias("error")
-    )
+    stored = queue.join(keys.filter("is_html"), "key").select("domain", F.col("key").alias("url"), "pos", "page_id")
+    # the queue of a site is the link list of one page; its first stored pages are read
+    place = F.row_number().over(Window.partitionBy("domain").orderBy("pos"))
+    rest = stored.select("domain", "url", place.alias("ord"), "page_id", F.lit(None).cast("string").alias("error")).filter(F.col("ord") < max_pages)
     return first.unionByName(rest)

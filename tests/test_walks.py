@@ -60,3 +60,28 @@ def test_finder_picks(spark):
     assert (a.phone, a.contact_form_url) == ("555-223-1000", "https://a.org/contact-page")
     assert "12 Main Street, Springfield, IL 62704" in a.address and "Vacancy" not in a.address
     assert rec["gone.org"].status == "fail" and "Could not reach gone.org" in rec["gone.org"].error
+
+
+def test_keys_hold_the_sites_only_and_read_no_markup(spark, tmp_path):
+    pages = {"https://a.org/": "", "https://a.org/x?q=1#top": "", "https://blog.a.org/y": "", "https://aa.org/z": "", "https://b.org/": "", "not a url": ""}
+    site(spark, pages).write.parquet(str(tmp_path / "pages"))
+    stored = spark.read.parquet(str(tmp_path / "pages"))
+    keys = walk.page_keys(stored, walk.seed_sites(seeds(spark, "a.org", "nowhere.org")))
+    assert sorted(r.key for r in keys.collect()) == ["https://a.org", "https://a.org/x?q=1", "https://blog.a.org/y"]
+    plan = keys._jdf.queryExecution().toString()
+    assert "html" not in plan.split("ReadSchema")[1] and "SortAggregate" not in plan
+
+
+def test_smallest_page_id_decides_between_pages_of_one_key(spark):
+    rows = [(9, "https://a.org/", "text/html"), (3, "https://A.org", "application/pdf"), (4, "https://a.org/#x", "text/html")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, content_type string")
+    (key,) = walk.page_keys(pages, walk.seed_sites(seeds(spark, "a.org"))).collect()
+    assert (key.key, key.page_id, key.is_html) == ("https://a.org", 3, False)
+
+
+def test_one_page_under_two_sites(spark):
+    """A page of a sub-domain belongs to the walk of its own site and to that of the parent's."""
+    pages = {"https://a.org/": links("https://sub.a.org/p"), "https://sub.a.org/": links("/p"), "https://sub.a.org/p": ""}
+    v = walk.walk_sites(site(spark, pages), seeds(spark, "a.org", "sub.a.org")).filter("outcome = 'page'").collect()
+    assert {(r.domain, r.url) for r in v} == {
+        ("a.org", "https://a.org"), ("a.org", "https://sub.a.org/p"), ("sub.a.org", "https://sub.a.org"), ("sub.a.org", "https://sub.a.org/p")}

@@ -8,6 +8,7 @@ from pagequarry.functions import fixed_values as fv
 from pagequarry.functions.html import html_to_text
 from pagequarry.operators import addresses, emails, links, page_facts, phones, structured
 from pagequarry.plans import walk
+from pagequarry.session import materialize
 from pagequarry.sources.readers import html_pages
 
 from . import sqltext as st
@@ -365,19 +366,47 @@ def declared_phones_per_site(spark, sf):
     return phones.dedupe_phones(phones.extract_phones(pages_site(spark, sf)).filter("trusted"))
 
 
-@query()
+@query(st.with_(st.TEXT_CTE, st.PHONE_CTE) + "SELECT domain, page_id, ord, display, digits, trusted FROM phone_rows")
 def page_phones(spark, sf):
-    return phones.extract_phones(pages_site(spark, sf)).select("domain", "page_id", "ord", "display", "digits", "trusted")
+    return phones.extract_phones(pages_site(spark, sf)).select("domain", "page_id", big("ord"), "display", "digits", "trusted")
 
 
-@query()
+@query(st.with_(st.TEXT_CTE, st.PHONE_CTE, st.deduped_phones("kept", "phone_rows", "domain", "page_id, ord")) + "SELECT * FROM kept")
 def site_phones(spark, sf):
     return phones.dedupe_phones(phones.extract_phones(pages_site(spark, sf)))
 
 
-@query()
+@query(f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS ord, display, regexp_replace(display, '[^0-9]', '', 'g') AS digits, false AS trusted FROM (
+   SELECT doc_id, unnest(xs) AS display, generate_subscripts(xs, 1) AS n FROM (SELECT doc_id, {st.scanned_phones('text')} AS xs FROM documents)) WHERE regexp_full_match(display, '{st.NUMBER}')""")
 def document_phones(spark, sf):
-    return phones.text_phones(table(spark, sf, "documents").select("doc_id", "text"))
+    return phones.text_phones(table(spark, sf, "documents").select("doc_id", "text")).withColumn("ord", F.col("ord").cast("bigint"))
+
+
+_TAIL = "concat(CAST(200 + c_custkey % 700 AS STRING), '-', CAST(100 + c_custkey * 37 % 800 AS STRING), '-', CAST(1000 + c_custkey * 7 % 9000 AS STRING))"
+_FULL = f"concat('+', CAST(10 + c_nationkey AS STRING), ' ', replace({_TAIL}, '-', ' '))"
+#: A customer's number in full, without its country, with a trunk zero, twice, or only as its tail: (form, declared, which customers).
+_FORMS = [
+    (_FULL, "false", "c_custkey % 4 <> 0"), (_TAIL, "true", "c_custkey % 4 IN (0, 1)"), (f"concat('0', {_TAIL})", "false", "c_custkey % 4 = 2"),
+    (f"replace({_FULL}, ' ', '.')", "true", "c_custkey % 4 = 3"),
+]
+_MENTIONS = " UNION ALL ".join(
+    f"SELECT CAST(c_nationkey % 5 AS STRING) AS domain, c_custkey AS page_id, {i} AS ord, {form} AS display, {declared} AS trusted FROM customer WHERE {which}"
+    for i, (form, declared, which) in enumerate(_FORMS)
+)
+
+
+@query(f"WITH mentions AS (SELECT *, regexp_replace(display, '[^0-9]', '', 'g') AS digits FROM ({_MENTIONS})), "
+       + st.deduped_phones("kept", "mentions", "domain", "page_id, ord") + " SELECT * FROM kept")
+def customer_phones(spark, sf):
+    """De-duplication of many numbers with tails and ties: customers' numbers in several forms, five scopes."""
+    customers, mentions = table(spark, sf, "customer"), None
+    for i, (form, declared, which) in enumerate(_FORMS):
+        part = customers.where(which).select(
+            (F.col("c_nationkey") % 5).cast("string").alias("domain"), F.col("c_custkey").alias("page_id"), F.lit(i).alias("ord"),
+            F.expr(form).alias("display"), F.expr(declared).alias("trusted"),
+        )
+        mentions = part if mentions is None else mentions.unionByName(part)
+    return phones.dedupe_phones(mentions.withColumn("digits", F.regexp_replace("display", "[^0-9]", "")))
 
 
 @query(st.with_() + rf"""SELECT host AS domain, page_id, {st.normalized(st.plain(r"regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)"))} AS lines FROM pages_rich WHERE html LIKE '%<footer>%'
@@ -439,9 +468,14 @@ def structured_addresses(spark, sf):
 
 
 # ------------------------------------------------------------------------------ walks
+def _stored(spark, sf):
+    """The site pages as a stored table, which walks read column by column."""
+    return materialize(pages_site(spark, sf), "pages")
+
+
 @query(st.with_(st.MARKUP_CTE, st.LINKS_CTE, st.WALK_CTE) + "SELECT domain, url, depth, ord, page_id, outcome FROM visits")
 def site_visits(spark, sf):
-    v = walk.walk_sites(pages_site(spark, sf), sites(spark, sf))
+    v = walk.walk_sites(_stored(spark, sf), sites(spark, sf))
     return v.select("domain", "url", "depth", F.col("ord").cast("bigint").alias("ord"), "page_id", "outcome")
 
 
@@ -449,19 +483,19 @@ def site_visits(spark, sf):
 def walk_errors(spark, sf):
     from pagequarry.plans.extractor import run_errors
 
-    return run_errors(walk.walk_sites(pages_site(spark, sf), sites(spark, sf))).withColumn("ord", F.col("ord").cast("bigint"))
+    return run_errors(walk.walk_sites(_stored(spark, sf), sites(spark, sf))).withColumn("ord", F.col("ord").cast("bigint"))
 
 
 @query(st.with_(st.MARKUP_CTE, st.LINKS_CTE, st.WALK_CTE) + "SELECT domain, ord, concat('✓ [', CAST(depth AS VARCHAR), '] ', url) AS log FROM visits WHERE outcome = 'page'")
 def walk_logs(spark, sf):
     from pagequarry.plans.extractor import run_logs
 
-    return run_logs(walk.walk_sites(pages_site(spark, sf), sites(spark, sf))).withColumn("ord", F.col("ord").cast("bigint"))
+    return run_logs(walk.walk_sites(_stored(spark, sf), sites(spark, sf))).withColumn("ord", F.col("ord").cast("bigint"))
 
 
 @query(st.with_(st.SCORED_CTE, st.FINDER_CTE) + "SELECT domain, url, ord, page_id FROM finder")
 def finder_visits(spark, sf):
-    v = walk.finder_pages(pages_site(spark, sf), sites(spark, sf))
+    v = walk.finder_pages(_stored(spark, sf), sites(spark, sf))
     return v.select("domain", "url", F.col("ord").cast("bigint").alias("ord"), "page_id")
 
 

