@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from . import (
     decontaminate, html_text, language_model, order_minhash, periodic_runs, pii, quality, sampling, sentencepieces, sharding, simhash, spelling_variants,
-    token_files, toxicity,
+    sqltext, token_files, toxicity,
 )
 from .columns import crc_of, fold_of, let
 
@@ -202,4 +202,4 @@ QUERIES = {
         op10_sentencepiece, op11_periodic_runs, op12_spelling_variants, op13_token_files,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_periodic_runs": sqltext.PERIODIC_RUNS, "op12_spelling_variants": sqltext.SPELLING_VARIANTS}
