@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -14,7 +15,7 @@ from ..operators.emails import extract_emails
 from ..operators.page_facts import extract_social
 from ..operators.phones import extract_phones
 
-__all__ = ["stream_extract", "stream_contacts_distinct", "stream_campaign_status", "stream_retention", "run_available"]
+__all__ = ["stream_extract", "stream_contacts_distinct", "register_contacts", "read_contacts", "stream_campaign_status", "stream_retention", "run_available"]
 
 
 def stream_extract(pages: DataFrame) -> DataFrame:
@@ -37,6 +38,42 @@ def stream_contacts_distinct(facts: DataFrame, at: str = "at", delay: str = "1 h
     return facts.withWatermark(at, delay).dropDuplicatesWithinWatermark(["domain", "type", "value"])
 
 
+CONTACT_KEY = ["domain", "type", "value"]
+_REGISTER = "domain string, type string, value string, source bigint, batch bigint, bucket int"
+
+
+def register_contacts(facts: DataFrame, folder: str, checkpoint: str, buckets: int = 64) -> None:
+    """Add the contacts of a stream of facts that ``folder`` does not have yet, each (domain, type, value) once for ever.
+
+    Every micro-batch is one keyed merge: its distinct contacts, without those written before, become a folder of their own,
+    dealt by a hash of the key.  The join also goes by that hash, so only files of hashes that the batch has are read.  A
+    repeated batch overwrites its own folder and does not look at it, so it writes the same rows again.  Nothing is kept in
+    memory between batches and no contact comes back after a delay.  Streams with checkpoints of their own may share a
+    register, one after the other.  Contacts with null parts are compared like others.
+    """
+    spark = facts.sparkSession
+    source = zlib.crc32(checkpoint.encode())
+    bucket = F.pmod(F.xxhash64(*CONTACT_KEY), F.lit(buckets)).cast("int")
+    spark.createDataFrame([], "domain string, type string, value string").write.mode("overwrite").parquet(f"{folder}/source=0/batch=-1/bucket=0")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        new = batch.select(*CONTACT_KEY).distinct().withColumn("bucket", bucket).alias("new")
+        before = (F.col("source") != source) | (F.col("batch") < number)
+        known = batch.sparkSession.read.schema(_REGISTER).option("basePath", folder).parquet(folder).where(before).alias("known")
+        same = F.col("new.bucket") == F.col("known.bucket")
+        for c in CONTACT_KEY:
+            same &= F.col(f"new.{c}").eqNullSafe(F.col(f"known.{c}"))
+        fresh = new.join(known, same, "left_anti").repartition("bucket")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/source={source}/batch={number}")
+
+    facts.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+
+
+def read_contacts(spark: SparkSession, folder: str) -> DataFrame:
+    """All registered contacts: ``domain, type, value, batch``."""
+    return spark.read.schema(_REGISTER).option("basePath", folder).parquet(folder).drop("source", "bucket")
+
+
 def stream_campaign_status(deliveries: DataFrame) -> DataFrame:
     """Running counts and percentages per campaign (update or complete mode; one row of state each)."""
     return with_percentages(deliveries.groupBy("campaign_id").agg(*summary_columns()))

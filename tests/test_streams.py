@@ -31,6 +31,33 @@ def test_contacts_once_across_batches(spark, sf):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_registered_contacts_never_come_again(spark, tmp_path):
+    src, out, checkpoint = str(tmp_path / "facts"), str(tmp_path / "register"), str(tmp_path / "checkpoint")
+    days = [
+        [("a.org", "email", "x@a.org"), ("a.org", "email", "x@a.org"), ("b.org", "email", "x@a.org"), ("a.org", None, "y")],
+        [("a.org", "email", "x@a.org"), ("a.org", None, "y"), ("a.org", "phone", "x@a.org")],
+        [("b.org", "email", "x@a.org")],
+    ]
+    for day in days:  # one run a day, each with a micro-batch of its own
+        spark.createDataFrame(day, "domain string, type string, value string").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("domain string, type string, value string").parquet(src)
+        streams.register_contacts(stream, out, checkpoint, buckets=4)
+    got = sorted((r.domain, str(r.type), r.value, r.batch) for r in streams.read_contacts(spark, out).collect())
+    assert got == [("a.org", "None", "y", 0), ("a.org", "email", "x@a.org", 0), ("a.org", "phone", "x@a.org", 1), ("b.org", "email", "x@a.org", 0)]
+
+
+def test_streams_that_share_a_register(spark, tmp_path):
+    """A second stream, with a checkpoint of its own, adds what the first did not have."""
+    schema, out = "domain string, type string, value string", str(tmp_path / "register")
+    for run, numbers in enumerate((range(50), range(30, 80))):
+        src = str(tmp_path / f"facts-{run}")
+        spark.createDataFrame([("a.org", "email", f"{i}@a.org") for i in numbers], schema).write.parquet(src)
+        for _ in range(2):  # the repeated run finds nothing new
+            streams.register_contacts(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / f"checkpoint-{run}"))
+    got = [r.value for r in streams.read_contacts(spark, out).collect()]
+    assert len(got) == 80 and len(set(got)) == 80
+
+
 def test_retention_lists_each_campaign_once(spark, tmp_path):
     src = str(tmp_path / "status")
     df = spark.createDataFrame([(1, "running", None), (2, "completed", "2024-01-01 00:00:00"), (1, "completed", "2024-01-01 01:00:00")], "campaign_id long, state string, finished_at string")

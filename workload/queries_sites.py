@@ -297,3 +297,14 @@ def distinct_contact_stream(spark, sf):
     facts = facts.withColumn("at", F.current_timestamp())
     streams.run_available(streams.stream_contacts_distinct(facts).drop("at"), out, ckpt)
     return spark.read.parquet(out)
+
+
+@query(st.with_(st.TEXT_CTE, PAGE_EMAILS_CTE, st.PHONE_CTE) + """SELECT domain, 'email' AS type, email AS "value" FROM page_emails UNION SELECT domain, 'phone', display FROM phone_rows
+  UNION SELECT host, 'social', concat('https://www.linkedin.com/company/c', CAST(page_id % 7 AS VARCHAR)) FROM pages_rich WHERE page_id % 6 = 0
+  UNION SELECT host, 'social', concat('https://facebook.com/firm', CAST(page_id AS VARCHAR)) FROM pages_rich WHERE page_id % 7 = 0""")
+def contact_register(spark, sf):
+    """Every contact of a site once for ever: the stream of pages is read twice, by two queries that share one register."""
+    folder = shared_folder(spark, "contact-register")
+    for _ in range(2):
+        streams.register_contacts(streams.stream_extract(_page_stream(spark, sf)), folder, shared_folder(spark, "stream-checkpoint"))
+    return streams.read_contacts(spark, folder).drop("batch")
