@@ -202,4 +202,6 @@ QUERIES = {
         op10_sentencepiece, op11_periodic_runs, op12_spelling_variants, op13_token_files,
     )
 }
-ORACLES: dict[str, str] = {"op11_periodic_runs": sqltext.PERIODIC_RUNS, "op12_spelling_variants": sqltext.SPELLING_VARIANTS}
+ORACLES: dict[str, str] = {
+    "op7_decontaminate": sqltext.DECONTAMINATE, "op11_periodic_runs": sqltext.PERIODIC_RUNS, "op12_spelling_variants": sqltext.SPELLING_VARIANTS,
+}

@@ -68,3 +68,20 @@ forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.form
   FROM words w LEFT JOIN best ON w.word = best.word),
 chain(word, reached, depth) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN forms f ON f.word = c.reached WHERE f.form IS NOT NULL)
 SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(reached, depth) AS root FROM chain GROUP BY word) r ON f.word = r.word"""
+
+
+_WORDS = rf"coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+DECONTAMINATE = rf"""WITH
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, size, unnest(list_transform(range(len(w) - size + 1), lambda i: array_to_string(w[i + 1:i + size], ' '))) AS gram
+  FROM (SELECT *, least(len(w), 10) AS size FROM items WHERE len(w) > 0)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+grams AS (SELECT r, size, unnest(gs) AS gram, generate_subscripts(gs, 1) - 1 AS i FROM (
+  SELECT r, size, list_transform(range(len(w) - size + 1), lambda i: array_to_string(w[i + 1:i + size], ' ')) AS gs
+  FROM docs JOIN (SELECT DISTINCT size FROM windows) ON len(w) >= size)),
+hits AS (SELECT DISTINCT r, grams.size, i, item FROM grams JOIN windows ON grams.size = windows.size AND grams.gram = windows.gram),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT r, size, i FROM hits)) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered ON docs.r = covered.r LEFT JOIN found ON docs.r = found.r"""
