@@ -69,7 +69,40 @@ def parse_recipients(lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     The first row of an address counts; de-duplication is a keyed aggregate, so one huge or very
     repetitive list does not gather on a task.
     """
-    rows = _with_layout(lists).select("list_id", "columns", "email_index", F.posexplode("body").alias("pos", "cells"))
+    return _recipients(_with_layout(lists).select("list_id", "columns", "email_index", F.posexplode("body").alias("pos", "cells")))
+
+
+def parse_records(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same for lists as rows ``(list_id, pos, cells)``, of which one list may fill many tasks.
+
+    Header, width and address column of a list are aggregates over its rows; only they are joined back.
+    """
+    mail = F.exists("cells", is_mailbox)
+    top = F.col("pos") == 0
+    seen = rows.groupBy("list_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(top & mail).alias("first_mail"), F.bool_or(~top & mail).alias("later_mail"),
+        F.min_by("cells", F.when(top, F.col("pos"))).alias("first"), F.max(F.when(~top, F.size("cells"))).alias("later_width"),
+    )
+    none = F.array().cast("array<string>")
+    has_header = ~F.col("first_mail") & ((F.col("n") < 2) | F.col("later_mail"))
+    seen = seen.withColumn("skip", has_header.cast("int")).withColumn("header", F.when(has_header, F.transform("first", trim_ws)).otherwise(none))
+    seen = seen.withColumn("width", F.greatest(F.coalesce("later_width", F.lit(0)), F.when(has_header, 0).otherwise(F.size("first"))))
+    hits = rows.select("list_id", F.posexplode("cells").alias("c", "cell")).filter(is_mailbox(F.col("cell"))).groupBy("list_id", "c").count()
+    hits = hits.groupBy("list_id").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("most"))
+    named = F.transform("header", lambda h, i: F.when(h.rlike(r"(?i)\Ae-?mail(?:\s*address)?\z"), i))
+    like = F.transform("header", lambda h, i: F.when(h.rlike("(?i)mail"), i))
+    first_of = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), F.lit(0))
+    layout = seen.join(hits, "list_id", "left").withColumn("email_index", F.coalesce(first_of(named), first_of(like), "most", F.lit(-1)))
+    generated = F.transform(
+        F.when(F.col("width") > 0, F.sequence(F.lit(1), F.col("width"))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.when(i - 1 == F.col("email_index"), "email").otherwise(F.concat(F.lit("column_"), i)),
+    )
+    layout = layout.select("list_id", "skip", "email_index", F.when(F.size("header") > 0, F.col("header")).otherwise(generated).alias("columns"))
+    body = rows.join(layout, "list_id").withColumn("pos", F.col("pos") - F.col("skip")).filter("pos >= 0")
+    return _recipients(body.select("list_id", "columns", "email_index", "pos", "cells"))
+
+
+def _recipients(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     email = F.when(F.col("email_index") >= 0, F.lower(trim_ws(F.get("cells", F.col("email_index")))))
     rows = rows.select(
         "list_id", (F.col("pos") + 1).alias("row"), F.coalesce(email, F.lit("")).alias("email"),

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import extract_all, trim_ws
 from ..functions.urls import is_valid_url
+from ..session import materialize
 
-__all__ = ["read_pages", "spread", "url_list", "read_list_files", "split_lists", "read_lookup"]
+__all__ = ["read_pages", "spread", "url_list", "read_list_files", "read_list_records", "split_lists", "read_lookup"]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -63,6 +64,60 @@ def read_list_files(spark: SparkSession, path: str, limit: int | None = None) ->
     )
 
 
+def _numbered(df: DataFrame, count: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``count`` over the rows of a list before each row.
+
+    Sums within a block of a file, plus those of the blocks before it: only one number of each block meets in a task.
+    """
+    inside = Window.partitionBy("list_id", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.groupBy("list_id", "block").agg(F.sum(count).alias("__n"))
+    earlier = Window.partitionBy("list_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("list_id", "block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    summed = df.withColumn("__inside", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(blocks, ["list_id", "block"])
+    return summed.withColumn(name, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
+
+
+def read_list_records(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of recipient list files, ``(list_id, pos, cells)``; one file is read by as many tasks as it has blocks.
+
+    A line begins a record if an even number of quotes lies before it: a sum over the lines of its block and over the blocks
+    before.  Lines of a record are brought together by its number.  The separator of a list is the most frequent of comma,
+    tab and semicolon in its first line; a list without any second cell is a loose one, whose tokens are its rows.  Blank
+    rows are left out.  ``list_id`` is the partition column of that name, or else the file's name.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    named = F.col("list_id").cast("string") if "list_id" in lines.columns else F.col("_metadata.file_name")
+    lines = lines.select(
+        named.alias("list_id"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block"),
+        F.monotonically_increasing_id().alias("line"), F.col("value"),
+    )
+    lines = materialize(lines, "list-lines")  # the numbers of lines stay as they are
+    quoted = _numbered(lines.withColumn("quotes", F.regexp_count("value", F.lit('"'))), F.col("quotes"), "quotes_before")
+    begins = quoted.withColumn("begins", (F.col("quotes_before") % 2 == 0).cast("int"))
+    counted = _numbered(begins, F.col("begins"), "started").withColumn("record", F.col("started") + F.col("begins"))
+    records = counted.groupBy("list_id", "record").agg(
+        F.min(F.struct("block", "line")).alias("at"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "value"))), lambda x: x["value"]), "\n").alias("text"),
+    ).select("list_id", "at.block", "at.line", "text")
+    first = F.regexp_extract(F.min_by("value", F.struct("block", "line")), r"\A([^\n]*)", 1)
+    heads = lines.filter(trim_ws(F.col("value")) != "").groupBy("list_id").agg(first.alias("first"))
+    heads = heads.select("list_id", *[F.regexp_count("first", F.lit(ch)).alias(n) for n, ch in (("commas", ","), ("tabs", r"\t"), ("semis", ";"))])
+    sep = (
+        F.when((F.col("commas") >= F.col("tabs")) & (F.col("commas") >= F.col("semis")), ",")
+        .when(F.col("tabs") >= F.col("semis"), "\t").otherwise(";")
+    )
+    text = F.col("text")
+    cells = F.when(sep == ",", _cells(text, ",")).when(sep == "\t", _cells(text, "\t")).otherwise(_cells(text, ";"))
+    rows = records.join(heads, "list_id").select("list_id", "block", "line", "text", cells.alias("cells"))
+    rows = rows.filter(F.exists("cells", lambda c: trim_ws(c) != ""))
+    wide = rows.groupBy("list_id").agg((F.max(F.size("cells")) > 1).alias("table"))
+    tokens = F.transform(F.filter(F.split("text", "[,;" + fv.SP_CHARS + "]+"), lambda x: x != ""), lambda x: F.array(x))
+    rows = rows.join(wide, "list_id").withColumn("rows", F.when(F.col("table"), F.array("cells")).otherwise(tokens))
+    rows = _numbered(rows.select("list_id", "block", "line", "rows"), F.size("rows"), "first")
+    rows = rows.select("list_id", "first", F.posexplode("rows").alias("i", "cells"))
+    return rows.select("list_id", (F.col("first") + F.col("i")).cast("long").alias("pos"), "cells")
+
+
 def _cells(record: Column, sep: str) -> Column:
     """Cells of one record: quoted cells may hold the separator, quotes are doubled inside."""
     ch = {"\t": r"\t"}.get(sep, sep)

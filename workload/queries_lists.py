@@ -314,6 +314,32 @@ def list_files_round_trip(spark, sf):
     return _as_big(ca.parse_recipients(readers.split_lists(named))[0].select("list_id", "row", "email"))
 
 
+_FILE = "c_custkey % 5"
+#: Layouts of list files: commas with a header and line ends in quotes, tabs, semicolons, no header, one address a line.
+_LAYOUT_LINE = (
+    f"CASE {_FILE} WHEN 0 THEN concat({_CELL}, ',\"', replace(c_name, '#', ',' || chr(10) || '\"\"#'), '\",', c_mktsegment) WHEN 1 THEN concat(c_mktsegment, chr(9), c_name, chr(9), {_CELL})"
+    f" WHEN 2 THEN concat(c_name, ';', {_CELL}, ';') WHEN 3 THEN concat(c_name, ',', {_CELL}) ELSE concat('u', CAST(c_custkey AS STRING), '@loose.org') END"
+)
+_LAYOUT_HEAD = "CASE file WHEN 0 THEN 'E-Mail,name,segment' || chr(10) WHEN 1 THEN concat('segment', chr(9), 'name', chr(9), 'Your mail') || chr(10) WHEN 2 THEN 'who;contact;' || chr(10) || chr(10) ELSE '' END"
+_LAYOUT_FIELDS = (
+    "CASE file WHEN 0 THEN concat('name=', replace(c_name, '#', ',' || chr(10) || '\"#'), '|segment=', c_mktsegment) WHEN 1 THEN concat('segment=', c_mktsegment, '|name=', c_name)"
+    " WHEN 2 THEN concat('who=', c_name) WHEN 3 THEN concat('column_1=', c_name) ELSE '' END"
+)
+
+
+@query(f"""WITH lines AS (SELECT {_FILE} AS file, c_name, c_mktsegment, CASE WHEN {_FILE} = 4 THEN concat('u', CAST(c_custkey AS VARCHAR), '@loose.org') ELSE {_CELL} END AS cell,
+    row_number() OVER (PARTITION BY {_FILE} ORDER BY c_custkey) AS "row" FROM customer),
+ parsed AS (SELECT *, lower(trim(cell)) AS email, {_LAYOUT_FIELDS} AS fields FROM lines)
+ SELECT CAST(file AS VARCHAR) AS list_id, email, min("row") AS "row", arg_min(fields, "row") AS fields FROM parsed WHERE regexp_matches(email, {st.q(fv.MAILBOX)}) GROUP BY file, email""")
+def list_file_layouts(spark, sf):
+    """One large list file of each layout, read line by line by many tasks."""
+    folder = shared_folder(spark, "list-layouts")
+    c = table(spark, sf, "customer").select("c_custkey", F.expr(_FILE).alias("file"), F.expr(_LAYOUT_LINE).alias("line"))
+    texts = c.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    texts.select(F.col("file").alias("list_id"), F.concat(F.expr(_LAYOUT_HEAD), "body").alias("text")).write.partitionBy("list_id").text(folder)
+    return _as_big(_flat(ca.parse_records(readers.read_list_records(spark, folder))[0]))
+
+
 @query(r"""SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY n) - 1 AS "row", tok AS email FROM (
    SELECT c_custkey, unnest(ts) AS tok, generate_subscripts(ts, 1) AS n FROM (SELECT c_custkey, [concat('a', CAST(c_custkey AS VARCHAR), '@x.org'), 'b@y.org', concat('c', CAST(c_custkey AS VARCHAR), '@z.org')] AS ts FROM customer))""")
 def pasted_lists(spark, sf):
