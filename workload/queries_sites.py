@@ -113,6 +113,7 @@ def site_json_round_trip(spark, sf):
 
 _SHEETS = {
     "Emails": "SELECT domain, concat(email, '|', regexp_extract(email, '@(.*)$', 1)) AS entry FROM site_emails",
+    "Phones": "SELECT domain, display AS entry FROM site_phones",
     "Social Links": "SELECT domain, concat(upper(left(platform, 1)), substr(platform, 2), '|', url) AS entry FROM site_social",
     "Technologies": "SELECT domain, concat(category, '|', name) AS entry FROM site_tech",
     "Addresses": "SELECT domain, address AS entry FROM site_addresses",
