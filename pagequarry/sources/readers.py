@@ -34,20 +34,21 @@ def html_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(F.contains("content_type", F.lit("text/html")))
 
 
-def url_list(lists: DataFrame, finder: bool = False) -> DataFrame:
+def url_list(lists: DataFrame, finder: bool = False, limit: int | None = None) -> DataFrame:
     """Pasted URL lists ``(list_id, text)`` to ``(list_id, ord, url, valid, taken)``.
 
-    One URL per line (the finder also splits at commas and drops repeats).  ``taken`` marks the
-    valid ones within the tool's limit per list.
+    One URL per line (the finder also splits at commas and drops repeats).  ``taken`` marks the valid ones, with ``limit``
+    the first so many of each list.
     """
     parts = F.transform(F.split("text", r"[\n,]+" if finder else r"\n"), trim_ws)
     urls = F.filter(parts, lambda u: u != "")
     urls = F.array_distinct(urls) if finder else urls
-    cap = fv.MAX_URLS_FINDER if finder else fv.MAX_URLS_EXTRACTOR
     flagged = F.transform(urls, lambda u: F.struct(u.alias("url"), is_valid_url(u).alias("valid")))
     rows = lists.select("list_id", flagged.alias("f"))
+    if limit is None:
+        return rows.select("list_id", F.posexplode("f").alias("ord", "x")).select("list_id", "ord", "x.url", "x.valid", F.col("x.valid").alias("taken"))
     accepted = F.transform(F.filter(F.transform("f", lambda x, i: F.struct(i.alias("i"), x["valid"].alias("ok"))), lambda x: x["ok"]), lambda x: x["i"])
-    rows = rows.withColumn("within", F.slice(accepted, 1, cap))
+    rows = rows.withColumn("within", F.slice(accepted, 1, limit))
     rows = rows.select("list_id", "within", F.posexplode("f").alias("ord", "x"))
     return rows.select("list_id", "ord", "x.url", "x.valid", F.array_contains("within", F.col("ord")).alias("taken"))
 

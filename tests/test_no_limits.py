@@ -39,3 +39,13 @@ def test_address_after_many_lines(spark):
     lines = "".join(f"<p>line {i} of the page</p>" for i in range(4500))
     got = addresses.extract_addresses(pages(spark, lines + "<p>12 Main Street, Suite 5, Springfield, IL 62704</p>"))
     assert [r.address for r in got.collect()] == ["12 Main Street, Suite 5, Springfield, IL 62704"]
+
+
+def test_url_lists_have_a_limit_only_if_asked(spark):
+    from pagequarry.sources.readers import url_list
+
+    text = "\n".join("no url" if i % 10 == 0 else f"site{i}.org/p" for i in range(300))
+    lists = spark.createDataFrame([("l", text)], "list_id string, text string")
+    assert url_list(lists).filter("taken").count() == 270
+    limited = url_list(lists, limit=100).filter("taken").orderBy("ord").collect()
+    assert len(limited) == 100 and limited[-1].ord == 111

@@ -8,6 +8,7 @@ from workload import check
 NAMES = [
     "normalized_urls", "page_links", "page_visible_lines", "page_emails", "page_seo", "technologies", "keyword_totals", "page_email_hits",
     "jsonld_nodes", "phone_validation", "email_syntax", "parsed_recipients", "send_plan", "campaign_summary", "brand_breakdown", "fetch_outcomes",
+    "page_phones", "site_phones", "document_phones", "customer_phones", "list_file_layouts", "site_visits", "finder_outcomes",
 ]
 
 
