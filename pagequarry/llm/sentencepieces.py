@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 #: Places that a task's cache of word lattices may hold, and characters that are stepped together.
 CACHE_NODES = 2_000_000
-BATCH_CHARS = 400_000
+BATCH_CHARS = 1_200_000
 #: A word with the spaces before it, spaces before a line end or tab, or one of these.
 _CHUNKS = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 
@@ -79,13 +79,26 @@ class Vocabulary:
         return [self.bytes_of.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
 
 
-def chunks_of(text: str) -> list[str]:
-    """The words of a text with its prefix space; joined they are that text."""
+def _marked(text: str) -> str:
+    """A text without ``\\1``, and with its prefix space, as its words with ``\\1`` between them (or several of it)."""
     text = " " + text
-    if "  " in text or "\1" in text:
-        return _CHUNKS.findall(text)
-    marked = text.replace(" ", "\1 ").replace("\n", "\1\n\1").replace("\t", "\1\t\1")
-    return [c for c in marked.split("\1") if c]
+    if "  " in text:
+        return "\1".join(_CHUNKS.findall(text))
+    return text.replace(" ", "\1 ").replace("\n", "\1\n\1").replace("\t", "\1\t\1")
+
+
+def words_of(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts one after another, and how many each text has; joined, a text's words are its prefix space
+    and the text."""
+    if any("\1" in t for t in texts):
+        chunks = [_CHUNKS.findall(" " + t) for t in texts]
+        flat = pa.array([w for c in chunks for w in c], pa.large_string())
+        return flat.dictionary_encode(), np.array([len(c) for c in chunks], np.int64)
+    lists = pc.split_pattern(pa.array([_marked(t) for t in texts], pa.large_string()), "\1")
+    flat = lists.flatten()
+    filled = np.asarray(pc.binary_length(flat)) > 0
+    words = np.append(0, np.cumsum(filled))[np.asarray(lists.offsets).astype(np.int64)]
+    return flat.filter(pa.array(filled)).dictionary_encode(), np.diff(words)
 
 
 class Lattices:
@@ -101,6 +114,14 @@ class Lattices:
         keys = np.array([states[p[:-1]] << 21 | ord(p[-1]) for p in states if p], np.int64)
         order = np.argsort(keys)
         self.keys, self.to = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.array([states[p] for p in states if p])[order], 0)
+        # the same steps by table for ASCII and the mark (in the place of the space); row 0 has none
+        source, char, to = self.keys[:-1] >> 21, self.keys[:-1] & (1 << 21) - 1, self.to[:-1]
+        parents = np.unique(source)
+        self.row = np.zeros(len(states), np.int32)
+        self.row[parents] = np.arange(1, len(parents) + 1)
+        self.ascii = np.zeros((len(parents) + 1, 128), np.int32)
+        slot = np.where(char == ord(MARK), 32, char)
+        self.ascii[self.row[source[slot < 128]], slot[slot < 128]] = to[slot < 128]
         self.token_of, self.weight_of = np.full(len(states), -1, np.int64), np.zeros(len(states))
         for piece, (token, weight) in vocabulary.weight.items():
             self.token_of[states[piece]], self.weight_of[states[piece]] = token, weight
@@ -126,7 +147,7 @@ class Lattices:
 
     def add(self, words: list[str]) -> None:
         """Build the lattices of new words, all at once."""
-        sizes = np.array([len(w) for w in words])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         coded = np.where(chars == 32, ord(MARK), np.where(chars == ord(MARK), (1 << 21) - 1, chars))  # a mark in the text matches no piece
         n = len(chars)
@@ -136,10 +157,15 @@ class Lattices:
         found = []
         single = np.zeros(n, bool)
         for length in range(1, self.width + 1):
-            key = state << 21 | coded[place]
-            hit = np.searchsorted(self.keys, key)
-            ok = self.keys[hit] == key
-            at, state, place = at[ok], self.to[hit[ok]], place[ok] + 1
+            char = chars[place]
+            to = self.ascii[self.row[state], np.minimum(char, 127)].astype(np.int64)
+            wide = np.nonzero(char > 126)[0]
+            if len(wide):
+                key = state[wide] << 21 | coded[place[wide]]
+                hit = np.searchsorted(self.keys, key)
+                to[wide] = np.where(self.keys[hit] == key, self.to[hit], 0)
+            ok = to > 0
+            at, state, place = at[ok], to[ok], place[ok] + 1
             piece = self.token_of[state] >= 0
             found.append((at[piece], place[piece], self.token_of[state[piece]], self.weight_of[state[piece]]))
             if length == 1:
@@ -302,16 +328,13 @@ class _Paths:
 
 def sample_batch(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """``k`` samples ``(ids, log_prob, inclusion, log_inclusion)`` of each text."""
-    chunks = [chunks_of(t) for t in texts]
     if lat.nodes > CACHE_NODES:
         lat.clear()
-    flat = [w for c in chunks for w in c]
-    coded = pa.array(flat, pa.large_string()).dictionary_encode()
+    coded, sizes = words_of(texts)
     words = coded.dictionary.to_pylist()
     if unknown := [w for w in words if w not in lat.roots]:
         lat.add(sorted(unknown))
     root = np.fromiter(map(lat.roots.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
-    sizes = np.array([len(c) for c in chunks])
     docs, begin = len(texts), np.cumsum(sizes) - sizes
     doc_of = np.repeat(np.arange(docs), sizes)
     word_number = (np.arange(len(root)) - np.repeat(begin, sizes)).astype(np.uint64)
