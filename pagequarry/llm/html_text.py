@@ -2,7 +2,7 @@
 
 1. A page is cut into blocks of three kinds: *article* (inside ``article``, else ``main``), *chrome* (menus, headers,
    footers, sidebars, notices, adverts, forms, comments) and *loose* (outside both; all of the body on a page without
-   ``article`` and ``main``).
+   ``article`` and ``main``; paragraphs and inline elements of an article that only a class name calls chrome).
 2. The tokens of all blocks that are not article text form the page's stream.  The suffixes of all streams of a host are
    dealt by their first token, so that each shard holds a whole range of the host's suffix array; it sorts its suffixes to
    a depth of ``min_run`` tokens and compares neighbours: equal neighbours from distinct pages are a repeated substring.
@@ -12,7 +12,9 @@
 Only suffixes travel, a few tokens each, never pages; a host with most of the pages is spread over its first tokens.
 
 Edge cases: null and empty pages have an empty text; pages without a host share the empty host; a page that is stored
-twice does not make its own text a repetition; unclosed elements end with their parent; other columns are kept (columns
+twice does not make its own text a repetition; unclosed elements end with their parent; a head ends at the first tag that
+does not belong there; media without an end tag hide nothing; quotes count only where a value begins; the time is in proportion
+to the page for any markup; other columns are kept (columns
 called ``text`` and ``n_chars`` are replaced); an empty table gives an empty result.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,65 +36,137 @@ from ..session import materialize
 
 ARTICLE, CHROME, LOOSE = 0, 1, 2
 
-#: Elements whose content is no text of the page.
-_HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|head|template|noscript|svg|iframe|object|canvas|math|audio|video)\b.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I,
-)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""")
+#: Comments, declarations and tags; what the page's end cuts off is one of them, too, so that a scan never goes back.
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
+#: Elements that hold no markup up to their end tag; without one, the first two go to the page's end, the others hold nothing.
+_RAW = frozenset("script style title textarea iframe noscript noembed noframes template".split())
+_RAW_TO_END = frozenset(("script", "style"))
+#: Elements whose content is no text of the page, if they are closed.
+_HIDDEN = frozenset("svg math object canvas audio video".split())
+_OF_HEAD = frozenset("title meta link base script style noscript template".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements of the text itself: a class name alone does not make them chrome.
+_TEXTUAL = _INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption td th dd dt".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CHROME_ELEMENTS = frozenset("nav footer aside form menu dialog button select textarea option fieldset".split())
+_CHROME_ELEMENTS = frozenset("nav footer aside form menu dialog button select option fieldset".split())
 _CHROME_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|comments?|disqus|replies|"
     r"sidebar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|share|sharing|social|related|recommended|widget|pagination|pager|toolbar)(?:$|[\s_-])", re.I,
 )
-_NAME_ATTRIBUTES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_CHROME_ROLES = re.compile(r"""\brole\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)\b""", re.I)
+_COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|reply|replies)(?:$|[\s_-])", re.I)
+_NAME_ATTRIBUTES = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+_CHROME_ROLES = re.compile(r"""\brole\s*+=\s*+["']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)\b""", re.I)
+
 
+def _kind_of(name: str, attributes: str, inside: int, root: str | None) -> int:
+    """The kind of what an element holds that begins inside of an element of kind ``inside``."""
+    if inside == CHROME:
+        return CHROME
+    if name in _CHROME_ELEMENTS or name == "header" and inside != ARTICLE:
+        return CHROME
+    names = ["".join(m) for m in _NAME_ATTRIBUTES.findall(attributes)] if "=" in attributes else ()
+    if name in ("article", "main"):  # readers' comments are often articles of their own
+        if any(_COMMENT_NAMES.search(n) for n in names):
+            return CHROME
+        return ARTICLE if name == root else inside
+    if not names or name in ("body", "html"):
+        return inside
+    if _CHROME_ROLES.search(attributes):
+        return CHROME
+    if any(_CHROME_NAMES.search(n) for n in names):
+        return CHROME if name not in _TEXTUAL or inside != ARTICLE else LOOSE  # whether it is repeated decides
+    return inside
 
-def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
-    if name in _CHROME_ELEMENTS or name == "header" and not in_article:
-        return True
-    if not attributes or name in ("body", "html", "article", "main"):
-        return False
-    return bool(_CHROME_ROLES.search(attributes)) or any(_CHROME_NAMES.search("".join(m)) for m in _NAME_ATTRIBUTES.findall(attributes))
+
+def _tags(page: str) -> list[tuple[str, str, str, str]]:
+    """``(slash, name, attributes, text after it)`` of all tags, the first without a name; raw elements are left out with what
+    they hold, and start tags of hidden elements without an end are left out alone."""
+    tags, texts, at, endless = [("", "", "")], [[]], 0, set()
+    open_hidden: dict[str, list[int]] = {}
+    while found := _MARKUP.search(page, at):
+        texts[-1].append(page[at:found.start()])
+        at = found.end()
+        if not found[2]:
+            texts[-1].append(" ")
+            continue
+        slash, name, attributes = found[1], found[2].lower(), found[3]
+        if name in _RAW:
+            texts[-1].append(" ")
+            if not slash and name not in endless:
+                end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif name in _RAW_TO_END:
+                    at = len(page)
+                else:
+                    endless.add(name)
+            continue
+        if name in _HIDDEN:
+            if not slash:
+                open_hidden.setdefault(name, []).append(len(tags))
+            elif open_hidden.get(name):
+                open_hidden[name].pop()
+        tags.append((slash, name, attributes))
+        texts.append([])
+    texts[-1].append(page[at:])
+    for unclosed in open_hidden.values():
+        for i in unclosed:
+            tags[i] = "", "wbr", ""
+            texts[i].insert(0, " ")
+    return [(*tag, "".join(text)) for tag, text in zip(tags, texts)]
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
-    """``(kind, text)`` of every non-empty block in page order; white space is single and character references are decoded."""
+    """``(kind, text)`` of every non-empty block in page order; white space is single and character references are decoded.
+
+    The time is in proportion to the page, whatever its markup.
+    """
     if not page:
         return []
-    parts = _TAG.split(_HIDDEN.sub(" ", page))
+    tags = _tags(page)
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements with the kind of what they hold
-    roots = {name for name in ("article", "main") if re.search(rf"<{name}\b", page, re.I)}
-    root = "article" if "article" in roots else "main" if roots else None
-    kind, piece = LOOSE, [parts[0]]
+    opened: Counter[str] = Counter()
+    starts = {name for slash, name, _, _ in tags if not slash}
+    root = next((name for name in ("article", "main") if name in starts), None)
+    kind, piece, in_head = LOOSE, [tags[0][3]], False
 
     def flush():
         text = " ".join(entities.unescape("".join(piece)).split())
         piece.clear()
-        if text:
+        if text and not in_head:
             out.append((kind, text))
 
-    for at in range(1, len(parts), 4):
-        closing, name, attributes, text = parts[at], parts[at + 1].lower(), parts[at + 2], parts[at + 3]
-        if name not in _INLINE or attributes and not closing and _is_chrome(name, attributes, kind == ARTICLE):
+    def pop() -> int:
+        name, held = stack.pop()
+        opened[name] -= 1
+        return held
+
+    for slash, name, attributes, text in tags[1:]:
+        inside = stack[-1][1] if stack else LOOSE
+        if name == "head" or in_head and name not in _OF_HEAD:  # a head ends at the first tag that does not belong there
+            flush()
+            in_head = name == "head" and not slash
+            piece.append(text)
+            if name == "head":
+                continue
+            piece.clear()
+        holds = inside if slash else CHROME if name in _HIDDEN else _kind_of(name, attributes, inside, root)
+        if name not in _INLINE or holds != inside:
             flush()
-        if closing:
-            if any(n == name for n, _ in stack):
+        if slash:
+            if opened[name]:
                 while stack[-1][0] != name:
-                    stack.pop()
-                if stack[-1][1] != (stack[-2][1] if len(stack) > 1 else LOOSE):
+                    pop()
+                if pop() != (stack[-1][1] if stack else LOOSE):
                     flush()
-                stack.pop()
         elif name not in _VOID and not attributes.endswith("/"):
             if name in ("p", "li") and stack and stack[-1][0] == name:
-                stack.pop()  # a paragraph or list item ends where the next begins
-            inside = stack[-1][1] if stack else LOOSE
-            if inside != CHROME:
-                inside = CHROME if _is_chrome(name, attributes, inside == ARTICLE) else ARTICLE if name == root else inside
-            stack.append((name, inside))
+                pop()  # a paragraph or list item ends where the next begins
+                inside = stack[-1][1] if stack else LOOSE
+                holds = _kind_of(name, attributes, inside, root)
+            stack.append((name, holds))
+            opened[name] += 1
         kind = stack[-1][1] if stack else LOOSE
         piece.append(text)
     flush()

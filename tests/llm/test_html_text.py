@@ -68,3 +68,45 @@ def html_col():
     from pyspark.sql import functions as F
 
     return F.lit("clash")
+
+
+def test_broken_markup():
+    art = lambda page: " ".join(t for k, t in html_text.blocks_of(page) if k != html_text.CHROME)
+    cases = {
+        "<html><head><title>T</title><meta charset=x><p>body text</p>": "body text",
+        "<head><title>T</title></head><body>hello": "hello",
+        "<article>a<video src=x>b<p>c</article>": "a b c",
+        "<article>a<iframe src=q>b</article>": "a b",
+        "<article>a<iframe src=q>x</iframe >b</article>": "a b",
+        "<article>a<svg><path/>zz</svg>b</article>": "a b",
+        "<svg><p>x</p>": "x",
+        "<article><p title=don't>A</p><p>it's B</p></article>": "A it's B",
+        "<article><a href='x>y' title = \"p > q\">z</a></article>": "z",
+        "<article>main<article class='comment'>reader</article> text</article>": "main text",
+        "<article><p class='share'>market share rose</p>x</article>": "market share rose x",
+        "<article><div class='share'>tell others</div>x</article>": "x",
+        "<article>a</article><script>var b": "a",
+        "<p>1 < 2 and a=\"b\"</p>": "1 < 2 and a=\"b\"",
+        "<article>a</article><a href=": "a",
+    }
+    for page, want in cases.items():
+        assert art(page) == want, page
+
+
+def test_labelled_paragraphs_go_where_they_are_repeated(spark):
+    own = ["market share rose in spring", "nobody expected these numbers", "one more quarter went by"]
+    rows = [(f"http://h/{i}", f"<article><p class='share'>tell all of your friends about us</p><p class='share'>{t}</p></article>") for i, t in enumerate(own)]
+    assert texts(html_text.extract_text(pages(spark, rows))) == own
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    units = ["<a ", "<div>", "<p title=", '<a x="', "<a x='", "<video>", "<iframe>", "<!--", "<script>", "<title>x</title>", "&", "<", "<a = ", "</p>", "<p class='", "<head>"]
+    for unit in units:
+        begun = time.process_time()
+        html_text.blocks_of(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - begun < 8, unit
+    begun = time.process_time()
+    html_text.blocks_of("<div>" * 100_000 + "</p></b>" * 100_000)
+    assert time.process_time() - begun < 12
