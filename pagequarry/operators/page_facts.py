@@ -8,9 +8,13 @@ from the table when present (a site walk sets it) and from the URL otherwise.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..functions.html import (
@@ -23,7 +27,7 @@ from ..functions.urls import URL_STEPS, is_same_site, path_of, resolve_links, si
 
 __all__ = [
     "with_domain", "page_tokens", "visible_text", "visible_lines", "extract_metadata", "extract_seo",
-    "extract_social", "detect_tech", "match_keywords", "detect_business_name", "has_contact_form",
+    "extract_social", "detect_tech", "match_keywords", "match_keyword_table", "detect_business_name", "has_contact_form",
     "classify_category", "robots_warnings", "resolve_fetch_log",
 ]
 
@@ -277,6 +281,67 @@ def match_keywords(pages: DataFrame, keywords: list[str], text_column: str | Non
     return p.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.keyword", "h.count", "h.sample")
 
 
+#: Characters of keywords in one automaton; more keywords take more than one pass.
+KEYWORD_BLOCK = 4_000_000
+
+
+def _scanner(words: dict[str, list[str]]):
+    """Rows of texts ``t`` with their lower case ``lo`` as rows of keyword hits, by one automaton of all words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for low in words:
+            automaton.add_word(low, low)
+        automaton.make_automaton()
+        for rows in batches:
+            row, found = [], []
+            for n, (t, lo) in enumerate(zip(rows["t"], rows["lo"])):
+                seen: dict[str, list[int]] = {}  # first place, end of the last occurrence counted, count
+                for last, low in automaton.iter(lo or ""):
+                    begin = last + 1 - len(low)
+                    hit = seen.setdefault(low, [begin, begin, 0])
+                    if begin >= hit[1]:  # occurrences of a word do not overlap
+                        hit[1], hit[2] = last + 1, hit[2] + 1
+                for low, (at, _, count) in seen.items():
+                    start, stop = max(at - 40, 0), min(len(t), at + len(low) + 40)
+                    for word in words[low]:
+                        row.append(n)
+                        found.append((word, count, t[start:stop], start > 0, stop < len(t)))
+            hits = pd.DataFrame(found, columns=["keyword", "count", "cut", "before", "after"])
+            yield pd.concat([rows.drop(columns=["t", "lo"]).iloc[row].reset_index(drop=True), hits], axis=1)
+
+    return run
+
+
+def match_keyword_table(pages: DataFrame, keywords: DataFrame, text_column: str | None = None, block: int = KEYWORD_BLOCK) -> DataFrame:
+    """``match_keywords`` for a table of keywords (column ``keyword``) of any size: the same rows.
+
+    Keywords are dealt into blocks of about ``block`` characters by a hash; a block is one automaton, and the texts are read once
+    for each block, however many words it has.  Nulls and blanks are no keywords; null texts have no hits.
+    """
+    words = keywords.select(trim_ws(F.col("keyword")).alias("keyword")).where("keyword <> ''").distinct().withColumn("low", F.lower("keyword"))
+    size = words.agg(F.sum(F.length("low"))).first()[0] or 0
+    p = pages if text_column else with_domain(pages)
+    keys = [k for k in ("domain", "page_id") if k in p.columns] if not text_column else [c for c in p.columns if c != text_column]
+    text = F.col(text_column) if text_column else body_text(F.col("html"))
+    p = p.select(*keys, squeeze(text).alias("t")).where("t is not null").withColumn("lo", F.lower("t"))
+    fields = T.StructType([p.schema[k] for k in keys])
+    for name, kind in (("keyword", "string"), ("count", "long"), ("cut", "string"), ("before", "boolean"), ("after", "boolean")):
+        fields = fields.add(name, kind)
+    blocks = max(1, -(-size // block))
+    passes = []
+    for number in range(blocks):  # of bounded size each
+        held: dict[str, list[str]] = {}
+        for r in words.where(F.pmod(F.xxhash64("low"), F.lit(blocks)) == number).collect():
+            held.setdefault(r["low"], []).append(r["keyword"])
+        passes.append(p.mapInPandas(_scanner(held), fields) if held else p.sparkSession.createDataFrame([], fields))
+    hits = reduce(DataFrame.unionByName, passes)
+    ellipsis = lambda flag: F.when(flag, "…").otherwise("")
+    return hits.select(*keys, "keyword", "count", F.concat(ellipsis(F.col("before")), trim_ws(F.col("cut")), ellipsis(F.col("after"))).alias("sample"))
+
+
 # ------------------------------------------------------------------------------ business profile
 def _clean_name(x: Column) -> Column:
     x = F.regexp_replace(squeeze(x), r"(?i)\A(?:welcome\s+to|home)\s*[-|:–—]?\s*", "")

@@ -209,6 +209,24 @@ def conversation_keyword_hits(spark, sf):
     return page_facts.match_keywords(table(spark, sf, "conversations").select("conv_id", "turn", "text"), KEYWORDS, "text")
 
 
+_WORD_TABLE = r"""words AS (SELECT DISTINCT keyword, lower(keyword) AS low FROM (
+   SELECT unnest(string_split_regex(text, '[^A-Za-zÀ-ÿ]+')) AS keyword FROM benchmark UNION ALL SELECT p_name FROM part UNION ALL SELECT text FROM benchmark) WHERE length(keyword) > 1)"""
+
+
+@query(f"""WITH {_WORD_TABLE}, texts AS (SELECT conv_id, turn, {st.squeeze('text')} AS t FROM conversations),
+ found AS (SELECT conv_id, turn, t, lower(t) AS lo, keyword, low, strpos(lower(t), low) AS hit FROM texts, words WHERE contains(lower(t), low))
+ SELECT conv_id, turn, keyword, CAST((length(lo) - length(replace(lo, low, ''))) / length(low) AS BIGINT) AS "count",
+   concat(CASE WHEN hit > 41 THEN '…' ELSE '' END, trim(substr(t, greatest(hit - 40, 1), least(length(t), hit + length(low) + 39) - greatest(hit - 41, 0))),
+          CASE WHEN hit + length(low) + 39 < length(t) THEN '…' ELSE '' END) AS sample FROM found""")
+def dictionary_keyword_hits(spark, sf):
+    """Keywords by the table: every word and passage of the benchmark, every name of a part."""
+    passages = table(spark, sf, "benchmark").select(F.col("text").alias("keyword"))
+    words = passages.select(F.explode(F.split("keyword", "[^A-Za-zÀ-ÿ]+")).alias("keyword"))
+    names = table(spark, sf, "part").select(F.col("p_name").alias("keyword"))
+    keywords = words.union(names).union(passages).where(F.length("keyword") > 1)
+    return page_facts.match_keyword_table(table(spark, sf, "conversations").select("conv_id", "turn", "text"), keywords, "text")
+
+
 @query(st.with_(_keyword_sql(_BODIES), f"words(keyword_no, keyword) AS (VALUES {', '.join(f'({i}, {st.q(k)})' for i, k in enumerate(KEYWORDS))})",
                 "tot AS (SELECT domain, keyword, CAST(sum(\"count\") AS BIGINT) AS c, count(*) AS p, arg_min(sample, page_id) AS s FROM hits GROUP BY 1, 2)")
        + 'SELECT h.domain, keyword, coalesce(c, 0) AS "count", coalesce(p, 0) AS pages, coalesce(s, \'\') AS sample FROM (SELECT DISTINCT host AS domain FROM pages_rich) h CROSS JOIN words LEFT JOIN tot USING (domain, keyword)')
