@@ -10,7 +10,7 @@ from ..functions.emails import local_part
 from ..functions.text import after_last, blank_to_null, ends_with_any, is_one_of, let, trim_ws
 
 __all__ = [
-    "edit_distance", "suggest_domains", "check_syntax", "provider_flags", "resolve_mx", "probe_outcome",
+    "edit_distance", "suggest_domains", "suggest_from_table", "check_syntax", "provider_flags", "resolve_mx", "probe_outcome",
     "verify_emails", "join_domain_facts",
 ]
 
@@ -88,6 +88,50 @@ def suggest_domains(domains: DataFrame) -> DataFrame:
     return best.select("domain", F.coalesce("typo_of", "repaired").alias("suggestion")).filter(F.col("suggestion").isNotNull())
 
 
+def _deletions(x: Column, most: int) -> Column:
+    """A short text and what is left of it after up to ``most`` deletions."""
+
+    def shorter(x: Column) -> Column:
+        places = F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.length(x))))
+
+    found = F.array(x)
+    for _ in range(most):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, shorter))))
+    return found
+
+
+def suggest_from_table(domains: DataFrame, targets: DataFrame, radius: int = 2, prefix: int = 16) -> DataFrame:
+    """``(domain, suggestion, distance)`` for distinct domains within ``radius`` edits of a caller's own ``targets (target)``.
+
+    The nearest target wins, among equals the smallest.  Domains that are targets, empty ones and nulls have no suggestion.
+
+    Two texts within ``radius`` edits have a common text after as many deletions from the first ``prefix`` characters of each
+    (what an edit shifts out of one prefix is deleted from the other's end).  So both sides are looked up by equality, with
+    a number of keys that depends on ``prefix`` alone; whether one side is small enough to broadcast is up to its measured size.
+    Only what meets there is compared.
+    """
+    if prefix <= radius:
+        raise ValueError("the prefix must be longer than the radius")
+    known = targets.select(F.lower("target").alias("target")).where("target <> ''").distinct()
+    asked = domains.select(F.lower("domain").alias("domain")).where("domain <> ''").distinct()
+    asked = asked.join(known, asked["domain"] == known["target"], "left_anti")
+
+    def keyed(table: DataFrame, name: str) -> DataFrame:
+        return table.select(name, F.explode(_deletions(F.substring(name, 1, prefix), radius)).alias("key"))
+
+    met = keyed(asked, "domain").join(keyed(known, "target"), "key").where(F.abs(F.length("domain") - F.length("target")) <= radius)
+    sorted_of = lambda name: F.array_join(F.array_sort(F.split(name, "")), "")
+    pairs = met.select("domain", "target").distinct().withColumn("plain", F.levenshtein("domain", "target", 2 * radius)).where("plain >= 0")
+    # a swap is two plain edits and keeps the characters: where too many of them differ, no swap brings a pair nearer
+    loose = F.when(F.col("plain") <= radius, 2 * (F.col("plain") - 2)).otherwise(2 * (2 * radius - F.col("plain")))
+    swaps = F.levenshtein(sorted_of("domain"), sorted_of("target")) <= loose
+    distance = F.when(swaps, edit_distance(F.col("domain"), F.col("target"))).otherwise(F.col("plain"))
+    near = pairs.withColumn("distance", distance).where(F.col("distance") <= radius)
+    best = near.groupBy("domain").agg(F.min(F.struct("distance", "target")).alias("best"))
+    return best.select("domain", F.col("best.target").alias("suggestion"), "best.distance")
+
+
 def _addresses(emails: DataFrame) -> DataFrame:
     e = emails.select(F.lower(trim_ws(F.col("email"))).alias("email")).distinct()
     e = e.withColumn("local_part", local_part(F.col("email")))

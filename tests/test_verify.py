@@ -64,3 +64,30 @@ def test_skewed_domains_keep_every_row(spark):
     facts = spark.createDataFrame([("big.org", 1), ("small.org", 2)], "domain string, x int")
     joined = verify.join_domain_facts(rows, facts, "email")
     assert joined.count() == 5000 and joined.filter("x = 1").count() == 5000
+
+
+def test_suggestions_from_a_table_are_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    targets = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 24))) for _ in range(120)] + ["a-common-prefix-of-many" + c for c in "wxyz"]
+
+    def edited(t):
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(t) + 1)
+            t = rng.choice([t[:i] + rng.choice("abc") + t[i:], t[:i] + t[i + 1:], t[:i] + t[i + 1:i + 2] + t[i:i + 1] + t[i + 2:], t[:max(0, i - 1)] + "b" + t[i:]])
+        return t
+
+    asked = [edited(rng.choice(targets)) for _ in range(300)]
+    domains = spark.createDataFrame([(x,) for x in [*asked, *asked[:50], "", None, "zzzzzzzzz"]], "domain string")
+    table = spark.createDataFrame([(x,) for x in [*targets, *targets[:9], "", None]], "target string")
+    for radius in (1, 2):
+        want = {}
+        for a in set(asked) - set(targets) - {""}:
+            best = min((osa(a, t), t) for t in targets)
+            if best[0] <= radius:
+                want[a] = best
+        for prefix in (radius + 1, 16):
+            got = {r.domain: (r.distance, r.suggestion) for r in verify.suggest_from_table(domains, table, radius, prefix).collect()}
+            assert len(want) > 20 and got == want
+    assert verify.suggest_from_table(domains, table.where("1 = 0")).count() == 0

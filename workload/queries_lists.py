@@ -149,6 +149,22 @@ def domain_suggestions(spark, sf):
     return verify.suggest_domains(d.select(F.regexp_extract("email", r"\A.+@([^@]*)\z", 1).alias("domain")))
 
 
+_OWN_DOMAIN = lambda name, source: f"SELECT DISTINCT concat(w, '.example') AS {name} FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM {source}) WHERE length(w) >= 5"
+
+
+@query(f"""WITH targets AS ({_OWN_DOMAIN('target', 'benchmark')}), asked AS ({_OWN_DOMAIN('domain', 'conversations')} AND concat(w, '.example') NOT IN (SELECT target FROM targets))
+ SELECT domain, arg_min(target, (d, target)) AS suggestion, CAST(min(d) AS INTEGER) AS distance
+ FROM (SELECT domain, target, damerau_levenshtein(domain, target) AS d FROM asked JOIN targets ON abs(length(domain) - length(target)) <= 2) WHERE d <= 2 GROUP BY domain""")
+def table_domain_suggestions(spark, sf):
+    """Targets by the table: a domain for every longer word of the benchmark, asked for those of the conversations."""
+
+    def domains(source: str, name: str):
+        words = table(spark, sf, source).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+        return words.where(F.length("w") >= 5).select(F.concat("w", F.lit(".example")).alias(name))
+
+    return verify.suggest_from_table(domains("conversations", "domain"), domains("benchmark", "target"))
+
+
 _ROLES = _Q(fv.VERIFIER_ROLES)
 FLAG_CTE = rf"""flags AS (SELECT *, webmail0 AND valid AS webmail, disposable0 AND valid AS disposable, role0 AND valid AS role, NOT webmail0 AND NOT disposable0 AND valid AS professional FROM (
   SELECT *, domain IN ({_Q(fv.WEBMAIL_DOMAINS)}) AS webmail0, domain IN ({_Q(fv.DISPOSABLE_DOMAINS)}) OR regexp_matches(domain, '(?:{"|".join(s.replace(".", chr(92) + ".") for s in fv.DISPOSABLE_SUFFIXES)})$') AS disposable0,
