@@ -55,9 +55,7 @@ company
 SKIP_HREF = r"(?i)^(?:#|mailto:|tel:|javascript:)"
 SKIP_HREF_FINDER = r"(?i)^(?:#|mailto:|tel:|javascript:|data:)"
 FILE_LINK = r"(?i)\.(?:pdf|zip|jpe?g|png|gif|svg|webp|mp4|mp3|docx?|xlsx?)\z"
-FINDER_ANCHOR = (
-    r"(?i)<a" + W1 + r"[^>]*href=[\"']([^\"']+)[\"'][^>]*>([\s\S]{0,120}?)</a>"
-)
+FINDER_ANCHOR_TAG = r"(?is)\A(?>.*?<a" + W1 + r").*href=[\"']([^\"']+)[\"']"
 
 VALID_URL = (
     r"(?i)\A(?:https?://)?(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?"

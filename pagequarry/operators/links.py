@@ -13,7 +13,7 @@ from ..functions.urls import (
 )
 from .page_facts import with_domain
 
-__all__ = ["normalize_urls", "valid_urls", "page_links", "rank_links", "score_links", "link_counts", "site_links_array", "scored_links"]
+__all__ = ["normalize_urls", "valid_urls", "page_links", "rank_links", "score_links", "link_counts", "site_links_array", "closed_anchors", "scored_links"]
 
 
 def normalize_urls(df: DataFrame, column: str = "url") -> DataFrame:
@@ -79,20 +79,66 @@ def rank_links(pages: DataFrame) -> DataFrame:
     return p.select("domain", "page_id", F.posexplode(priority_first(F.col("links"), F.col("domain"))).alias("rank", "url"))
 
 
-def scored_links(pages: DataFrame, keywords: list[str]) -> DataFrame:
-    """Adds ``scored``: same-site links, best contact candidates first, as array of
-    struct(neg_score, ord, url, anchor)."""
+def _without_tags(text: Column) -> Column:
+    """A blank for each tag.  Behind the last ``>`` there is none, so that part is not searched, however often it has ``<``."""
+    tail = F.substring_index(text, ">", -1)
+    return F.concat(F.regexp_replace(F.left(text, F.length(text) - F.length(tail)), r"<[^>]*>", " "), tail)
+
+
+def closed_anchors(html: Column, max_text: int | None = None) -> Column:
+    """Anchors with an ``href`` in page order, as array of struct(href, text); time is linear in the page.
+
+    A page is cut at ``</a>``; each part holds at most one anchor, which begins at its first start tag with a quoted ``href``
+    and takes the rest of the part as its text (markup included).  A tag ends at its first ``>`` and before any ``</a>``, so an
+    address that contains one of them, and a tag that does not end before ``</a>``, count as none.  With ``max_text`` only tags followed by at most so many characters begin an anchor.  Null
+    gives null, and a page without anchors an empty array.
+    """
+
+    def tags(pieces: Column) -> Column:
+        ended = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+        return F.struct(pieces.alias("pieces"), F.transform(ended, lambda t: extract(t, fv.FINDER_ANCHOR_TAG, 1)).alias("hrefs"))
+
+    def first(x: Column) -> Column:
+        hrefs, pieces = x["hrefs"], x["pieces"]
+        if max_text is None:
+            begins = F.transform(hrefs, lambda h: h != "")
+        else:
+            near = F.size(F.split(F.right(F.array_join(pieces, ">"), F.lit(max_text + 1)), ">")) - 1
+            begins = F.transform(F.arrays_zip(hrefs.alias("h")), lambda h, i: (h["h"] != "") & (i >= F.size(hrefs) - near))
+        return F.struct(x.alias("x"), F.array_position(begins, True).cast("int").alias("at"))
+
+    def anchor(y: Column) -> Column:
+        pieces = y["x"]["pieces"]
+        rest = F.slice(pieces, y["at"] + 1, F.size(pieces))
+        return F.struct(F.get(y["x"]["hrefs"], y["at"] - 1).alias("href"), F.array_join(rest, ">").alias("text"))
+
+    parts = F.split(html, "(?i)</a>")
+    closed = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    found = each(closed, lambda part: F.split(part, ">"), tags, first)
+    return F.transform(F.filter(found, lambda y: y["at"] > 0), anchor)
+
+
+def first_of_each(found: Column, key: str) -> Column:
+    """Of an array of structs the first one of each value of the field ``key``, as struct(key, ord, x), in order of the key.
+
+    Sorted once and compared with the neighbour: n log n, where a search per value takes the square.
+    """
+    keyed = F.transform(found, lambda x, i: F.struct(x[key].alias("key"), i.alias("ord"), x.alias("x")))
+    return let(F.array_sort(keyed), lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["key"] != x["key"])))
+
+
+def scored_links(pages: DataFrame, keywords: list[str], max_anchor: int | None = None) -> DataFrame:
+    """Adds ``scored``: same-site links, best contact candidates first, as array of struct(neg_score, ord, url).
+
+    Anchors may be of any length unless ``max_anchor`` limits them.
+    """
     keep = [c for c in pages.columns if c != "html"]
     words = [k for k in keywords if k]
-    tags = extract_all(F.col("html"), fv.FINDER_ANCHOR)
     p = pages.select(
         *keep, url_struct(F.col("url")).alias("base"),
         F.transform(
-            tags,
-            lambda t: F.struct(
-                trim_ws(extract(t, fv.FINDER_ANCHOR, 1)).alias("href"),
-                F.lower(F.regexp_replace(extract(t, fv.FINDER_ANCHOR, 2), r"<[^>]*>", " ")).alias("anchor"),
-            ),
+            closed_anchors(F.col("html"), max_anchor),
+            lambda t: F.struct(trim_ws(t["href"]).alias("href"), F.lower(_without_tags(t["text"])).alias("anchor")),
         ).alias("tags"),
     )
     p = p.withColumn("targets", resolve_links(F.col("base"), F.transform("tags", lambda t: t["href"])))
@@ -103,11 +149,6 @@ def scored_links(pages: DataFrame, keywords: list[str]) -> DataFrame:
 
     p = p.withColumn("found", F.zip_with("tags", "targets", link))
     p = p.withColumn("found", F.filter("found", lambda x: x.isNotNull() & ~x["url"].rlike(fv.FILE_LINK)))
-    # of each url the first occurrence counts
-    p = p.withColumn("urls", F.array_distinct(F.transform("found", lambda x: x["url"])))
-
-    def first(u: Column, i: Column) -> Column:
-        return F.struct(i.alias("ord"), F.element_at(F.filter("found", lambda f: f["url"] == u), 1).alias("x"))
 
     def scored(e: Column) -> Column:
         x = e["x"]
@@ -119,13 +160,13 @@ def scored_links(pages: DataFrame, keywords: list[str]) -> DataFrame:
         )
         return F.struct((-score).alias("neg_score"), e["ord"].alias("ord"), x["url"].alias("url"))
 
-    return p.select(*keep, F.array_sort(each(F.transform("urls", first), scored)).alias("scored"))
+    return p.select(*keep, F.array_sort(F.transform(first_of_each(F.col("found"), "url"), scored)).alias("scored"))
 
 
-def score_links(pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
+def score_links(pages: DataFrame, keywords: list[str] | None = None, max_anchor: int | None = None) -> DataFrame:
     """Same-site links of each page with the contact score and rank."""
     words = [k.strip().lower() for k in (keywords or []) if k.strip()]
-    p = scored_links(with_domain(pages).select("domain", "page_id", "url", "html"), words)
+    p = scored_links(with_domain(pages).select("domain", "page_id", "url", "html"), words, max_anchor)
     p = p.select("domain", "page_id", F.posexplode("scored").alias("rank", "l"))
     return p.select("domain", "page_id", "rank", "l.url", (-F.col("l.neg_score")).alias("score"))
 

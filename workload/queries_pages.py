@@ -53,6 +53,20 @@ def scored_links(spark, sf):
     return links.score_links(pages_site(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+#: Anchors of several hundred characters, repeated targets, an anchor that is not closed, names without address.
+_LONG_ANCHORS = """concat(html, '<a name="n">plan</a><a class="w" href="/offer/', CAST(page_id % 5 AS STRING), '?x=1"><b>', repeat('Widget prices <i>and more</i> ', 10 + CAST(abs(page_id) % 40 AS INT)),
+  CASE WHEN page_id % 2 = 0 THEN 'Tariffs' ELSE '' END, '</b></a><a href="/offer/', CAST(page_id % 5 AS STRING), '">Contact</a>',
+  CASE WHEN page_id % 3 = 0 THEN '<a href="/open/1"><A HREF="/tariffs/2">Shut</A><a href=''/z/y/x''>Tariffs 1 > 0</a>' ELSE '' END, '<a href="/never-closed">Tariffs')"""
+
+
+@query(st.with_(f"pages_long AS (SELECT page_id, url, host, {_LONG_ANCHORS} AS html FROM pages_site)",
+                st.scored_cte("pages_long", r"[\s\S]*?", ("tariffs", "report"))) + "SELECT host AS domain, page_id, rank, link AS url, CAST(score AS DOUBLE) AS score FROM scored")
+def keyword_scored_links(spark, sf):
+    """Links scored with keywords, anchors of any length."""
+    pages = pages_site(spark, sf).withColumn("html", F.expr(_LONG_ANCHORS.replace("''/z/y/x''", "\\'/z/y/x\\'")))
+    return links.score_links(pages, [" Tariffs ", "report", ""]).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(st.with_(st.MARKUP_CTE, st.LINKS_CTE) + """SELECT p.host AS domain, p.page_id, count(link) FILTER (thost = p.host OR thost LIKE concat('%.', p.host)) AS internal_links,
   count(link) FILTER (NOT (thost = p.host OR thost LIKE concat('%.', p.host))) AS external_links
   FROM pages_site p LEFT JOIN links l ON p.page_id = l.page_id GROUP BY p.host, p.page_id""")

@@ -146,13 +146,19 @@ visits AS (
 """
 
 _HINTS = "|".join(fv.CONTACT_HINTS)
-SCORED_CTE = rf"""
+
+
+def scored_cte(pages: str = "pages_site", text: str = r"[\s\S]{0,120}?", words: tuple[str, ...] = ()) -> str:
+    """Same-site links with the score of a contact search; ``text`` is the pattern of an anchor's text."""
+    paths = "|".join((_HINTS, *words))
+    extra = f" + CASE WHEN regexp_matches(anchor, '{'|'.join(words)}') THEN 4.0 ELSE 0.0 END" if words else ""
+    return rf"""
 tags AS (
   SELECT page_id, host, url, unnest(hs) AS raw, unnest(ts) AS anchor, generate_subscripts(hs, 1) AS n FROM (
     SELECT page_id, host, url,
-      regexp_extract_all(html, '(?i)<a\b[^>]*href=["'']([^"'']+)["''][^>]*>([\s\S]{{0,120}}?)</a>', 1) AS hs,
-      regexp_extract_all(html, '(?i)<a\b[^>]*href=["'']([^"'']+)["''][^>]*>([\s\S]{{0,120}}?)</a>', 2) AS ts
-    FROM pages_site)),
+      regexp_extract_all(html, '(?i)<a\b[^>]*href=["'']([^"'']+)["''][^>]*>({text})</a>', 1) AS hs,
+      regexp_extract_all(html, '(?i)<a\b[^>]*href=["'']([^"'']+)["''][^>]*>({text})</a>', 2) AS ts
+    FROM {pages})),
 absolute AS (
   SELECT *, CASE WHEN href LIKE 'http%' THEN href ELSE concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), href) END AS target
   FROM (SELECT *, {trim('raw')} AS href FROM tags)
@@ -167,10 +173,13 @@ firsts AS (
   WHERE NOT regexp_matches(link, '(?i)\.(?:pdf|zip|jpe?g|png|gif|svg|webp|mp4|mp3|docx?|xlsx?)$')),
 scored AS (
   SELECT page_id, host, link, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, n) - 1 AS rank FROM (
-    SELECT *, CASE WHEN regexp_matches(lower(path), '{_HINTS}') THEN 10.0 ELSE 0.0 END + CASE WHEN regexp_matches(anchor, '{_HINTS}') THEN 6.0 ELSE 0.0 END
+    SELECT *, CASE WHEN regexp_matches(lower(path), '{paths}') THEN 10.0 ELSE 0.0 END + CASE WHEN regexp_matches(anchor, '{_HINTS}') THEN 6.0 ELSE 0.0 END{extra}
               - (length(link) - length(replace(link, '/', '')) - 2) * 0.5 AS score
     FROM firsts WHERE k = 1))
 """
+
+
+SCORED_CTE = scored_cte()
 _FSEEDS = ", ".join(f"({i}, {q(p)})" for i, p in enumerate(fv.FINDER_SEED_PATHS))
 FINDER_CTE = f"""
 keys AS (SELECT {PAGE_KEY} AS key, min(page_id) AS page_id FROM pages_site GROUP BY 1),
