@@ -13,6 +13,7 @@ from ..operators.page_facts import (
     is_profile_page, looks_like_business_address,
 )
 from ..operators.phones import dedupe_phones, extract_phones
+from ..operators.ranks import rows_in_order
 from ..session import materialize
 from .walk import finder_pages
 
@@ -142,8 +143,7 @@ def category_values(finder: DataFrame) -> DataFrame:
     return finder.select("category").filter((F.col("category") != "") & (F.col("category") != fv.NO_CATEGORY)).distinct()
 
 
-def paginate(df: DataFrame, key: str, page: int, size: int) -> DataFrame:
-    """Page ``page`` (from 0) of a table in key order; past the end it is the last page."""
-    total = df.count()
-    last = max(0, -(-total // size) - 1)
-    return df.orderBy(key).offset(min(page, last) * size).limit(size)
+def paginate(df: DataFrame, key: str, page: int, size: int, **ranges: int) -> DataFrame:
+    """Page ``page`` (from 0) of a table in key order; past the end it is the last page.  ``ranges``: see ``rows_in_order``."""
+    last = max(0, -(-df.count() // size) - 1)
+    return rows_in_order(df, [key], min(page, last) * size, size, **ranges)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import fixed_values as fv
 from pagequarry.operators import emails as em
+from pagequarry.operators.ranks import rows_in_order
 from pagequarry.plans import extractor, finder, walk
 from pagequarry.session import materialize, shared_folder
 from pagequarry.sources import sinks
@@ -209,6 +210,14 @@ def profile_page(spark, sf):
     return finder.paginate(finder_table(spark, sf).select("domain"), "domain", 1, 10)
 
 
+@query("""SELECT l_extendedprice, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS place, count(*) OVER () AS n FROM lineitem)
+  WHERE place >= n // 3 AND place < n // 3 + 250""")
+def lineitem_page(spark, sf):
+    """250 order lines a third of the way down the order of their prices."""
+    lines = table(spark, sf, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber")
+    return rows_in_order(lines, lines.columns, lines.count() // 3, 250)
+
+
 @query("SELECT DISTINCT p_type AS category FROM part WHERE p_type NOT IN ('', '—')")
 def category_values(spark, sf):
     """Distinct categories of a results table (here the part types stand in for sectors)."""
