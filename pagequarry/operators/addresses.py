@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.addresses import (
-    JOIN_STEPS, finalize_addresses, greedy_spans, has_address_word, mined, walked_back,
+    JOIN_STEPS, address_key, address_substance, clean_address, finalize_addresses, greedy_spans, has_address_word, mined, walked_back,
 )
 from ..functions.html import body_of, lines_of, marked, raw_attr, strip_tags, text_of_marked
 from ..functions.text import blank_to_null, decode_entities, each, extract, squeeze, trim_ws
+from ..session import materialize
 from .page_facts import with_domain
 
-__all__ = ["page_containers", "extract_addresses"]
+__all__ = ["page_containers", "extract_addresses", "distinct_addresses"]
+
+#: Length of the character runs that addresses are looked up by; a key has at least six letters.
+GRAM = 6
+
 
 @lru_cache(maxsize=1)
 def _containers_udf():
@@ -150,3 +155,34 @@ def extract_addresses(pages: DataFrame) -> DataFrame:
     page_mined = F.when(has_address_word(F.col("lines")), mined(F.col("lines"))).otherwise(none)
     p = p.withColumn("found", F.concat("declared", greedy_spans(F.col("blocks")), per_block, page_mined, walked_back(F.col("lines"))))
     return p.select(*keys, F.posexplode(finalize_addresses(F.col("found"))).alias("ord", "address"))
+
+
+def distinct_addresses(lines: DataFrame, by: list[str], order: list[str], address: str = "address") -> DataFrame:
+    """One row per address of a group: ``by`` columns and ``address``; the rules of ``finalize_addresses`` for groups of any size.
+
+    Lines are cleaned, and those without the substance of an address (null too) go.  Of lines with equal keys the longest stays,
+    the first by ``order`` among equally long ones.  An address whose key lies inside a longer key of its group goes.  Groups
+    with null columns are groups.  Other columns are dropped.
+
+    No pairs of a group are listed: an address is looked up by its rarest run of six characters, through an equi-join with the
+    runs of the others, and compared with those only.  Runs are counted by group *and* run, so a group with a third of all rows
+    is spread; the join carries at most one row per character of the distinct keys, which have a fixed greatest length.
+    """
+    cleaned = lines.select(F.struct(*by).alias("__by"), F.struct(*order).alias("__order"), clean_address(F.col(address)).alias("__text"))
+    real = cleaned.where(address_substance(F.col("__text"))).withColumn("__key", address_key(F.col("__text")))
+    keyed = real.groupBy("__by", "__key").agg(F.min_by("__text", F.struct(-F.length("__text"), "__order")).alias("__text"))
+    keyed = materialize(keyed, "address-keys")
+
+    starts = F.sequence(F.lit(1), F.greatest(F.length("__key") - (GRAM - 1), F.lit(1)))
+    runs = F.array_distinct(F.transform(starts, lambda i: F.substring("__key", i, F.lit(GRAM))))
+    grams = keyed.select("__by", "__key", F.explode(runs).alias("__gram"))
+    counts = grams.groupBy("__by", "__gram").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    # a key with a run of its own lies in no other one
+    shared = grams.join(counts, ["__by", "__gram"], "left").groupBy("__by", "__key").agg(
+        F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"), F.bool_or(F.col("__n").isNull()).alias("__own")
+    )
+    asked = shared.where(~F.col("__own")).select("__by", "__gram", F.col("__key").alias("__inner"))
+    longer = (F.length("__key") > F.length("__inner")) & F.contains("__key", "__inner")
+    inside = asked.join(grams, ["__by", "__gram"]).where(longer).select("__by", F.col("__inner").alias("__key")).distinct()
+    kept = keyed.join(inside, ["__by", "__key"], "left_anti")
+    return kept.select("__by.*", F.col("__text").alias(address))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import fixed_values as fv
 from pagequarry.functions.addresses import clean_address, join_address_parts, plausible_address
 from pagequarry.functions.text import squeeze, trim_ws
+from pagequarry.operators import addresses
 from pagequarry.operators import campaigns as ca
 from pagequarry.operators import emails as em
 from pagequarry.operators import page_facts, phones, verify
@@ -532,3 +533,19 @@ def fetch_outcomes(spark, sf):
     n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
     log = e.select(F.col("user_id").alias("url"), n.alias("attempt"), F.expr(_HTTP).alias("status"), F.col("ts").alias("at"))
     return page_facts.resolve_fetch_log(log).select("url", "outcome", "status", F.col("attempts").cast("bigint").alias("attempts"))
+
+
+#: Addresses of customers: house numbers, suites and cities that lie inside one another, half of them of one nation.
+_HOME = """concat(CASE WHEN c_custkey % 4 = 0 THEN 'Address: ' ELSE '' END, CAST(c_custkey % 997 AS STRING), CASE WHEN c_custkey % 3 = 0 THEN ' Main Street' ELSE ' Mill  Lane' END,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat(', Suite ', CAST(c_custkey % 23 AS STRING)) END, CASE WHEN c_custkey % 7 < 3 THEN ', Springfield' WHEN c_custkey % 7 < 5 THEN ' SPRINGFIELD, IL 62704' ELSE '' END)"""
+_HOME_GROUP = "CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE c_nationkey END"
+
+
+@query(rf"""WITH homes AS (SELECT {_HOME_GROUP} AS nation, c_custkey, regexp_replace(regexp_replace({_HOME}, '^Address: ', ''), ' +', ' ', 'g') AS address FROM customer),
+keyed AS (SELECT nation, key, arg_min(address, lpad(CAST(999 - length(address) AS VARCHAR), 4, '0') || lpad(CAST(c_custkey AS VARCHAR), 12, '0')) AS address FROM (
+  SELECT *, trim(regexp_replace(lower(address), '[^a-z0-9]+', ' ', 'g')) AS key FROM homes) GROUP BY nation, key)
+SELECT nation, address FROM keyed e WHERE NOT EXISTS (SELECT 1 FROM keyed o WHERE o.nation = e.nation AND length(o.key) > length(e.key) AND contains(o.key, e.key))""")
+def nation_addresses(spark, sf):
+    """Addresses per nation, none inside another."""
+    homes = table(spark, sf, "customer").select(F.expr(_HOME_GROUP).alias("nation"), "c_custkey", F.expr(_HOME).alias("address"))
+    return addresses.distinct_addresses(homes, ["nation"], ["c_custkey"])
