@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.addresses import finalize_addresses
-from ..operators.addresses import extract_addresses
+from ..operators.addresses import distinct_addresses, extract_addresses
 from ..operators.emails import extract_emails
 from ..operators.page_facts import (
     clean_keywords, detect_tech, extract_metadata, extract_seo, extract_social, match_keywords,
@@ -108,8 +107,9 @@ def site_records(
     lines = extract_addresses(p).select("domain", "page_ord", F.lit(0).alias("source"), "ord", "address").unionByName(
         s.select("domain", "page_ord", F.lit(1).alias("source"), F.posexplode("addresses").alias("ord", "address"))
     )
-    addresses = lines.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("page_ord", "source", "ord", "address"))).alias("a"))
-    addresses = addresses.select("domain", finalize_addresses(F.transform("a", lambda x: x["address"])).alias("addresses"))
+    kept = distinct_addresses(lines, ["domain"], ["page_ord", "source", "ord"])
+    addresses = kept.groupBy("domain").agg(F.array_sort(F.collect_list(F.collate("address", "UNICODE"))).alias("a"))
+    addresses = addresses.select("domain", F.transform("a", lambda x: F.collate(x, "UTF8_BINARY")).alias("addresses"))
 
     meta = extract_metadata(p).join(keyed, ["domain", "page_id"]).groupBy("domain").agg(
         F.min_by(F.struct("title", "description"), "page_ord").alias("metadata")
