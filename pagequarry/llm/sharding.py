@@ -2,15 +2,17 @@
 
 The ring has ``2**ring_bits`` cells; every shard owns ``vnodes`` of them, and a key belongs to the first owned cell
 clockwise of its own cell.  A shard takes keys up to its capacity; the keys of a cell that do not fit go on to the next
-shards clockwise, so no shard can be over its capacity and only overflow moves.  Within a cell, keys are served in hash
-order, which makes the result independent of partitioning.
+shards clockwise, so no shard can be over its capacity and only overflow moves.  Within a cell, rows are served by part and
+then in hash order, which makes the result independent of partitioning.
 
-The driver sees one number per cell (at most ``2**ring_bits`` rows, whatever the input); ranks are taken per cell, and
-cells are thousands of times smaller than the table.
+The driver sees one number per cell (at most ``2**ring_bits`` rows, whatever the input).  A cell has ``PARTS`` parts by the hash
+of key and ``tie_columns``; ranks are taken within a part and added to the rows of the parts before it.  So the rows of one key,
+or of no key, are spread over parts as long as they differ in a tie column; rows equal in key and all tie columns share one.
 
 Edge cases: a null key is placed by the hash of the empty string; rows with equal keys share a cell and get different
 slots (ties are broken by ``tie_columns``, then arbitrarily between rows that are equal in all of them); an empty table
-gives an empty result; input columns called ``shard`` or ``slot`` are replaced, all others are kept.
+gives an empty result; very long texts are carried as they are; input columns called ``shard`` or ``slot`` are replaced, all
+others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,11 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: Parts of a ring cell that are ranked apart.
+PARTS = 32
+
 
 def ring_cell(key: Column, ring_bits: int) -> Column:
     """The ring cell of a key: the leading bits of its MD5."""
@@ -89,18 +96,26 @@ def assign_shards(
     """Add ``shard int`` and ``slot long`` (gapless from 0 within a shard) to every row of ``df``."""
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    celled = df.select(*kept, ring_cell(F.col(f"`{key}`"), ring_bits).alias("__cell"))
-    counts = {r["__cell"]: r["n"] for r in celled.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pieces = spark.createDataFrame(
-        place(counts, shards, vnodes, ring_bits, slack), "__cell int, __from long, __to long, shard int, __first long",
+    ties = [F.col(f"`{c}`") for c in (key, *tie_columns)]
+    celled = df.select(
+        ring_cell(ties[0], ring_bits).alias("cell"), F.pmod(F.xxhash64(*ties), F.lit(PARTS)).cast("int").alias("part"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
     )
-    in_cell = Window.partitionBy("__cell").orderBy(
-        F.xxhash64(F.col(f"`{key}`")), F.col(f"`{key}`"), *(F.col(f"`{c}`") for c in tie_columns),
+    # bounded by the ring and the parts, not by the table
+    sizes = materialize(celled.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n")), "cell-sizes")
+    counts = {r["cell"]: r["n"] for r in sizes.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    pieces = spark.createDataFrame(
+        place(counts, shards, vnodes, ring_bits, slack), "cell int, start long, end long, shard int, first long",
     )
-    ranked = celled.withColumn("__rank", F.row_number().over(in_cell) - 1)
+    before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("cell", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = [F.col("row").getField(c) for c in (key, *tie_columns)]
+    in_part = F.row_number().over(Window.partitionBy("cell", "part").orderBy(F.xxhash64(own[0]), *own)) - 1
+    ranked = celled.select("cell", "part", "row", in_part.alias("rank")).join(offsets, ["cell", "part"])
+    ranked = ranked.select("cell", "row", (F.col("rank") + F.col("offset")).alias("rank"))
     # the pieces are bounded by the ring and the shards, not by the table
     return (
-        ranked.join(F.broadcast(pieces), "__cell")
-        .where("__rank >= __from and __rank < __to")
-        .select(*kept, "shard", (F.col("__first") + F.col("__rank") - F.col("__from")).alias("slot"))
+        ranked.join(F.broadcast(pieces), "cell")
+        .where("rank >= start and rank < end")
+        .select("row.*", "shard", (F.col("first") + F.col("rank") - F.col("start")).alias("slot"))
     )

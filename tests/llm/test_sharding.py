@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from pagequarry.llm import queries, sharding
 
 from .conftest import ODD
@@ -54,6 +56,29 @@ def test_movement_is_limited_with_slack(spark):
     assert sum(a[k] != b[k] for k in a) < 0.3 * len(a)
 
 
+def test_a_key_with_half_of_the_rows_is_spread(spark):
+    half = F.when(F.col("id") % 2 == 0, F.lit(7)).when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id"))
+    df = spark.range(6_000).select(half.alias("k"), F.col("id").alias("tie"), F.lit("a").alias("cell"), F.lit("b").alias("row"), F.lit("c").alias("__rank"))
+    out = sharding.assign_shards(df, "k", 9, tie_columns=("tie",))
+    assert out.columns == ["k", "tie", "cell", "row", "__rank", "shard", "slot"]
+    rows = out.collect()
+    assert sorted(r.tie for r in rows) == list(range(6_000))
+    per = Counter(r.shard for r in rows)
+    assert max(per.values()) - min(per.values()) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(per[s])) for s in per)
+    # the same rows from other partitions give the same places
+    again = sharding.assign_shards(df.repartition(13, "tie"), "k", 9, tie_columns=("tie",)).collect()
+    assert {r.tie: (r.shard, r.slot) for r in rows} == {r.tie: (r.shard, r.slot) for r in again}
+    parts = Counter(r.p for r in df.where("k = 7").select(F.pmod(F.xxhash64("k", "tie"), F.lit(sharding.PARTS)).alias("p")).collect())
+    assert len(parts) == sharding.PARTS and max(parts.values()) < 200
+
+
+def test_movement_without_slack(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    a, b = ({r.k: r.shard for r in sharding.assign_shards(df, "k", n).collect()} for n in (40, 41))
+    assert sum(a[k] != b[k] for k in a) < 0.1 * len(a)
+
+
 def test_odd_rows_and_clashing_columns(docs_of):
     df = docs_of(ODD).withColumnRenamed("source", "shard").withColumnRenamed("lang", "slot")
     out = sharding.assign_shards(df, "doc_id", 4)
