@@ -42,3 +42,9 @@ def test_one_site_of_50_000(spark):
     # a house number that ends a longer one lies inside it, so of 0 to 49,999 those of five digits stay
     assert sorted(int(r.address.split()[0]) for r in got) == [*range(10_000, n)]
     assert time.monotonic() - began < 60
+
+
+def test_runs_are_not_broadcast(spark):
+    rows = [("a.org", i, f"{i} Main Street, Springfield") for i in range(200)]
+    plan = distinct_addresses(spark.createDataFrame(rows, SCHEMA), ["site"], ["ord"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -547,5 +547,6 @@ keyed AS (SELECT nation, key, arg_min(address, lpad(CAST(999 - length(address) A
 SELECT nation, address FROM keyed e WHERE NOT EXISTS (SELECT 1 FROM keyed o WHERE o.nation = e.nation AND length(o.key) > length(e.key) AND contains(o.key, e.key))""")
 def nation_addresses(spark, sf):
     """Addresses per nation, none inside another."""
-    homes = table(spark, sf, "customer").select(F.expr(_HOME_GROUP).alias("nation"), "c_custkey", F.expr(_HOME).alias("address"))
+    customers = readers.spread(table(spark, sf, "customer"), "c_custkey")
+    homes = customers.select(F.expr(_HOME_GROUP).alias("nation"), "c_custkey", F.expr(_HOME).alias("address"))
     return addresses.distinct_addresses(homes, ["nation"], ["c_custkey"])
