@@ -39,19 +39,23 @@ MANIFEST = "part int, n_docs long, n_tokens long, n_sequences long"
 _WHITE = r"\x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000} "
 _JOINED_SPACE = f"[{_WHITE}] | [{_WHITE}]"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Words that do not both begin and end with a visible character.
+_EDGE = f"^[{_WHITE}]|[{_WHITE}]$|^$"
 
 
 class CachedTokenizer:
-    """Token ids of texts by the ``tokenizers`` library, with the ids of short space-led pieces kept.
+    """Token ids of texts by the ``tokenizers`` library, with the ids of short pieces kept.
 
     The pre-tokenizer of byte-level BPE ends a piece before a space that stands between two visible characters, and merges
     never cross pieces, so the ids of a text are those of its parts between such spaces, one after another.  For the same
     reason all unknown pieces of some texts can be encoded as one text: as a token of byte-level BPE says how many bytes it
-    stands for, its ids fall apart into those of the pieces.  Kept pieces are in two generations of at most ``cached``: when
-    the young one is full, it takes the place of the old one.
+    stands for, its ids fall apart into those of the pieces.  Kept words lie in one Arrow array and are looked up by Arrow;
+    when there would be more than ``cached`` of them, those of the last texts take their place.  The few other pieces (a
+    text's first word, pieces with joined white space) are in two generations of at most ``other``: when the young one is
+    full, it takes the place of the old one.
     """
 
-    def __init__(self, path: str, end_id: int, cached: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, end_id: int, cached: int = 600_000, other: int = 100_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -65,7 +69,8 @@ class CachedTokenizer:
         self.end_id = end_id
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.cached, self.longest = cached, longest
+        self.cached, self.other, self.longest = cached, other, longest
+        self.words, self.ids, self.widths = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
 
     def _packed(self, ids) -> bytes:
         return np.asarray(ids, np.int64).astype(self.dtype).tobytes()
@@ -73,33 +78,44 @@ class CachedTokenizer:
     def _alone(self, pieces: list[str]) -> list[bytes]:
         return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces that all begin with a space before a visible character and end with one."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.cumsum(np.asarray(pc.binary_length(pa.array(pieces, pa.string()))), dtype=np.int64)
-        stops = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.dtype.itemsize).tolist()
-        packed = self._packed(ids)
-        return [packed[a:b] for a, b in zip([0, *stops], stops)]
+    def _together(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that begin and end with a visible character, each led by a space, and how many each has."""
+        joined = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(np.asarray(pc.binary_length(words)) + 1, dtype=np.int64)
+        stops = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+        return ids.astype(self.dtype), np.diff(stops, prepend=0)
+
+    def _spaced(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Some ids, and where among them those of distinct words (as ``_together`` takes them) start, and how many each has."""
+        place = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
+        new = np.nonzero(place < 0)[0]
+        ids, widths = self.ids, self.widths
+        if len(new):
+            place[new] = len(widths) + np.arange(len(new))
+            fresh = words.take(pa.array(new))
+            ids, widths = map(np.concatenate, zip((ids, widths), self._together(fresh)))
+            starts = np.cumsum(widths) - widths
+            known = pa.concat_arrays([self.words, fresh])
+            keep = pc.less_equal(pc.binary_length(known), self.longest)
+            if len(known) > self.cached:
+                here = np.zeros(len(known), bool)
+                here[place] = True
+                keep = pc.and_(keep, pa.array(here))
+            kept = np.asarray(keep)
+            self.words, self.widths = known.filter(keep), widths[kept]
+            self.ids = ids[_ragged(starts[kept], self.widths)]
+        return ids, (np.cumsum(widths) - widths)[place], widths[place]
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces, each on its own."""
-        young = self.young
-        out = list(map(young.get, pieces))
-        missing = [(i, pieces[i]) for i, ids in enumerate(out) if ids is None]
-        aged = [(p, ids) for _, p in missing if (ids := self.old.get(p)) is not None]
-        fresh = dict(aged)
-        new = [p for _, p in missing if p not in fresh]
-        inner = [p for p in new if p[:1] == " " and not p[1:2].isspace() and not p[-1].isspace()]
-        if inner:
-            fresh.update(zip(inner, self._together(inner)))
-        edges = [p for p in new if p not in fresh]
-        fresh.update(zip(edges, self._alone(edges)))
-        for i, p in missing:
-            out[i] = fresh[p]
-        young.update((p, ids) for p, ids in fresh.items() if len(p) <= self.longest)
-        if len(young) > self.cached:
-            self.young, self.old = {}, young
-        return out
+        out = {p: ids for p in pieces if (ids := self.young.get(p) or self.old.get(p)) is not None}
+        new = [p for p in pieces if p not in out]
+        out.update(zip(new, self._alone(new)))
+        self.young.update((p, ids) for p, ids in out.items() if len(p) <= self.longest)
+        if len(self.young) > self.other:
+            self.young, self.old = {}, self.young
+        return [out[p] for p in pieces]
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, one after another, and their counts."""
@@ -108,32 +124,45 @@ class CachedTokenizer:
         split = pc.split_pattern(plain, " ")
         cuts = np.asarray(split.offsets, dtype=np.int64) - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        words, numbers = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
+        numbers = np.asarray(coded.indices, dtype=np.int64)
         firsts = cuts[:-1]  # a text's first word has no space before it
         lead = pc.take(coded.dictionary, pa.array(numbers[firsts])).dictionary_encode()
-        numbers[firsts] = len(words) + np.asarray(lead.indices, dtype=np.int64)
         leading = lead.dictionary.to_pylist()
         odd_pieces = [_CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
         known = dict.fromkeys(p for ps in odd_pieces for p in ps)
+        spaced = [p for p in known if p[:1] == " " and not p[1:2].isspace() and not p[-1].isspace()]
+        words = pa.concat_arrays([coded.dictionary, pa.array([p[1:] for p in spaced], pa.string())])
+        known.update(zip(spaced, range(len(coded.dictionary), len(words))))
+        edge = np.asarray(pc.match_substring_regex(words, _EDGE))
+        alone = [f" {w}" for w in words.filter(pa.array(edge)).to_pylist()]
+        rest = [p for p, number in known.items() if number is None]
         # the end of a text is a piece of its own
-        packed = [*self.pieces([f" {w}" for w in words]), *self.pieces(leading), self._packed([self.end_id])]
-        known = dict(zip(known, range(len(packed), len(packed) + len(known))))
-        packed += self.pieces(list(known))
+        packed = [*self.pieces(alone), *self.pieces(leading), self._packed([self.end_id]), *self.pieces(rest)]
+        ids, spaced_starts, spaced_widths = self._spaced(words.filter(pa.array(~edge)))
+        other_widths = np.array([len(p) for p in packed], np.int64) // self.dtype.itemsize
+        other_starts = len(ids) + np.cumsum(other_widths) - other_widths
+        flat = np.concatenate([ids, np.frombuffer(b"".join(packed), self.dtype)])
+        # pieces by number: words, first words, the end, other pieces of odd texts
+        starts_of, widths_of = (np.concatenate([np.zeros(len(words), np.int64), x[len(alone):]]) for x in (other_starts, other_widths))
+        inner = np.nonzero(~edge)[0]
+        starts_of[inner], widths_of[inner] = spaced_starts, spaced_widths
+        starts_of[np.nonzero(edge)[0]], widths_of[np.nonzero(edge)[0]] = other_starts[:len(alone)], other_widths[:len(alone)]
+        end = len(words) + len(leading)
+        known.update(zip(rest, range(end + 1, end + 1 + len(rest))))
+        numbers[firsts] = len(words) + np.asarray(lead.indices, dtype=np.int64)
         sizes = np.diff(cuts)
         pieces_in = np.zeros(len(texts), np.int64)
         pieces_in[~odd] = sizes
         pieces_in[odd] = [len(ps) for ps in odd_pieces]
         starts = np.cumsum(pieces_in + 1) - pieces_in - 1
-        order = np.full(int(pieces_in.sum()) + len(texts), len(words) + len(leading), np.int64)
+        order = np.full(int(pieces_in.sum()) + len(texts), end, np.int64)
         for rows, values, counts in (
             (~odd, numbers, sizes), (odd, np.array([known[p] for ps in odd_pieces for p in ps], np.int64), pieces_in[odd]),
         ):
             order[_ragged(starts[rows], counts)] = values
-        widths = np.array([len(p) for p in packed], np.int64) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(packed), self.dtype)
-        ids = flat[_ragged((np.cumsum(widths) - widths)[order], widths[order])]
-        totals = np.concatenate([[0], np.cumsum(widths[order])])
-        return ids, totals[starts + pieces_in + 1] - totals[starts]
+        ordered = widths_of[order]
+        totals = np.concatenate([[0], np.cumsum(ordered)])
+        return flat[_ragged(starts_of[order], ordered)], totals[starts + pieces_in + 1] - totals[starts]
 
 
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -62,6 +62,14 @@ def test_special_strings_and_long_pieces(tokenizer):
             assert encoded(encoder, [text, "x", text]) == [plain(tokenizer, t) for t in (text, "x", text)]
 
 
+def test_words_are_kept_in_arrow_and_replaced(tokenizer):
+    encoder = token_files.CachedTokenizer(queries.bpe_path(), 2, cached=6)
+    for text, kept in (("x ab cd ab", {"ab", "cd", "x"}), ("x ef  gh cd ij", {"ab", "cd", "x", "ef  gh", "ij"}), ("x kl mn", {"kl", "mn", "x"}), ("x ab kl", {"kl", "mn", "x", "ab"})):
+        assert encoded(encoder, [text]) == [plain(tokenizer, text)]
+        assert set(encoder.words.to_pylist()) <= kept | {"x"} and len(encoder.words) <= 6
+    assert {"kl", "ab"} <= set(encoder.words.to_pylist())
+
+
 def write(spark, docs, **options):
     folder = shared_folder(spark, "test-tokens")
     token_files.write_token_files(docs, folder, queries.bpe_path(), 2, **options)
