@@ -1,7 +1,9 @@
 """Keywords by the table: the automaton against one replacement per keyword."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from pagequarry.operators import page_facts
 from pagequarry.operators.page_facts import match_keyword_table, match_keywords
 
 WORDS = ["aa", "Aa", "a", "ab", "bab", "straße", "ñandú", "one two", "x" * 30, "  padded ", "missing"]
@@ -37,3 +39,12 @@ def test_ten_thousand_keywords_are_one_pass(spark):
     found = match_keyword_table(texts, words, "text")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
     assert found.count() == 2_000 and found.agg(F.max("count")).first()[0] == 1
+
+
+def test_hits_leave_a_batch_in_bounded_parts():
+    texts = pd.DataFrame({"id": range(3_000), "t": [f"Aa b{i} cc aa" for i in range(3_000)], "lo": [f"aa b{i} cc aa" for i in range(3_000)]})
+    words = {w: [w] for w in ("aa", "b", "cc", "a", "c", " ", " c", "aa b", "c a", "zz")}
+    parts = list(page_facts._scanner(words)(iter([texts, texts[:0]])))
+    assert sum(map(len, parts)) == 9 * 3_000 and max(map(len, parts)) < page_facts.KEYWORD_HITS + len(words)
+    got = pd.concat(parts)
+    assert got.groupby("id").size().eq(9).all() and set(got.loc[got["keyword"] == "a", "count"]) == {4}
