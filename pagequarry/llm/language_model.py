@@ -24,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -42,18 +44,33 @@ BATCH_BYTES = 4_000_000
 _ROWS = "batch binary, shard int, words binary, counts binary"
 
 
+def _tokens(texts: list[bytes | None]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of all texts, each with the end token, one after another, and how many each text has."""
+    # Arrow lowers and splits by ASCII alone, so any bytes will do for a string; the end token is white space, so it is put in after
+    raw = pa.array([t or b"" for t in texts], pa.large_binary())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(raw.view(pa.large_string())))
+    cuts = np.asarray(split.offsets, dtype=np.int64)
+    flat = split.flatten().view(pa.large_binary())
+    full = np.asarray(pc.binary_length(flat)) > 0  # white space at the ends of a text leaves empty words
+    sizes = np.diff(np.concatenate([[0], np.cumsum(full)])[cuts]) + 1
+    index = np.full(int(sizes.sum()), len(flat), np.int64)
+    last = np.zeros(len(index), bool)
+    last[np.cumsum(sizes) - 1] = True
+    index[~last] = np.nonzero(full)[0]
+    return pa.concat_arrays([flat, pa.array([END], pa.large_binary())]).take(pa.array(index)), sizes
+
+
 class _Batch:
     """The tokens of some documents by local word number (words in byte order)."""
 
     def __init__(self, ids: list, train: list[bool], texts: list[bytes | None]):
-        docs = [(t or b"").lower().split() for t in texts]
-        numbers: dict[bytes, int] = {END: 0}
-        flat = np.fromiter((numbers.setdefault(w, len(numbers)) for d in docs for w in (*d, END)), np.int64)
-        self.words = sorted(numbers)
-        place = np.empty(len(self.words), np.int64)
-        place[[numbers[w] for w in self.words]] = np.arange(len(self.words))
-        self.tokens = place[flat] if len(flat) else flat
-        self.sizes = np.array([len(d) + 1 for d in docs])
+        words, self.sizes = _tokens(texts)
+        coded = words.dictionary_encode()
+        order = pc.array_sort_indices(coded.dictionary)
+        self.words = coded.dictionary.take(order).to_pylist()
+        place = np.empty(len(order), np.int64)
+        place[np.asarray(order)] = np.arange(len(order))
+        self.tokens = place[np.asarray(coded.indices)]
         self.ids, self.train = ids, np.array(train, bool)
         self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
         self.key = xxhash.xxh128_digest(repr((ids, [len(t or b"") for t in texts], xxhash.xxh64_intdigest(b"\0".join(t or b"" for t in texts)))))

@@ -82,3 +82,13 @@ def test_nul_is_a_letter(docs_of):
         out = lm.score_documents(df, **kw).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
         same([tuple(r) for r in out.collect()], brute(rows, 5.0))
     df.unpersist()
+
+
+def test_tokens_are_split_by_arrow_as_by_bytes():
+    texts = [b"", None, b" \t\n\x0b\x0c\r", b"A b\x00C  \xc3\x89\xff A\x1c\x85\xa0z ", b"one", b"\xe3\x80\x80 X\r\nx", b" a" * 50]
+    words, sizes = lm._tokens(texts)
+    want = [[*(t or b"").lower().split(), lm.END] for t in texts]
+    assert words.to_pylist() == [w for d in want for w in d] and sizes.tolist() == [len(d) for d in want]
+    batch = lm._Batch(list(range(len(texts))), [True] * len(texts), texts)
+    assert batch.words == sorted({w for d in want for w in d})
+    assert [batch.words[i] for i in batch.tokens] == [w for d in want for w in d]
