@@ -85,3 +85,17 @@ def test_one_page_under_two_sites(spark):
     v = walk.walk_sites(site(spark, pages), seeds(spark, "a.org", "sub.a.org")).filter("outcome = 'page'").collect()
     assert {(r.domain, r.url) for r in v} == {
         ("a.org", "https://a.org"), ("a.org", "https://sub.a.org/p"), ("sub.a.org", "https://sub.a.org"), ("sub.a.org", "https://sub.a.org/p")}
+
+
+def test_site_queries_walk_over_written_pages(spark, sf, monkeypatch):
+    from workload import queries_sites
+
+    walked = []
+    monkeypatch.setattr(queries_sites, "_CACHE", {})
+    monkeypatch.setattr(queries_sites.extractor, "site_records", lambda pages, seeds, words: walked.append(pages) or seeds)
+    monkeypatch.setattr(queries_sites.finder, "finder_records", lambda pages, seeds: walked.append(pages) or seeds)
+    queries_sites.site_table(spark, sf)
+    queries_sites.finder_table(spark, sf)
+    assert len(walked) == 2
+    for pages in walked:
+        assert "Join" not in pages._jdf.queryExecution().optimizedPlan().toString()
