@@ -41,8 +41,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Places that a task's cache of word lattices may hold, and characters that are stepped together.
-CACHE_NODES = 2_000_000
-BATCH_CHARS = 400_000
+CACHE_NODES = 700_000
+BATCH_CHARS = 200_000
 #: A word with the spaces before it, spaces before a line end or tab, or one of these.
 _CHUNKS = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 
@@ -134,7 +134,7 @@ class Lattices:
         self.nodes = self.edges = 0
         self.first = np.zeros(1 << 16, np.int64)
         self.logp, self.cumulated = np.zeros(1 << 18), np.zeros(1 << 18)
-        self.next, self.token = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+        self.next, self.token = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
 
     def _room(self, nodes: int, edges: int):
         for names, need in ((("first",), self.nodes + nodes), (("logp", "cumulated", "next", "token"), self.edges + edges)):

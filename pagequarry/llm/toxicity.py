@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 CACHE_WORDS = 200_000
 #: Bytes of text whose words a task holds at once (a longer text is a part of its own).
 PART_BYTES = 2_000_000
+#: Words whose n-grams are laid out at once.
+PART_WORDS = 10_000
 #: Punctuation that does not belong to a word.
 _EDGE = ".,;:!?\"'()[]{}<>|*$%&#"
 
@@ -84,8 +86,8 @@ def _bags(texts: list[bytes], buckets: int, shortest: int, longest: int) -> list
     counts = [Counter(words_of(t)) for t in texts]
     numbers = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
     names, parts = list(numbers), [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
-    for at in range(0, len(names), 10_000):
-        flat, sizes = subwords(names[at:at + 10_000], buckets, shortest, longest)
+    for at in range(0, len(names), PART_WORDS):
+        flat, sizes = subwords(names[at:at + PART_WORDS], buckets, shortest, longest)
         parts.append((flat.astype(np.int32), sizes))
     flat, sizes = (np.concatenate(x) for x in zip(*parts))
     first = np.cumsum(sizes) - sizes
@@ -158,11 +160,20 @@ def train(
     return model
 
 
+def word_margins(words: list[str], margin: np.ndarray, shortest: int, longest: int) -> Iterator[tuple[str, float]]:
+    """What each word adds to the logit: the mean of its buckets' margins."""
+    buckets = len(margin)
+    for at in range(0, len(words), PART_WORDS):
+        part = words[at:at + PART_WORDS]
+        flat, sizes = subwords(part, buckets, shortest, longest)
+        yield from zip(part, (np.add.reduceat(margin[flat], np.cumsum(sizes) - sizes) / sizes).tolist())
+
+
 def score_texts(df: DataFrame, model: SubwordSoftmax, text: str = "text", output: str = "score") -> DataFrame:
     """``df`` with ``output double``: the probability of label 1 for the whole text, a string or binary column (an input
     column called like the output is replaced)."""
     margin, bias = model.margins()
-    buckets, shortest, longest = len(margin), model.shortest, model.longest
+    shortest, longest = model.shortest, model.longest
     kept = [c for c in df.columns if c != output]
     fed = df.select(*(F.col(f"`{c}`") for c in kept))
     schema = T.StructType([*fed.schema, T.StructField(output, T.DoubleType())])
@@ -182,8 +193,7 @@ def score_texts(df: DataFrame, model: SubwordSoftmax, text: str = "text", output
                 if len(cache) > CACHE_WORDS:
                     cache.clear()
                 if new := sorted({w for c in counts for w in c if w not in cache}):
-                    flat, sizes = subwords(new, buckets, shortest, longest)
-                    cache.update(zip(new, (np.add.reduceat(margin[flat], np.cumsum(sizes) - sizes) / sizes).tolist()))
+                    cache.update(word_margins(new, margin, shortest, longest))
                 logits = np.array([bias + sum(cache[w] * n for w, n in c.items()) / max(1, c.total()) for c in counts])
                 scores[at:stop] = 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
                 at = stop

@@ -1,5 +1,8 @@
+import tracemalloc
 import zlib
 
+import numpy as np
+
 from pagequarry.llm import quality, queries, toxicity
 
 from .conftest import ODD
@@ -52,3 +55,17 @@ def test_odd_rows(docs_of):
 def test_no_labels():
     assert toxicity.train([]).margins()[1] == 0
     assert abs(quality.train([(b"x", 1)], 0.5).weights[2]) > 0
+
+
+def test_memory_of_new_words_is_that_of_a_part():
+    words = [f"w{i * 7919 % 1_000_003}x" for i in range(60_000)]
+    margin = np.random.default_rng(3).normal(size=1 << 12).astype(np.float32)
+    tracemalloc.start()
+    try:
+        got = np.fromiter((m for _, m in toxicity.word_margins(words, margin, 3, 5)), float, len(words))
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
+    flat, sizes = toxicity.subwords(words, len(margin), 3, 5)  # all at once
+    assert (got == np.add.reduceat(margin[flat], np.cumsum(sizes) - sizes) / sizes).all()
+    assert [w for w, _ in toxicity.word_margins(words, margin, 3, 5)] == words

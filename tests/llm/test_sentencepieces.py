@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -123,3 +124,27 @@ def test_bytes_of_pieces_side_by_side(vocabulary):
     pieces = sentencepieces.PieceBytes(raw)
     ids = [np.array(x, np.int64) for x in ([5, 300, 17_000], [], [31_999, 40, 3, 900])]
     assert pieces.spelled(np.concatenate(ids), np.cumsum([len(i) for i in ids])) == [b"".join(raw[j] for j in i) for i in ids]
+
+
+def test_lattices_of_ever_new_words_take_bounded_memory(vocabulary):
+    lat, rng, done = sentencepieces.Lattices(vocabulary), np.random.default_rng(5), 0
+    tracemalloc.start()
+    try:
+        while done < 2_200_000:  # places of words that never come again
+            letters = rng.integers(97, 123, sentencepieces.BATCH_CHARS, dtype=np.uint8).tobytes().decode()
+            sentencepieces.sample_batch(lat, [" ".join(letters[i:i + 9] for i in range(0, len(letters), 9))], np.ones(1, np.uint64), 2)
+            done += len(letters)
+        assert tracemalloc.get_traced_memory()[1] < 180e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_samples_do_not_depend_on_what_the_cache_holds(vocabulary, monkeypatch):
+    texts, seeds = [f"word{i} naïve ☃ {i * i}  end" for i in range(40)], np.arange(40, dtype=np.uint64)
+    want = sentencepieces.sample_batch(sentencepieces.Lattices(vocabulary), texts, seeds, 2)
+    monkeypatch.setattr(sentencepieces, "CACHE_NODES", 50)  # cleared again and again
+    lat = sentencepieces.Lattices(vocabulary)
+    for i, samples in enumerate(want):
+        got = sentencepieces.sample_batch(lat, texts[i:i + 1], seeds[i:i + 1], 2)[0]
+        assert [s[0].tolist() for s in got] == [s[0].tolist() for s in samples]
+        assert np.allclose([s[1:] for s in got], [s[1:] for s in samples], rtol=1e-9)
