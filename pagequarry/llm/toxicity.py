@@ -81,27 +81,65 @@ class SubwordSoftmax:
         return self.embeddings @ (self.layer[:, 1] - self.layer[:, 0]), float(self.bias[1] - self.bias[0])
 
 
-def _bags(texts: list[bytes], buckets: int, shortest: int, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of each text and their weights in its average."""
-    counts = [Counter(words_of(t)) for t in texts]
-    numbers = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
-    names, parts = list(numbers), [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
-    for at in range(0, len(names), PART_WORDS):
-        flat, sizes = subwords(names[at:at + PART_WORDS], buckets, shortest, longest)
-        parts.append((flat.astype(np.int32), sizes))
-    flat, sizes = (np.concatenate(x) for x in zip(*parts))
-    first = np.cumsum(sizes) - sizes
-    out = []
-    counts.reverse()
-    while counts:  # a text's counts go as soon as its bag is made
-        c = counts.pop()
-        words = np.array([numbers[w] for w in c], np.int64)
-        n, total = sizes[words], sum(c.values())
-        index = np.arange(n.sum()) + np.repeat(first[words] - (np.cumsum(n) - n), n)
-        ids, place = np.unique(flat[index], return_inverse=True)
-        weight = np.bincount(place, np.repeat(np.fromiter(c.values(), float, len(c)) / n / max(1, total), n), minlength=len(ids))
-        out.append((ids.astype(np.int32), weight.astype(np.float32)))
-    return out
+class _Bags:
+    """The training texts as numbers of their words, and each distinct word's buckets once: what a text has of each bucket is
+    worked out for a batch at a time."""
+
+    def __init__(self, texts: list[bytes], buckets: int, shortest: int, longest: int):
+        numbers: dict[str, int] = {}
+        self.buckets, self.total = buckets, np.zeros(len(texts))
+        words, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for i, text in enumerate(texts):
+            found = Counter(words_of(text))
+            words.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int32, len(found)))
+            counts.append(np.fromiter(found.values(), np.int32, len(found)))
+            self.total[i] = max(1, found.total())
+        ends = np.cumsum([len(w) for w in words])
+        self.begin, self.end = ends[:-1], ends[1:]
+        self.words, self.counts = np.concatenate(words), np.concatenate(counts)
+        del words, counts
+        names, parts = list(numbers), [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        del numbers
+        for at in range(0, len(names), PART_WORDS):
+            flat, sizes = subwords(names[at:at + PART_WORDS], buckets, shortest, longest)
+            parts.append((flat.astype(np.int32), sizes))
+        del names
+        self.flat, self.sizes = (np.concatenate(x) for x in zip(*parts))
+        self.kept, self.first = self.sizes, np.cumsum(self.sizes) - self.sizes
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Leave out the buckets not ``wanted``, once; a word's mean is still over all it had."""
+        stays = wanted[self.flat]
+        self.kept = np.add.reduceat(stays, self.first, dtype=np.int64)  # every word has a bucket of its own
+        self.first = np.cumsum(self.kept) - self.kept
+        if not stays.all():
+            self.flat = self.flat[stays]
+
+    def _entries(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of a text, word after word, and what each entry adds to its bucket's weight."""
+        words, counts = self.words[self.begin[i]:self.end[i]], self.counts[self.begin[i]:self.end[i]]
+        n = self.kept[words]
+        ids = self.flat[np.arange(n.sum()) + np.repeat(self.first[words] - (np.cumsum(n) - n), n)]
+        return ids, np.repeat(counts.astype(float) / self.sizes[words] / self.total[i], n)
+
+    def bag(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of a text, ascending, and their weights in its average."""
+        ids, weight = self._entries(i)
+        filled = np.bincount(ids, weight, minlength=self.buckets)
+        own = np.nonzero(filled > 0)[0]
+        return own, filled[own].astype(np.float32)
+
+    def batch(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the texts ``index``, ascending, and the matrix of their weights in each text's average."""
+        entries = [self._entries(i) for i in index]
+        occurs = np.zeros(self.buckets, bool)
+        for ids, _ in entries:
+            occurs[ids] = True
+        used, local = np.nonzero(occurs)[0], np.cumsum(occurs) - 1
+        spread = np.empty((len(index), len(used)), np.float32)
+        for row, (ids, weight) in zip(spread, entries):
+            row[:] = np.bincount(local[ids], weight, minlength=len(used))
+        return used, spread
 
 
 def train(
@@ -118,35 +156,33 @@ def train(
     model = SubwordSoftmax(
         rng.normal(0, 0.1, (buckets, dim)).astype(np.float32), rng.normal(0, 0.3, (dim, 2)).astype(np.float32), np.zeros(2, np.float32), shortest, longest,
     )
-    bags = _bags([t for t, _ in rows], buckets, shortest, longest)
+    bags = _Bags([t for t, _ in rows], buckets, shortest, longest)
     labels = np.array([y for _, y in rows], np.int64)
     share = np.bincount(labels, minlength=2) / max(1, len(labels))
     if len(labels) == 0 or (share == 0).any():
         model.layer[:] = 0  # nothing to tell apart
         return model
-    texts_with, power = np.zeros(buckets, np.int64), np.zeros(buckets)
-    for ids, _ in bags:
+    texts_with, power, reaches = np.zeros(buckets, np.int64), np.zeros(buckets), np.zeros(len(rows), np.float32)
+    for i in range(len(rows)):
+        ids, weight = bags.bag(i)
         texts_with[ids] += 1
-    model.embeddings[texts_with < least_texts] = 0
-    for i, (ids, weight) in enumerate(bags):
-        keep = texts_with[ids] >= least_texts
-        bags[i] = ids[keep], weight[keep]
-        power[bags[i][0]] += bags[i][1].astype(float) ** 2 / len(bags)
+        power[ids] += weight.astype(float) ** 2 / len(rows)
+    rare = texts_with < least_texts
+    model.embeddings[rare], power[rare] = 0, 0
+    bags.keep(~rare)
     entries = texts_with[texts_with >= least_texts].sum()
-    scale = (1 / (power + least_share * power.sum() * len(bags) / max(1, entries))).astype(np.float32)
-    reach = np.mean([(weight ** 2 * scale[ids]).sum() for ids, weight in bags])  # how far one unit step moves a text's logit
+    scale = (1 / (power + least_share * power.sum() * len(rows) / max(1, entries))).astype(np.float32)
+    for i in range(len(rows)):
+        ids, weight = bags.bag(i)
+        reaches[i] = (weight ** 2 * scale[ids]).sum()
+    reach = np.mean(reaches)  # how far one unit step moves a text's logit
     scale *= 4 / max(reach, 1e-12)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             index = order[at:at + batch]
-            ids = np.concatenate([bags[i][0] for i in index])
-            weight = np.concatenate([bags[i][1] for i in index])
-            row = np.repeat(np.arange(len(index)), [len(bags[i][0]) for i in index])
-            used, local = np.unique(ids, return_inverse=True)
-            spread = np.zeros((len(index), len(used)), np.float32)  # the batch's averaging matrix
-            spread[row, local] = weight
+            used, spread = bags.batch(index)
             texts = spread @ model.embeddings[used]
             logits = texts @ model.layer + model.bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))

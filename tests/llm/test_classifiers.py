@@ -69,3 +69,15 @@ def test_memory_of_new_words_is_that_of_a_part():
     flat, sizes = toxicity.subwords(words, len(margin), 3, 5)  # all at once
     assert (got == np.add.reduceat(margin[flat], np.cumsum(sizes) - sizes) / sizes).all()
     assert [w for w, _ in toxicity.word_margins(words, margin, 3, 5)] == words
+
+
+def test_training_keeps_words_instead_of_their_buckets():
+    rng = np.random.default_rng(3)
+    words = np.array([f"{x:x}{x * 7:x}" for x in rng.integers(1 << 20, 1 << 30, 3_000).tolist()])
+    rows = [(" ".join(words[rng.integers(0, len(words), 300)]).encode(), i % 2) for i in range(1_000)]
+    tracemalloc.start()
+    try:
+        toxicity.train(rows, buckets=1 << 14, epochs=1)
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
