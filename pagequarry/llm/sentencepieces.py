@@ -4,7 +4,7 @@ The segmentations of a text are the paths of its lattice: every vocabulary piece
 characters the vocabulary lacks.  A path has the weight ``prod (1 + merge rank of the piece) ** -theta``.  Backward
 filtering gives the exact probability of each piece at each place; no piece crosses a space, a line end or a tab, so
 the lattice of a text is the chain of its words' lattices, which are built once per distinct word and kept in a bounded
-cache.
+cache, if more than one batch has them.
 
 Sampling is an A* search over prefixes.  A prefix's perturbed score is the largest Gumbel-perturbed log-probability of the
 paths through it.  The best path is followed to its end; at every word it leaves aside all other segmentations of that
@@ -30,6 +30,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,10 @@ MARK = "▁"
 #: Places that a task's cache of word lattices may hold, and characters that are stepped together.
 CACHE_NODES = 700_000
 BATCH_CHARS = 200_000
+#: Hash classes of words, by which a cache knows what it has built before.
+SEEN_CLASSES = 1 << 22
+#: Edges up to which a cleared cache keeps its arrays.
+KEPT_EDGES = 1 << 22
 #: A word with the spaces before it, spaces before a line end or tab, or one of these.
 _CHUNKS = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 
@@ -126,15 +131,22 @@ class Lattices:
         for piece, (token, weight) in vocabulary.weight.items():
             self.token_of[states[piece]], self.weight_of[states[piece]] = token, weight
         self.width = vocabulary.longest
+        self._empty()
         self.clear()
 
+    def _empty(self):
+        self.first = np.zeros(1 << 16, np.int64)
+        self.logp, self.cumulated = np.zeros(1 << 18), np.zeros(1 << 18)
+        self.next, self.token = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+
     def clear(self):
+        """Forget all words.  The arrays stay for the next ones, unless they are very large."""
         self.roots: dict[str, int] = {}
         self.spelled: list[list[int]] = []  # ids of the edges that are several byte pieces
         self.nodes = self.edges = 0
-        self.first = np.zeros(1 << 16, np.int64)
-        self.logp, self.cumulated = np.zeros(1 << 18), np.zeros(1 << 18)
-        self.next, self.token = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.seen, self.lasting = np.zeros(SEEN_CLASSES, bool), (0, 0, 0)
+        if len(self.logp) > KEPT_EDGES:
+            self._empty()
 
     def _room(self, nodes: int, edges: int):
         for names, need in ((("first",), self.nodes + nodes), (("logp", "cumulated", "next", "token"), self.edges + edges)):
@@ -145,8 +157,27 @@ class Lattices:
                     grown[:len(old)] = old
                     setattr(self, name, grown)
 
-    def add(self, words: list[str]) -> None:
-        """Build the lattices of new words, all at once."""
+    def build(self, words: list[str]) -> dict[str, int]:
+        """Roots of new words.  What a batch has for the first time goes with it, what comes again stays in ``roots``."""
+        classes = np.fromiter(map(hash, words), np.int64, len(words)) & (SEEN_CLASSES - 1)
+        again = self.seen[classes]
+        self.seen[classes] = True
+        built = self.add(list(compress(words, again)))
+        self.roots |= built
+        self.lasting = self.nodes, self.edges, len(self.spelled)
+        return built | self.add(list(compress(words, ~again)))
+
+    def forget(self) -> None:
+        """Leave out the words of the last batch that do not stay; all, if a very long text has made the arrays large."""
+        self.nodes, self.edges, spelled = self.lasting
+        del self.spelled[spelled:]
+        if len(self.logp) > KEPT_EDGES:
+            self.clear()
+
+    def add(self, words: list[str]) -> dict[str, int]:
+        """Build the lattices of new words, all at once; their roots."""
+        if not words:
+            return {}
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         coded = np.where(chars == 32, ord(MARK), np.where(chars == ord(MARK), (1 << 21) - 1, chars))  # a mark in the text matches no piece
@@ -194,8 +225,8 @@ class Lattices:
         beta = np.zeros(n + 1)
         ends = target == end_of[source]
         left = end_of - np.arange(n)
-        by_left = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[by_left], np.arange(1, (left.max() if n else 0) + 2))
+        by_left = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")  # short numbers sort faster
+        cuts = np.searchsorted(left[by_left], np.arange(1, left.max() + 2))
         for lo, hi in zip(cuts, cuts[1:]):
             nodes = by_left[lo:hi]
             if not len(nodes):
@@ -216,9 +247,9 @@ class Lattices:
         cumulated[last_edge - 1] = 2.0  # a uniform number is never above the last edge
         self.logp[e], self.cumulated[e], self.token[e], self.next[e] = logp, cumulated, token, np.where(ends, -1, target + self.nodes)
         begin = np.cumsum(sizes) - sizes + self.nodes
-        self.roots.update(zip(words, begin.tolist()))
         self.nodes += n
         self.edges += len(source)
+        return dict(zip(words, begin.tolist()))
 
     def edges_of(self, node: int) -> range:
         return range(self.first[node], self.first[node + 1] if node + 1 < self.nodes else self.edges)
@@ -277,9 +308,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64."""
     with np.errstate(over="ignore"):
         x = x + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def _uniform(bits: np.ndarray) -> np.ndarray:
@@ -331,10 +365,12 @@ def sample_batch(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) ->
     if lat.nodes > CACHE_NODES:
         lat.clear()
     coded, sizes = words_of(texts)
-    words = coded.dictionary.to_pylist()
-    if unknown := [w for w in words if w not in lat.roots]:
-        lat.add(sorted(unknown))
-    root = np.fromiter(map(lat.roots.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    places = list(map(lat.roots.get, words))
+    if unknown := [w for w, at in zip(words, places) if at is None]:
+        built = lat.build(unknown)
+        places = [built[w] if at is None else at for w, at in zip(words, places)]
+    root = np.array(places, np.int64)[np.asarray(coded.indices)]
     docs, begin = len(texts), np.cumsum(sizes) - sizes
     doc_of = np.repeat(np.arange(docs), sizes)
     word_number = (np.arange(len(root)) - np.repeat(begin, sizes)).astype(np.uint64)
@@ -429,6 +465,7 @@ def sample_batch(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) ->
             if alive[d]:
                 log_inclusion = _log_inclusion(float(total[d] - threshold[d]))
                 out[d].append((_ids(ids, lat.spelled), float(total[d]), math.exp(log_inclusion), log_inclusion))
+    lat.forget()
     return out
 
 

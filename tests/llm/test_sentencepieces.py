@@ -148,3 +148,14 @@ def test_samples_do_not_depend_on_what_the_cache_holds(vocabulary, monkeypatch):
         got = sentencepieces.sample_batch(lat, texts[i:i + 1], seeds[i:i + 1], 2)[0]
         assert [s[0].tolist() for s in got] == [s[0].tolist() for s in samples]
         assert np.allclose([s[1:] for s in got], [s[1:] for s in samples], rtol=1e-9)
+
+
+def test_words_of_one_batch_leave_room_for_those_that_come_again(vocabulary, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "CACHE_NODES", 200)
+    lat, built = sentencepieces.Lattices(vocabulary), Counter()
+    add = lat.add
+    monkeypatch.setattr(lat, "add", lambda words: built.update(words) or add(words))
+    for i in range(60):
+        sentencepieces.sample_batch(lat, [f"walking home {i * 7919 + 100_003} {i * 104_729 + 100_003}"], np.array([i], np.uint64), 2)
+        assert lat.nodes < 200
+    assert built[" home"] == 2  # once for its first batch, once to stay
